@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from trawl.llm import exact_dedup, mixing, secrets, sharding
+from trawl.llm import exact_dedup, language_id, mixing, secrets, sharding, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_sharding": sharding.op2_sharding,
+    "op4_language_id": language_id.op4_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
