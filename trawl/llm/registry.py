@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from trawl.llm import exact_dedup, language_id, mixing, secrets, sharding, token_counts
+from trawl.llm import exact_dedup, language_id, mixing, near_dedup, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_sharding": sharding.op2_sharding,
     "op4_language_id": language_id.op4_language_id,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLE_SQL = {
+    "op6_near_dedup": near_dedup.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
