@@ -103,6 +103,7 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, held_chars: int
     groups = rows.groupBy("level", "name").agg(
         F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
+    groups = materialise(groups)  # so that the join deals rows of a hot group to many tasks
     return rows.join(groups, ["level", "name"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
