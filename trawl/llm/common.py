@@ -32,7 +32,31 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/trawl-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the scratch table behind ``materialise``'s result, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (doc_id, text_sha256) names, each once, with all their columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+
+    def key(doc_id, sha):
+        return F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("-")), sha)
+
+    plain = plain.withColumn("row_key", key(doc_id, F.sha2(F.coalesce(text, F.lit("")), 256)))
+    kept = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias("row_key"))
+    found = plain.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def ship_package(spark: SparkSession) -> None:

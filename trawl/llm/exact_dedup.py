@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import materialise
+from trawl.llm.common import keep_rows, materialise, release, table
 
 BLOCK_CHARS = 16_384
 HELD_CHARS = 48_000_000
@@ -100,6 +100,7 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, held_chars: int
 
     heads = blocks.where("pos = 0").select("rid", "doc_id", "text_sha256")
     rows = materialise(heads.join(identity, "rid"))
+    release(blocks)
     groups = rows.groupBy("level", "name").agg(
         F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
@@ -113,9 +114,12 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, held_chars: int
     )
 
 
-def op7_exact_dedup(spark, sf_dir):
-    from trawl.llm.common import table
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, whole."""
+    return keep_rows(docs, exact_dedup(docs).where("kept"))
+
 
+def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -22,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import Forest, connected_components, grouped, materialise, table
+from trawl.llm.common import Forest, connected_components, grouped, keep_rows, materialise, table
+from trawl.llm.words import MULTIPLIER as _P
+from trawl.llm.words import mix as _mix
+from trawl.llm.words import word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -34,31 +37,6 @@ LEADER_GAP, LINK_GAP = 0.05, 0.35
 HOT_BUCKET = 20_000
 BLOCK_DOCS = 512
 BATCH_BYTES = 8_000_000
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_P = 0x9E3779B97F4A7C15
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all white-space separated words, and each word's text."""
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[raw]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edges = np.concatenate([[0], edges])
-    starts, ends = edges[::2], edges[1::2]
-    power = np.multiply.accumulate(np.full(len(raw), _P, np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
-    back = np.multiply.accumulate(np.full(len(raw), pow(_P, -1, 1 << 64), np.uint64))
-    hashes = _mix((total[ends] - total[starts]) * back[starts])
-    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
-    return hashes, owner
 
 
 def shingle_keys(texts: list[bytes], words: int = WORDS) -> np.ndarray:
@@ -258,7 +236,7 @@ def _verify(similarity: float, words: int):
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block_docs: int = BLOCK_DOCS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """One row per row of ``docs``: doc_id, group_id, group_size, kept.
+    """One row per row of ``docs``: doc_id, group_id, group_size, kept, text_sha256.
 
     Rows are linked when the weighted Jaccard similarity of their multisets of five-word shingles is
     ``similarity`` or more (words are runs of anything but ASCII white space, taken as they are); a group is what links reach.
@@ -301,7 +279,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block_docs:
     totals = materialise(totals.select("component", "group_size", F.col("head.doc_id").alias("group_id"), F.col("head.rid").alias("keep_rid")))
     of_class = materialise(of_class.join(totals, "component").select("text_sha256", "group_id", "group_size", "keep_rid"))
     out = signed.select("rid", "doc_id", "text_sha256").join(of_class, "text_sha256")
-    return out.select("doc_id", "group_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"))
+    return out.select(
+        "doc_id", "group_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256")
+    )
+
+
+def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of ``docs``, whole."""
+    return keep_rows(docs, near_duplicates(docs, **options).where("kept"))
 
 
 def op6_near_dedup(spark, sf_dir):
@@ -324,5 +309,7 @@ both_ AS (
 ), way AS (SELECT x, y FROM link UNION SELECT y, x FROM link UNION SELECT x, x FROM link),
 reach AS (SELECT x, y FROM way UNION SELECT r.x, v.y FROM reach r JOIN way v ON r.y = v.x),
 g AS (SELECT x AS doc_id, min(y) AS group_id FROM reach GROUP BY 1)
-SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, doc_id = group_id AS kept FROM g
+SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size,
+       doc_id = group_id AS kept, sha256(text) AS text_sha256
+FROM g JOIN w USING (doc_id)
 """
