@@ -1,4 +1,333 @@
-"""Registered retrieval queries and their SQL."""
+"""Registered retrieval queries over the given tables, whole, and their SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Records are ``documents`` with data_id = doc_id + 1, the text as their symptom list; queries are ``benchmark``, vectors
+``embeddings``, chat logs ``conversations``, incoming records ``part``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trawl.functions.text import split_phrases
+from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, testset
+
+# Rewordings and owners' words over what the given texts hold.
+SYNONYMS = [("tion", ["sion", "ment"]), ("the", ["this"]), ("eau", ["o"]), ("sch", ["sh", "sk"]), ("ing", [])]
+TERMS = [("tion", ["sion", "ment"]), ("the", ["this"]), ("ent", ["ant", "int"]), ("sch", ["sh"])]
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(
+        (F.col("doc_id") + 1).alias("data_id"),
+        F.concat("lang", F.lit(" "), "source", F.lit(" #"), "doc_id").alias("symptoms"),
+        F.col("text").alias("cause"),
+        F.col("source").alias("diagnosis"),
+        F.col("lang").alias("treatment"),
+    )
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "data_id", "rank", F.round("score", 4).alias("score"))
+
+
+def bm25_topk(spark, sf_dir):
+    return _ranked(search.bm25_search(asked(spark, sf_dir), chunking.row_symptom_only(records(spark, sf_dir))))
+
+
+def bm25_phrases_topk(spark, sf_dir):
+    return _ranked(search.bm25_search(asked(spark, sf_dir), chunking.per_symptom_expanded(records(spark, sf_dir), SYNONYMS)))
+
+
+def tfidf_topk(spark, sf_dir):
+    return _ranked(search.tfidf_search(asked(spark, sf_dir), chunking.row_combined(records(spark, sf_dir))))
+
+
+def _lists(spark, sf_dir) -> list[DataFrame]:
+    chunks, queries = chunking.row_symptom_only(records(spark, sf_dir)), asked(spark, sf_dir)
+    depth = search.rrf_depth(5)
+    return [search.bm25_search(queries, chunks, depth).persist(), search.tfidf_search(queries, chunks, depth).persist()]
+
+
+def rrf_topk(spark, sf_dir):
+    return search.rrf_fuse(_lists(spark, sf_dir)).select("query_id", "data_id", "rank", F.round("score", 6).alias("score"))
+
+
+def dense_topk(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    chunks = vectors.select(F.col("vec_id").alias("data_id"), F.col("embedding").alias("vector"))
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _ranked(dense.dense_search(queries, chunks, 5))
+
+
+def search_hits(spark, sf_dir):
+    hits = search.search_records(asked(spark, sf_dir), records(spark, sf_dir), 5, 0.0)
+    return hits.select("query_id", "rank", "data_id", "disease", "cause", "treatment", "score")
+
+
+def search_hit_counts(spark, sf_dir):
+    queries = asked(spark, sf_dir)
+    return search.hit_counts(queries, search.search_records(queries, records(spark, sf_dir), 5))
+
+
+def chunks(strategy):
+    def run(spark, sf_dir):
+        return chunking.build_chunks(records(spark, sf_dir), strategy, SYNONYMS)
+
+    return run
+
+
+def chunk_describe(spark, sf_dir):
+    return chunking.describe_chunks(records(spark, sf_dir), SYNONYMS)
+
+
+def phrase_rewordings(spark, sf_dir):
+    from trawl.sources.io import synonym_table
+
+    phrases = records(spark, sf_dir).select(F.explode(split_phrases(F.col("cause"))).alias("phrase")).distinct()
+    return chunking.expand_phrases(phrases, synonym_table(spark, SYNONYMS))
+
+
+def gram_stats(spark, sf_dir):
+    rows = chunking.row_symptom_only(records(spark, sf_dir))
+    stats = index.corpus_stats(rows)
+    seen = index.document_frequencies(index.term_frequencies(rows)).crossJoin(F.broadcast(stats))
+    return seen.select("gram", "df", F.round(index.bm25_idf(F.col("n"), F.col("df")), 6).alias("idf"), "n", F.round("avg_len", 4).alias("avg_len"))
+
+
+def tfidf_vocabulary(spark, sf_dir):
+    return index.fit_tfidf(chunking.row_combined(records(spark, sf_dir))).select("gram", "df", F.round("idf", 6).alias("idf"))
+
+
+def tfidf_vectors(spark, sf_dir):
+    rows = chunking.row_combined(records(spark, sf_dir))
+    vectors = index.encode_tfidf(rows, index.fit_tfidf(rows))
+    return vectors.groupBy("data_id").agg(F.count(F.lit(1)).alias("grams"), F.round(F.sum("w"), 6).alias("weight"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("norm"))
+
+
+def labelled(spark, sf_dir) -> DataFrame:
+    """Every benchmark passage, expected in the first record that holds it, or nowhere (-1)."""
+    items = F.broadcast(_read(spark, sf_dir, "benchmark"))  # the query table
+    found = records(spark, sf_dir).join(items, F.contains("cause", "text")).groupBy("item_id").agg(F.min("data_id").alias("data_id"))
+    return _read(spark, sf_dir, "benchmark").join(found, "item_id", "left").select(
+        F.col("item_id").alias("case_id"),
+        F.col("text").alias("query"),
+        F.coalesce("data_id", F.lit(-1)).alias("expected_data_id"),
+        F.when(F.col("data_id").isNull(), "negative").otherwise(F.when(F.col("item_id") % 2 == 0, "exact").otherwise("partial")).alias("category"),
+    )
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    lexical, cosine = _lists(spark, sf_dir)
+    every = None
+    for name, hits in (("bm25", lexical), ("tfidf", cosine), ("hybrid", search.rrf_fuse([lexical, cosine]))):
+        own = hits.where("rank <= 5").select(F.lit("row_symptom_only").alias("chunking"), F.lit(name).alias("retriever"), F.col("query_id").alias("case_id"), "data_id", "rank", "score")
+        every = own if every is None else every.unionByName(own)
+    return every
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    return evaluate.judged(_results(spark, sf_dir), labelled(spark, sf_dir))
+
+
+def eval_metrics(spark, sf_dir):
+    return evaluate.metrics(_judged(spark, sf_dir), ("exact", "partial", "negative"))
+
+
+def eval_failures(spark, sf_dir):
+    return evaluate.failures(_judged(spark, sf_dir)).select("retriever", "category", "expected", "got", "rank")
+
+
+def eval_by_category(spark, sf_dir):
+    return evaluate.category_accuracy(_judged(spark, sf_dir)).select("retriever", "category", F.round("accuracy", 6).alias("accuracy"))
+
+
+def eval_best(spark, sf_dir):
+    rows = eval_metrics(spark, sf_dir).withColumn("config_ord", F.expr("array_position(array('bm25','tfidf','hybrid'), retriever)"))
+    return evaluate.best_by_recall(rows).select("retriever", "recall_1", "mrr")
+
+
+def eval_weakest(spark, sf_dir):
+    found = evaluate.weakest_category(evaluate.category_accuracy(_judged(spark, sf_dir)))
+    return found.select("category", F.round("worst", 6).alias("worst"), F.round("best", 6).alias("best"), "flagged")
+
+
+def thin_records(spark, sf_dir):
+    return health.thin_records(records(spark, sf_dir))
+
+
+def few_phrases(spark, sf_dir):
+    return health.few_phrases(records(spark, sf_dir))
+
+
+def confusable_pairs(spark, sf_dir):
+    return health.confusable_pairs(records(spark, sf_dir)).select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
+def self_retrieval(spark, sf_dir):
+    return health.self_retrieval_failures(health.self_lists(records(spark, sf_dir)))
+
+
+def magnets(spark, sf_dir):
+    rows = records(spark, sf_dir)
+    return health.magnets(health.self_lists(rows), rows)
+
+
+def _cache(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = _read(spark, sf_dir, "documents")
+    cached = cache.hashed(docs.where("doc_id % 2 = 0")).groupBy("text_hash").agg(F.first("n_chars").alias("n"))
+    cached = cached.select(F.lit("m1").alias("model"), "text_hash", F.lit(1).alias("dim"), F.array(F.col("n").cast("float")).alias("vector"))
+    return cached, docs.select("doc_id", "text")
+
+
+def cache_missing(spark, sf_dir):
+    cached, texts = _cache(spark, sf_dir)
+    return cache.cache_missing(cached, "m1", texts).select("text_hash")
+
+
+def cache_counts(spark, sf_dir):
+    cached, texts = _cache(spark, sf_dir)
+    return cache.encode_counts(cached, "m1", texts)
+
+
+def cache_lookup(spark, sf_dir):
+    cached, texts = _cache(spark, sf_dir)
+    found = cache.cache_lookup(cached, "m1", texts)
+    return found.select("doc_id", "text_hash", F.col("vector").isNotNull().alias("cached"))
+
+
+def cache_upserted(spark, sf_dir):
+    cached, texts = _cache(spark, sf_dir)
+    new = cache.hashed(texts.where("doc_id % 3 = 0")).select(F.lit("m1").alias("model"), "text_hash").distinct()
+    new = new.select("model", "text_hash", F.lit(2).alias("dim"), F.array(F.lit(0.0).cast("float")).alias("vector"))
+    return cache.cache_upsert(cached, new).groupBy("model", "dim").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _incoming(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    part = _read(spark, sf_dir, "part")
+    rows = part.where("p_partkey >= 20").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("disease"), F.col("p_type").alias("symptoms"), F.col("p_brand").alias("cause"), F.lit(None).cast("string").alias("treatment"))
+    return rows, part.where("p_partkey < 20").select(F.col("p_name").alias("symptoms"))
+
+
+def ingest_new(spark, sf_dir):
+    rows, existing = _incoming(spark, sf_dir)
+    return ingest.assign_ids(ingest.preview(rows, existing)[0], 1000).select("data_id", "pos", "disease", "symptoms", "cause", "treatment")
+
+
+def ingest_skipped(spark, sf_dir):
+    rows, existing = _incoming(spark, sf_dir)
+    return ingest.preview(rows, existing)[1].select("pos", "disease")
+
+
+def recent_history(spark, sf_dir):
+    found = chat.recent_history(chat.pair_turns(turns(spark, sf_dir)), 2)
+    return found.select("session_id", "turns", F.array_join(F.transform("history", lambda h: F.concat(h["user_message"], F.lit(" => "), h["ai_response"])), "\n").alias("history"))
+
+
+def last_question(spark, sf_dir):
+    found = chat.last_question(chat.split_roles(turns(spark, sf_dir)))
+    return found.select("session_id", "system", "question", "earlier")
+
+
+def prompt_stats(spark, sf_dir):
+    return chat.prompt_stats(chat.batch_rag(turns(spark, sf_dir), records(spark, sf_dir), 2, 0.0)).select("session_id", "history_turns", "n_hits")
+
+
+def batch_prompts(spark, sf_dir):
+    prompts = chat.describe_prompt(chat.batch_rag(turns(spark, sf_dir), records(spark, sf_dir)))
+    return prompts.select("session_id", F.explode("messages").alias("m")).select("session_id", "m.*")
+
+
+def testset_cases(make):
+    def run(spark, sf_dir):
+        return make(records(spark, sf_dir))
+
+    return run
+
+
+def testset_colloquial(spark, sf_dir):
+    return testset.cases_colloquial(records(spark, sf_dir), TERMS)
+
+
+def testset_counts(spark, sf_dir):
+    return testset.category_counts(testset.make_testset(records(spark, sf_dir)))
+
+
+def _regression(spark, sf_dir):
+    cases = labelled(spark, sf_dir).select(
+        F.col("case_id").alias("query_id"), "query", F.concat(F.lit("#"), F.col("expected_data_id") - 1).alias("expected_disease_contains")
+    )
+    return evaluate.regression_check(cases, records(spark, sf_dir))
+
+
+def regression_check(spark, sf_dir):
+    return _regression(spark, sf_dir)
+
+
+def accuracy_summary(spark, sf_dir):
+    return evaluate.accuracy_summary(_regression(spark, sf_dir))
+
+
+def noise_floor(spark, sf_dir):
+    off = labelled(spark, sf_dir).where("expected_data_id < 0").select(F.col("case_id").alias("query_id"), "query")
+    return evaluate.noise_floor(off, records(spark, sf_dir)).select("noise")
+
+
+QUERIES = {
+    "bm25_topk": bm25_topk,
+    "bm25_phrases_topk": bm25_phrases_topk,
+    "tfidf_topk": tfidf_topk,
+    "rrf_topk": rrf_topk,
+    "dense_topk": dense_topk,
+    "search_hits": search_hits,
+    "search_hit_counts": search_hit_counts,
+    **{f"chunks_{s}": chunks(s) for s in chunking.strategies(SYNONYMS)},
+    "chunk_describe": chunk_describe,
+    "phrase_rewordings": phrase_rewordings,
+    "gram_stats": gram_stats,
+    "tfidf_vocabulary": tfidf_vocabulary,
+    "tfidf_vectors": tfidf_vectors,
+    "eval_metrics": eval_metrics,
+    "eval_failures": eval_failures,
+    "eval_by_category": eval_by_category,
+    "eval_best": eval_best,
+    "eval_weakest": eval_weakest,
+    "thin_records": thin_records,
+    "few_phrases": few_phrases,
+    "confusable_pairs": confusable_pairs,
+    "self_retrieval": self_retrieval,
+    "magnets": magnets,
+    "cache_missing": cache_missing,
+    "cache_counts": cache_counts,
+    "cache_lookup": cache_lookup,
+    "cache_upserted": cache_upserted,
+    "ingest_new": ingest_new,
+    "ingest_skipped": ingest_skipped,
+    "recent_history": recent_history,
+    "last_question": last_question,
+    "prompt_stats": prompt_stats,
+    "batch_prompts": batch_prompts,
+    "testset_exact": testset_cases(testset.cases_exact),
+    "testset_single": testset_cases(testset.cases_single),
+    "testset_partial": testset_cases(testset.cases_partial),
+    "testset_colloquial": testset_colloquial,
+    "testset_typo": testset_cases(testset.cases_typo),
+    "testset_counts": testset_counts,
+    "regression_check": regression_check,
+    "accuracy_summary": accuracy_summary,
+    "noise_floor": noise_floor,
+}
+
+from trawl.plans.oracles import ORACLE_SQL  # noqa: E402, F401
