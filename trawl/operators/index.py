@@ -32,7 +32,8 @@ def term_frequencies(chunks: DataFrame, n: int = NGRAM, only: DataFrame | None =
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    """Reads ``tf``, so that the planner uses one exchange of postings for this and for the scores."""
+    return postings.groupBy("gram").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def corpus_stats(chunks: DataFrame, n: int = NGRAM) -> DataFrame:
@@ -65,7 +66,7 @@ def wb_frequencies(texts: DataFrame, only: DataFrame | None = None) -> DataFrame
 def fit_tfidf(chunks: DataFrame) -> DataFrame:
     """The vocabulary: (gram, df, idf), smoothed."""
     size = F.broadcast(chunks.agg(F.count(F.lit(1)).alias("n")))
-    seen = wb_frequencies(chunks).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    seen = document_frequencies(wb_frequencies(chunks))
     return seen.crossJoin(size).select("gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 

@@ -30,20 +30,6 @@ FROM (SELECT data_id, list_concat(list_transform(p, lambda x: {{'t': x, 'k': 'ph
       FROM (SELECT data_id, {COMBINED} AS row_, {phrases} AS p FROM rec))"""
 
 
-def expanded(synonyms) -> str:
-    lists = ["[p]"]
-    for term, variants in synonyms:
-        some = ", ".join(f"replace(p, '{term}', '{v}')" for v in variants)
-        if some:
-            lists.append(f"CASE WHEN contains(p, '{term}') THEN [{some}] ELSE [] END")
-    joined = lists[0]
-    for one in lists[1:]:
-        joined = f"list_concat({joined}, {one})"
-    every = f"flatten(list_transform({PHRASES}, lambda p: {joined}))"
-    # distinct, in the order of first appearance
-    return f"list_transform(list_filter(list_zip({every}, range(len({every}))), lambda x: list_position({every}, x[1]) = x[2] + 1), lambda x: x[1])"
-
-
 def expanded_rows(synonyms) -> str:
     """The same as rows: first appearances of every rewording, then the row."""
     union = ["SELECT data_id, pos, -1 AS o, 0 AS v, p AS text FROM ph"]
@@ -63,8 +49,9 @@ CHARS = r"regexp_extract_all({0}, '(?s).')"
 def grams3(table: str, key: str, text: str) -> str:
     """3-grams of a table's texts between two spaces."""
     t = f"' ' || {strip(text)} || ' '"
-    return f"""SELECT {key}, unnest(list_transform(range(1, greatest(len(c) - 1, 2)), lambda i: array_to_string(c[i:i + 2], ''))) AS gram
-FROM (SELECT {key}, {CHARS.format(t)} AS c FROM {table})"""
+    return f"""SELECT * FROM (SELECT {key}, unnest(CASE WHEN len(c) < 3 THEN [array_to_string(c, '')]
+  ELSE list_transform(list_zip(c, c[2:], c[3:]), lambda x: x[1] || x[2] || x[3]) END) AS gram
+FROM (SELECT {key}, {CHARS.format(t)} AS c FROM {table})) WHERE gram IS NOT NULL"""
 
 
 def bm25(k: int) -> str:
@@ -160,9 +147,7 @@ def colloquial(terms) -> str:
     return text
 
 
-def _all() -> dict[str, str]:
-    from trawl.plans.registry import SYNONYMS, TERMS
-
+def oracle_sql(synonyms: list, terms: list) -> dict[str, str]:
     ranked = "SELECT query_id, data_id, rank, round(score, 4) AS score FROM"
     turns = "t AS (SELECT conv_id AS session_id, turn, role, text AS content FROM conversations)"
     paired = f"""WITH {turns}, p AS (SELECT session_id, turn AS id, role, content AS u, lead(role) OVER w AS nr, lead(content) OVER w AS a FROM t WINDOW w AS (PARTITION BY session_id ORDER BY turn)),
@@ -185,7 +170,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY disease ORDER BY pos) AS turn, d
     )
     return {
         "bm25_topk": f"WITH {RECORDS}, {SYMPTOM_ONLY}, {bm25(5)} {ranked} bm",
-        "bm25_phrases_topk": f"WITH {RECORDS}, {expanded_rows(SYNONYMS)}, {bm25(5)} {ranked} bm",
+        "bm25_phrases_topk": f"WITH {RECORDS}, {expanded_rows(synonyms)}, {bm25(5)} {ranked} bm",
         "tfidf_topk": f"WITH {RECORDS}, {COMBINED_CHUNK}, {tfidf(5)} {ranked} ti",
         "rrf_topk": f"WITH {RECORDS}, {SYMPTOM_ONLY}, {bm25(20)}, {tfidf(20)}, {RRF} SELECT query_id, data_id, rank, round(score, 6) AS score FROM rr",
         "dense_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -198,13 +183,13 @@ SELECT query_id, data_id, rank, round(score, 4) AS score FROM (SELECT *, row_num
         "chunks_row_full": f"WITH {RECORDS} "
         + whole(strip(f"{strip('cause')} || ' ' || {strip('symptoms')} || ' ' || {strip('diagnosis')} || ' ' || {strip('treatment')}"), "full"),
         "chunks_per_symptom": f"WITH {RECORDS} {listed(PHRASES)}",
-        "chunks_per_symptom_expanded": f"WITH {RECORDS}, {expanded_rows(SYNONYMS)} SELECT * FROM chunk",
-        "chunk_describe": f"""WITH {RECORDS}, {expanded_rows(SYNONYMS)}, e AS ({describe})
+        "chunks_per_symptom_expanded": f"WITH {RECORDS}, {expanded_rows(synonyms)} SELECT * FROM chunk",
+        "chunk_describe": f"""WITH {RECORDS}, {expanded_rows(synonyms)}, e AS ({describe})
 SELECT strategy, count(*) AS chunks, round(count(*) / greatest((SELECT count(*) FROM rec), 1), 2) AS chunks_per_row, round(avg(chars), 1) AS avg_chars, min(chars) AS min_chars, max(chars) AS max_chars FROM e GROUP BY 1""",
         "phrase_rewordings": f"""WITH {RECORDS}, p AS (SELECT DISTINCT unnest({PHRASES}) AS phrase FROM rec)
 SELECT phrase, -1 AS ord, 0 AS variant_ord, phrase AS variant FROM p """
         + " ".join(
-            f"UNION ALL SELECT phrase, {i}, {j}, replace(phrase, '{t}', '{v}') FROM p WHERE contains(phrase, '{t}')" for i, (t, vs) in enumerate(SYNONYMS) for j, v in enumerate(vs)
+            f"UNION ALL SELECT phrase, {i}, {j}, replace(phrase, '{t}', '{v}') FROM p WHERE contains(phrase, '{t}')" for i, (t, vs) in enumerate(synonyms) for j, v in enumerate(vs)
         ),
         "gram_stats": f"WITH {RECORDS}, {SYMPTOM_ONLY}, {bm25(5)} SELECT gram, df, round(greatest(ln((n - df + 0.5) / (df + 0.5) + 1.0), 0), 6) AS idf, n, round(avg_len, 4) AS avg_len FROM df, st",
         "tfidf_vocabulary": f"WITH {RECORDS}, {COMBINED_CHUNK}, {vocabulary()} SELECT gram, df, round(idf, 6) AS idf FROM voc",
@@ -234,12 +219,10 @@ SELECT {decorate('phrase', 'data_id', 'pos')} AS query, data_id AS expected_data
         "testset_partial": f"""{PH}, d AS (SELECT *, row_number() OVER (PARTITION BY data_id ORDER BY {draw('partial', 'data_id', 'pos')}, pos) AS turn FROM ph WHERE n >= 3),
 j AS (SELECT data_id, string_agg(phrase, ' ' ORDER BY turn) AS t FROM d WHERE turn <= 3 GROUP BY 1)
 SELECT {decorate('t', 'data_id', "'partial'")} AS query, data_id AS expected_data_id, 'partial' AS category, '' AS note FROM j""",
-        "testset_colloquial": f"""{PH}, c AS (SELECT *, {colloquial(TERMS)} AS casual FROM ph)
+        "testset_colloquial": f"""{PH}, c AS (SELECT *, {colloquial(terms)} AS casual FROM ph)
 SELECT {decorate('casual', 'data_id', 'pos', "'c'")} AS query, data_id AS expected_data_id, 'colloquial' AS category, 'from: ' || phrase AS note FROM c WHERE casual <> phrase""",
         "regression_check": f"{REGRESSION} SELECT *, passed AND margin < 0.05 AS fragile, passed AND top_score < 0.19 AS filtered FROM chk",
         "accuracy_summary": f"""{REGRESSION} SELECT count(*) FILTER (passed) AS passed, count(*) AS total, min(top_score) FILTER (passed) AS lowest, max(top_score) FILTER (passed) AS highest FROM chk""",
         "noise_floor": f"{REGRESSION} SELECT max(hit.score) AS noise FROM hit JOIN lab ON case_id = query_id WHERE expected_data_id < 0 AND rank = 1",
     }
 
-
-ORACLE_SQL = _all()

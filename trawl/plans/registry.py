@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import split_phrases
 from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, testset
+from trawl.plans.oracles import oracle_sql
 
 # Rewordings and owners' words over what the given texts hold.
 SYNONYMS = [("tion", ["sion", "ment"]), ("the", ["this"]), ("eau", ["o"]), ("sch", ["sh", "sk"]), ("ing", [])]
@@ -330,4 +331,4 @@ QUERIES = {
     "noise_floor": noise_floor,
 }
 
-from trawl.plans.oracles import ORACLE_SQL  # noqa: E402, F401
+ORACLE_SQL = oracle_sql(SYNONYMS, TERMS)
