@@ -44,13 +44,40 @@ def share_targets(sizes: list[int], weights: list[float], epochs: int) -> list[f
     return target
 
 
+def _knapsack(lengths: list[int], free: list[int], left: int, order: list[int], most: int) -> list[int]:
+    """How many more of each length bring the sum nearest to ``left``; sums are looked at up to ``left`` and one more text of at most ``most``."""
+    more = [0] * len(lengths)
+    limit = left + min(max(lengths), most)
+    mask, reach, history = (1 << (limit + 1)) - 1, 1, []
+    for i in order:
+        n, rest, part = lengths[i], min(free[i], limit // lengths[i]), 1
+        while rest > 0:  # binary split of a bounded item
+            k = min(part, rest)
+            history.append((i, k, reach))
+            reach |= (reach << (n * k)) & mask
+            rest -= k
+            part *= 2
+        if reach >> left & 1:
+            break
+    sums = np.flatnonzero(np.unpackbits(np.frombuffer(reach.to_bytes(limit // 8 + 1, "little"), np.uint8), bitorder="little"))
+    at = int(sums[np.argmin(np.abs(sums - left))])
+    for i, k, before in reversed(history):
+        if not before >> at & 1:
+            more[i] += k
+            at -= k * lengths[i]
+    return more
+
+
 def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: str, knapsack: int = KNAPSACK_WORDS) -> list[int]:
-    """How many documents of each length to take so that their words come as near to budget as the knapsack finds."""
+    """How many documents of each length to take so that their words come as near to ``budget`` as the knapsack finds.
+
+    If the proportional share leaves no way to hit a budget that the knapsack can solve whole, it is solved whole."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if not total or budget <= 0:
         return [0] * len(lengths)
+    words = lambda taken: sum(n * t for n, t in zip(lengths, taken, strict=True))
     take = [min(c, c * budget // total) for c in counts]
-    left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
+    left = budget - words(take)
     order = sorted(range(len(lengths)), key=lambda i: hashlib.sha256(f"{seed}/{lengths[i]}".encode()).digest())
     for i in order:  # whole documents in seeded order, down to what the knapsack solves
         if left <= knapsack:
@@ -58,27 +85,17 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: str, kn
         more = min(counts[i] - take[i], max(0, left - knapsack // 2) // lengths[i])
         take[i] += more
         left -= more * lengths[i]
-    if left <= 0:
+    if left > knapsack:  # only texts longer than all that is left remain: the one that comes nearest, if it is nearer than none
+        best = min((i for i in order if take[i] < counts[i]), key=lambda i: abs(left - lengths[i]))
+        take[best] += abs(left - lengths[best]) < left
         return take
-    limit = min(left, knapsack) + min(max(lengths), knapsack)
-    mask, reach, history = (1 << (limit + 1)) - 1, 1, []
-    for i in order:
-        n, free = lengths[i], min(counts[i] - take[i], limit // lengths[i])
-        part = 1
-        while free > 0:  # binary split of a bounded item
-            k = min(part, free)
-            history.append((i, k, reach))
-            reach |= (reach << (n * k)) & mask
-            free -= k
-            part *= 2
-        if left <= limit and reach >> left & 1:
-            break
-    sums = np.flatnonzero(np.unpackbits(np.frombuffer(reach.to_bytes(limit // 8 + 1, "little"), np.uint8), bitorder="little"))
-    at = int(sums[np.argmin(np.abs(sums - left))])
-    for i, k, before in reversed(history):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * lengths[i]
+    if left > 0:
+        free = [c - t for c, t in zip(counts, take, strict=True)]
+        take = [t + m for t, m in zip(take, _knapsack(lengths, free, left, order, knapsack), strict=True)]
+    if words(take) != budget and budget <= knapsack:
+        whole = _knapsack(lengths, counts, budget, order, knapsack)
+        if abs(words(whole) - budget) < abs(words(take) - budget):
+            take = whole
     return take
 
 
