@@ -1,7 +1,8 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
 The texts of a batch are normalised and cut where a space follows something else (no piece reaches over
-such a place); each different word is listed once. A suffix array over the concatenated words is
+such a place); each different word is listed once, if the worker does not know it from batches before (it remembers
+a bounded number). A suffix array over the concatenated words is
 binary-searched for every piece of the vocabulary, which gives all its occurrences as a range; the ranges are
 edges of a lattice, sorted by where they end, and then relaxed from left to right: an edge survives if
 its piece may follow the piece that the encoding up to its start ends with. A sequence of pieces is the
@@ -23,7 +24,9 @@ from trawl.llm.common import table
 
 SPACE = "▁"
 BYTE_TYPE, NORMAL_TYPE = 6, 1
-BATCH_CHARS = 24_000_000
+BATCH_CHARS = 3_000_000
+#: Words whose pieces a worker remembers; beyond, it begins anew.
+KNOWN_WORDS = 300_000
 _UNKNOWN = 1 << 20  # a character that is no piece stands as this plus its code point
 
 
@@ -44,8 +47,8 @@ class Pieces:
         order = sorted(self.ids, key=len)
         self.texts, self.numbers = order, np.array([self.ids[t] for t in order])
         self.longest = max(map(len, order))
-        self.parts: dict[str, tuple[float, str, str] | None] = {}
         self.follows: dict[int, bool] = {}
+        self._forget()
         surfaces = []
         for i, name in enumerate(self.names):
             if sp.is_byte(i):
@@ -58,6 +61,10 @@ class Pieces:
         self.surface_size = np.array([len(s) for s in surfaces])
         self.surface_start = np.cumsum(self.surface_size) - self.surface_size
 
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.width = np.zeros(0, np.int32), np.zeros(0, int)
+
     def merge(self, text: str) -> list[str]:
         """The encoding of a short text by its definition: the best-scored merge first, the leftmost of equals."""
         parts = list(text)
@@ -193,23 +200,34 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts, one after the other, and how many each has."""
-        numbers: dict[str, int] = {}
-        codes, sizes = [], []
+        if len(self.known) > KNOWN_WORDS:
+            self._forget()
+        known, fresh, codes, sizes = self.known, [], [], []
         for text in texts:
             own = _WORD.findall(f"{SPACE}{text}".replace(" ", SPACE)) if text else []
             sizes.append(len(own))
-            codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), np.int32, len(own)))
-        if not numbers:
+            numbers = [known.get(w, -1) for w in own]
+            if -1 in numbers:
+                for i, w in enumerate(own):
+                    if numbers[i] < 0:
+                        number = known.setdefault(w, len(known))
+                        if number == len(self.width) + len(fresh):
+                            fresh.append(w)
+                        numbers[i] = number
+            codes.append(np.array(numbers, np.int32))
+        if fresh:
+            flat, width = self.encode_words(fresh)
+            self.flat, self.width = np.concatenate([self.flat, flat.astype(np.int32)]), np.concatenate([self.width, width])
+        word = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        if not len(word):
             return np.zeros(0, np.int32), np.zeros(len(texts), int)
-        word = np.concatenate(codes)
-        flat, width = self.encode_words(list(numbers))
-        first = np.cumsum(width) - width
-        count = width[word]
+        first = np.cumsum(self.width) - self.width
+        count = self.width[word]
         offset = np.cumsum(count) - count
-        ids = flat[np.repeat(first[word] - offset, count) + np.arange(int(count.sum()))]
+        ids = self.flat[np.repeat(first[word] - offset, count) + np.arange(int(count.sum()))]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         total = np.concatenate([[0], np.cumsum(count)])
-        return ids.astype(np.int32), np.diff(total[bounds])
+        return ids, np.diff(total[bounds])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The text of each run of ids: what normalisation put in front goes, bytes that are no text become U+FFFD."""
