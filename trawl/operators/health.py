@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.text import split_phrases, strip
+from trawl.operators.chunking import row_combined
 from trawl.operators.index import encode_tfidf, fit_tfidf
-from trawl.operators.search import tfidf_search
+from trawl.operators.search import top_k
 
 THIN_CHARS, FEW_PHRASES, CONFUSABLE = 20, 3, 0.45
 BLOCK_RECORDS = 256
@@ -30,21 +31,41 @@ def plain_chunks(records: DataFrame) -> DataFrame:
     return records.select("data_id", F.lit(0).cast("long").alias("chunk_id"), text.alias("text"))
 
 
-def _pairs(cut: float):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        grams = {g: i for i, g in enumerate(pd.unique(pd.concat([left["gram"], right["gram"]])))}
+def _matrices(rows: pd.DataFrame):
+    """The sparse vectors of a pair of blocks as dense matrices over the grams that they have: (ids, matrix) of both."""
+    gram, names = pd.factorize(rows["gram"])
+    ids, w, is_left = rows["data_id"].to_numpy(), rows["w"].to_numpy(), rows["is_left"].to_numpy()
+    out = []
+    for side in (is_left, ~is_left):
+        own, place = np.unique(ids[side], return_inverse=True)
+        m = np.zeros((len(own), len(names)))
+        m[place, gram[side]] = w[side]
+        out += [own, m]
+    return out
+
+
+def _paired(left: DataFrame, right: DataFrame):
+    columns = ["i", "j", "data_id", F.xxhash64("gram").alias("gram"), "w"]
+    both = left.select(*columns, F.lit(True).alias("is_left")).unionByName(right.select(*columns, F.lit(False).alias("is_left")))
+    return both.groupBy("i", "j")
 
-        def dense(part):
-            ids = np.sort(part["data_id"].unique())
-            m = np.zeros((len(ids), len(grams)))
-            m[np.searchsorted(ids, part["data_id"]), part["gram"].map(grams)] = part["w"]
-            return ids, m
 
-        (a, x), (b, y) = dense(left), dense(right)
+def _pairs(cut: float):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, x, b, y = _matrices(rows)
         cosine = x @ y.T
         i, j = np.nonzero((cosine > cut) & ((a[:, None] < b) if key[0] == key[1] else (a[:, None] != b)))
-        low, high = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-        return pd.DataFrame({"a": low, "b": high, "similarity": cosine[i, j]})
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": cosine[i, j]})
+
+    return run
+
+
+def _best(k: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, x, b, y = _matrices(rows)
+        cosine, n = x @ y.T, min(k, len(b))
+        best = np.lexsort((np.broadcast_to(b, cosine.shape), -np.round(cosine, 6)), axis=1)[:, :n]
+        return pd.DataFrame({"query_id": np.repeat(a, n), "data_id": b[best].reshape(-1), "score": np.take_along_axis(cosine, best, 1).reshape(-1)})
 
     return run
 
@@ -60,16 +81,24 @@ def confusable_pairs(records: DataFrame, cut: float = CONFUSABLE, block_records:
     own = F.pmod(F.xxhash64("data_id"), F.lit(blocks)).cast("int")
     left = vectors.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
     right = vectors.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
-    return met.applyInPandas(_pairs(cut), "a long, b long, similarity double")
+    return _paired(left, right).applyInPandas(_pairs(cut), "a long, b long, similarity double")
 
 
-def self_lists(records: DataFrame, k: int = 3) -> DataFrame:
-    """Top lists of every record's own text as a query: its symptoms, or its name if it has none."""
-    text = F.when(F.coalesce("cause", F.lit("")) == "", F.col("symptoms")).otherwise(F.col("cause"))
-    from trawl.operators.chunking import row_combined
+def self_lists(records: DataFrame, k: int = 3, block_records: int = BLOCK_RECORDS) -> DataFrame:
+    """Top lists of every record's own text as a query: its symptoms, or its name if it has none.
 
-    return tfidf_search(records.select(F.col("data_id").alias("query_id"), text.alias("query")), row_combined(records), k)
+    With as many queries as records, lists come from blocks of both, as for confusable pairs: a task cuts its
+    queries to its best k, and only those are ranked together."""
+    text = F.when(F.coalesce("cause", F.lit("")) == "", F.col("symptoms")).otherwise(F.col("cause"))
+    corpus = row_combined(records)
+    vocabulary = fit_tfidf(corpus)
+    asked = records.select("data_id", F.lit(0).cast("long").alias("chunk_id"), text.alias("text"))
+    blocks = max(1, -(-records.count() // block_records))
+    own = F.pmod(F.xxhash64("data_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = encode_tfidf(asked, vocabulary).select("data_id", "gram", "w", own.alias("i"), every.alias("j"))
+    right = encode_tfidf(corpus, vocabulary).select("data_id", "gram", "w", own.alias("j"), every.alias("i"))
+    return top_k(_paired(left, right).applyInPandas(_best(k), "query_id long, data_id long, score double"), k)
 
 
 def self_retrieval_failures(lists: DataFrame) -> DataFrame:
