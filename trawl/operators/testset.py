@@ -96,8 +96,8 @@ def cases_partial(records: DataFrame, seed: int = SEED) -> DataFrame:
 
 def colloquialise(text: Column, *keys: Column, terms: list[tuple[str, list[str]]] = COLLOQUIAL, seed: int = SEED) -> Column:
     """Terms are replaced one after the other, each by one drawn variant, also in what was replaced before."""
-    for term, variants in terms:
-        text = F.when(F.contains(text, F.lit(term)), F.replace(text, F.lit(term), pick(variants, term, *keys, seed=seed))).otherwise(text)
+    for term, variants in terms:  # a text without the term is left as it is, so each step names the one before just once
+        text = F.replace(text, F.lit(term), pick(variants, term, *keys, seed=seed))
     return text
 
 
