@@ -9,7 +9,8 @@ and processes only run up to the time by which every component is filled.
 
 Signatures are banded. Documents that share a band are grouped (a bucket's members meet its leaders, not each
 other), grouped documents are put together with their texts in blocks, and the multiset overlap of the words
-themselves decides. Copies of one text are one document throughout.
+themselves decides. Blocks of one group share a few pivots, which join the near copies of a text across blocks; after
+that only documents of different clusters of a group meet. Copies of one text are one document throughout.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ LEADER_GAP, LINK_GAP = 0.05, 0.35
 #: A bucket of more documents is first dealt in salted slices, whose leaders then meet.
 HOT_BUCKET = 20_000
 BLOCK_DOCS = 512
+#: Documents of a large candidate group that all of its blocks hold.
+PIVOTS = 8
 BATCH_BYTES = 8_000_000
 
 
@@ -200,11 +203,12 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
 
 
 def _verify(similarity: float, words: int):
-    """Links of a block of documents, as many as join what was apart; each is checked on the words."""
+    """Links of a block of documents, as many as join clusters that were apart; each is checked on the words."""
 
     def run(batches):
         for _, group in grouped(batches, "block"):
-            ids, weights, sides = group["doc_id"].tolist(), group["weight"].to_numpy(), group["side"].to_numpy()
+            ids, weights = group["doc_id"].tolist(), group["weight"].to_numpy()
+            clusters, sides = group["cluster"].to_numpy(), group["side"].to_numpy()
             sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(ids), -1)
             bags: dict[int, Counter] = {}
 
@@ -218,14 +222,15 @@ def _verify(similarity: float, words: int):
                 rest = slice(i + 1, len(ids))
                 gaps = np.count_nonzero(sig[rest] != sig[i], axis=1) / sig.shape[1]
                 light, heavy = np.minimum(weights[rest], weights[i]), np.maximum(weights[rest], weights[i])
-                ok = (gaps <= LINK_GAP) & (light >= similarity * heavy)
+                ok = (gaps <= LINK_GAP) & (light >= similarity * heavy) & (clusters[rest] != clusters[i])
                 if sides.any():  # documents of one side meet in that side's own block
                     ok &= sides[rest] != sides[i]
                 pairs += [(gaps[j], i, i + 1 + j) for j in np.flatnonzero(ok)]
             forest, links = Forest(), []
             for _gap, i, j in sorted(pairs):
-                if forest.root(i) != forest.root(j) and weighted_jaccard(bag(i), bag(j)) >= similarity:
-                    forest.join(i, j)
+                x, y = int(clusters[i]), int(clusters[j])
+                if forest.root(x) != forest.root(y) and weighted_jaccard(bag(i), bag(j)) >= similarity:
+                    forest.join(x, y)
                     links.append((ids[i], ids[j]))
             if links:
                 import pandas as pd
@@ -235,6 +240,46 @@ def _verify(similarity: float, words: int):
     return run
 
 
+def _first_blocks(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each candidate group dealt in blocks, every one of which also holds the group's few pivots, so that copies of one
+    text end up in one cluster though no two blocks meet."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = groups.join(sizes, "component").select("component", "node", own.alias("part"))
+    pivots = groups.groupBy("component", F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.lit(PIVOTS)).alias("p")).agg(F.min("node").alias("node"))
+    guests = pivots.join(sizes.where("blocks > 1"), "component").withColumn("own", own)
+    guests = guests.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("part <> own")
+    placed = placed.union(guests.select("component", "node", "part"))
+    return placed.select(F.col("node").alias("rid"), F.col("node").alias("cluster"), F.concat_ws("/", "component", "part").alias("block"), F.lit(0).alias("side"))
+
+
+def _cross_blocks(groups: DataFrame, sizes: DataFrame, clusters: DataFrame, block_docs: int) -> DataFrame:
+    """Pairs of blocks in which documents of different clusters of a large group meet. A cluster that fills blocks has lanes
+    of its own, whose blocks meet those of other lanes only; the group's other documents share lane -1."""
+    found = groups.join(sizes.where("blocks > 1").select("component"), "component").join(
+        clusters.select("node", F.col("component").alias("cluster")), "node", "left"
+    )
+    found = found.select("node", "component", F.coalesce("cluster", "node").alias("cluster"))
+    counts = materialise(found.groupBy("component", "cluster").agg(F.count(F.lit(1)).alias("n")))
+    several = counts.groupBy("component").agg(F.count(F.lit(1)).alias("clusters")).where("clusters > 1").select("component")
+    lane = F.when(F.col("n") >= block_docs, F.col("cluster")).otherwise(F.lit(-1))
+    counts = counts.join(several, "component").withColumn("lane", lane)
+    lanes = counts.groupBy("component", "lane").agg(F.ceil(F.sum("n") / block_docs).cast("int").alias("parts"))
+    lanes = materialise(lanes)
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    placed = found.join(counts.select("component", "cluster", "lane"), ["component", "cluster"]).join(lanes, ["component", "lane"])
+    placed = materialise(placed.select("component", "node", "cluster", "lane", F.struct("lane", part.alias("part")).alias("own")))
+    others = lanes.select("component", F.col("lane").alias("lane2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    others = others.select("component", "lane2", F.struct(F.col("lane2").alias("lane"), "part").alias("other"))
+    met = placed.join(others, "component").where("lane <> lane2 or lane = -1")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return met.select(
+        F.col("node").alias("rid"),
+        "cluster",
+        F.concat_ws("/", "component", low["lane"], low["part"], high["lane"], high["part"]).alias("block"),
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
+    )
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block_docs: int = BLOCK_DOCS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """One row per row of ``docs``: doc_id, group_id, group_size, kept, text_sha256.
 
@@ -255,23 +300,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block_docs:
     heads = materialise(signed.drop("text_sha256").join(classes.select("rid"), "rid"))
     groups = materialise(candidate_groups(heads.select(F.col("rid").alias("doc_id"), "weight", "bands", "sig"), hot_bucket))
 
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(
-        F.col("node").alias("rid"),
-        F.concat_ws("/", "component", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    placed = placed.join(heads.select("rid", "weight", "sig"), "rid")
     wanted = classes.join(groups.select(F.col("node").alias("rid")), "rid").select(
         "rid", F.col("text_sha256").alias("sha"), F.col("doc_id").alias("head_id")
     )
     texts = rows.join(wanted, (rows["sha"] == wanted["sha"]) & rows["doc_id"].eqNullSafe(wanted["head_id"]))
     texts = texts.select("rid", "text").dropDuplicates(["rid"])
-    blocks = _spread(placed.join(texts, "rid"), "block")
-    links = blocks.select("block", F.col("rid").alias("doc_id"), "side", "weight", "sig", "text").mapInPandas(_verify(similarity, WORDS), "a long, b long")
-    linked = materialise(connected_components(links))
+
+    def links(placed: DataFrame) -> DataFrame:
+        full = placed.join(heads.select("rid", "weight", "sig"), "rid").join(texts, "rid")
+        full = full.select("block", F.col("rid").alias("doc_id"), "cluster", "side", "weight", "sig", "text")
+        return materialise(_spread(full, "block").mapInPandas(_verify(similarity, WORDS), "a long, b long"))
+
+    sizes = materialise(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("int").alias("blocks")))
+    inside = links(_first_blocks(groups, sizes))
+    linked = materialise(connected_components(inside))
+    if not sizes.where("blocks > 1").isEmpty():
+        across = links(_cross_blocks(groups, sizes, linked, block_docs))
+        if not across.isEmpty():
+            linked = materialise(connected_components(inside.union(across)))
 
     of_class = classes.join(linked, classes["rid"] == linked["node"], "left")
     of_class = materialise(of_class.select("text_sha256", F.coalesce("component", "rid").alias("component"), "copies", "doc_id", "rid"))
