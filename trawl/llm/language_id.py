@@ -27,7 +27,7 @@ TOP_GRAMS = 20_000
 #: A language contains an n-gram if its share of the language's n-grams is at least this part of the largest share.
 KEEP_SHARE = 0.35
 MAX_LANGUAGES = 64
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 _fold: list[np.ndarray] = []
