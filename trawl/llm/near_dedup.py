@@ -39,7 +39,7 @@ HOT_BUCKET = 20_000
 BLOCK_DOCS = 512
 #: Documents of a large candidate group that all of its blocks hold.
 PIVOTS = 8
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 1_500_000
 
 
 def shingle_keys(texts: list[bytes], words: int = WORDS) -> np.ndarray:
