@@ -24,7 +24,7 @@ from trawl.llm.common import table
 
 SPACE = "▁"
 BYTE_TYPE, NORMAL_TYPE = 6, 1
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_500_000
 #: Words whose pieces a worker remembers; beyond, it begins anew.
 KNOWN_WORDS = 300_000
 _UNKNOWN = 1 << 20  # a character that is no piece stands as this plus its code point
