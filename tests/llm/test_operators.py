@@ -315,6 +315,23 @@ def test_op8_against_brute_force(spark, docs, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_op8_short_notices_and_clauses(spark):
+    from trawl.llm.registry import QUERIES
+
+    assert "op8_license_notices" in QUERIES
+    every = license_scan.catalogue()
+    wanted = {"all-rights-reserved": "All rights reserved.", "mit-license": "MIT License", "five": "one two three four five"}
+    rows = [(1, "all RIGHTS reserved"), (2, "Licensed under the MIT License. x MIT license"), (3, "rights reserved all"), (4, "MIT"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = license_scan.scan_licenses(df, wanted).collect()
+    assert sorted(map(tuple, got)) == [(1, "all-rights-reserved", 1.0, 0, 1), (2, "mit-license", 1.0, 3, 2)]
+    rng = random.Random(3)
+    rows = [(i, words(rng, "en", rng.randint(0, 400)) + "\n" + text) for i, text in enumerate(every.values())]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), every).collect()
+    full = {(r.doc_id, r.license) for r in found if r.containment == 1.0}
+    assert {(i, name) for i, name in enumerate(every)} <= full
+
+
 def test_op9_mix(docs, none, rows):
     got = mixing.mix(docs).collect()
     sizes = {s: sum(len(re.findall(mixing.WORD, t or "")) for _, t, _, x in rows if x == s) for s in ("a", "b", "c", None)}

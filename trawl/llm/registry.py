@@ -13,6 +13,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op8_license_notices": license_scan.op8_license_notices,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
 }
