@@ -211,6 +211,22 @@ def test_op5_against_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dims", [4, 64])
+def test_op5_counts_both_ends_with_several_codes(spark, dims):
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(40, dims)))
+    x = unit(centres[rng.integers(0, 40, 1000)] + rng.normal(size=(1000, dims)) * 0.3 / dims**0.5)
+    toward = centres[rng.integers(0, 40, 1000)]
+    side = unit(toward - (toward * x).sum(1, keepdims=True) * x)
+    cosine = rng.uniform(0.98, 0.99, (1000, 1))  # copies moved towards another cluster
+    x = np.concatenate([x, cosine * x + (1 - cosine**2) ** 0.5 * side])
+    linked = unit(x) @ unit(x).T >= 0.98
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == dict(enumerate((linked.sum(1) - 1).tolist()))
+
+
 def brute_groups(rows):
     bags = [near_dedup.shingles(t or "") for _, t, *_ in rows]
     parent = list(range(len(rows)))

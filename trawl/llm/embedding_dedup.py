@@ -2,10 +2,10 @@
 
 Unit vectors are halved and each half has a codebook of its own; pairs of codes form a product grid of cells.
 A vector lives in its own cell and visits others by multi-sequence traversal: cells in the order of how far the
-halves would have to move to get into them, until the target recall is met, which is when the next cell lies
-farther than ``reach`` times the greatest distance that a linked vector may have (1 is exact; moves
-in no special direction rarely cross a boundary by more than a fraction of their length). Every pair that meets is
-verified in double precision.
+halves would have to move to get into them, until the next cell lies farther than ``reach`` times the greatest
+distance that a linked vector may have. With 1 both vectors of every link visit each other, so links and their counts
+are exact; with less, links can be missed, and one that is met from one side counts for that side alone. Every pair
+that meets is verified in double precision.
 
 Vectors travel once for each row of the grid that they visit; a grid row with many vectors is dealt in blocks.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from trawl.llm.common import Forest, connected_components, grouped, materialise, table
 
 SIMILARITY = 0.98
-REACH = 0.6
+REACH = 1.0
 SAMPLE = 20_000
 CELL_ROWS = 48
 MAX_CODES = 60
@@ -85,7 +85,7 @@ def _place(books, radius: float):
                 first, second = books.value.get(d) or (np.zeros((1, d // 2)), np.zeros((1, d - d // 2)))
                 own1, move1 = to_boundary(x[:, : d // 2], first)
                 own2, move2 = to_boundary(x[:, d // 2 :], second)
-                near = move1[:, :, None] ** 2 + move2[:, None, :] ** 2 <= radius**2
+                near = move1[:, :, None] ** 2 + move2[:, None, :] ** 2 <= radius**2 + 1e-9  # beyond rounding
                 near[np.arange(len(x)), own1, own2] = True
                 masks = (near * (1 << np.arange(near.shape[2], dtype=np.int64))).sum(2)
                 for k, i in enumerate(np.array(rows)[at]):
