@@ -179,6 +179,18 @@ def test_op4_filter_has_every_gram_and_corrects_for_chance():
     assert np.abs(seen - model.false).max() < 0.02
 
 
+def test_op4_more_than_64_languages(spark):
+    rng = random.Random(8)
+    stock = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for k in range(130)}
+    rows = [(i, " ".join(rng.choices(stock[lang], k=25)), lang) for i, lang in enumerate(list(stock) * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = language_id.identify(df).collect()
+    held = [r.lang_pred == rows[r.doc_id][2] for r in got if r.held_out]
+    assert len(got) == len(rows) and len(held) > 200 and sum(held) / len(held) > 0.95
+    few = spark.createDataFrame([(1, "a b", "x"), (3, None, "y"), (4, "c d", None)], "doc_id long, text string, lang string")
+    assert language_id.identify(few).count() == 3  # no n-gram is met often enough
+
+
 def test_op5_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 8))

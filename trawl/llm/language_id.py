@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
-A model is one bit-sliced Bloom filter: a table of bitmasks with a bit a language. A lookup ANDs the
-masks of an n-gram's slots, which gives all languages that contain it in one go. A text's n-grams are
+A model is one bit-sliced Bloom filter: tables of bitmasks with a bit a language, a table for every 64 languages.
+A lookup ANDs the masks of an n-gram's slots, which gives all languages of a table that contain it in one go. A text's n-grams are
 counted per language, the hits that the filter's known fill lets through by chance are taken off, and
 the language with most is predicted.
 
@@ -26,7 +26,7 @@ PER_LANGUAGE = 2_000
 TOP_GRAMS = 20_000
 #: A language contains an n-gram if its share of the language's n-grams is at least this part of the largest share.
 KEEP_SHARE = 0.35
-MAX_LANGUAGES = 64
+WORD_BITS = 64
 BATCH_CHARS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,31 +116,36 @@ class LanguageFilter:
 
     def __init__(self, langs: list[str], grams: np.ndarray, masks: np.ndarray, slots: int = SLOTS):
         self.langs, self.slots = langs, slots
-        self.table = np.zeros(slots, np.uint64)
+        masks = masks[:, None] if masks.ndim == 1 else masks  # a column for every WORD_BITS languages
+        self.tables = [np.zeros(slots, np.uint64) for _ in range(-(-len(langs) // WORD_BITS))]
         for at in self._places(grams.view(np.uint64)):
-            np.bitwise_or.at(self.table, at, masks)
-        bits = (self.table[:, None] >> np.arange(len(langs), dtype=np.uint64)) & np.uint64(1)
-        self.false = bits.mean(axis=0) ** HASHES
+            for table, column in zip(self.tables, masks.T, strict=True):
+                np.bitwise_or.at(table, at, column)
+        full = [(self.tables[i // WORD_BITS] >> np.uint64(i % WORD_BITS) & np.uint64(1)).mean() for i in range(len(langs))]
+        self.false = np.array(full) ** HASHES
 
     def _places(self, codes: np.ndarray):
         step = (codes >> np.uint64(40)) | np.uint64(1)
         return [((codes + np.uint64(k) * step) % np.uint64(self.slots)).astype(np.int64) for k in range(HASHES)]
 
-    def languages(self, codes: np.ndarray) -> np.ndarray:
-        """The bitmask of the languages that contain each n-gram."""
+    def languages(self, codes: np.ndarray, word: int = 0) -> np.ndarray:
+        """The bitmask of the languages that contain each n-gram, of those in table ``word``."""
         first, *more = self._places(codes)
-        mask = self.table[first]
+        mask = self.tables[word][first]
         for at in more:
-            mask &= self.table[at]
+            mask &= self.tables[word][at]
         return mask
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
         for a, b in _batched(texts):
             codes, owners, lettered = gram_codes(texts[a:b])
-            mask = self.languages(codes)
             n = np.bincount(owners, minlength=b - a).astype(float)
-            hits = np.stack([np.bincount(owners[(mask >> np.uint64(i) & np.uint64(1)) > 0], minlength=b - a) for i in range(len(self.langs))], axis=1)
+            hits = np.zeros((b - a, len(self.langs)), np.int64)
+            for i in range(len(self.langs)):
+                if i % WORD_BITS == 0:
+                    mask = self.languages(codes, i // WORD_BITS)
+                hits[:, i] = np.bincount(owners[(mask >> np.uint64(i % WORD_BITS) & np.uint64(1)) > 0], minlength=b - a)
             true = np.clip((hits - n[:, None] * self.false) / (1 - self.false), 0, None)
             best = true.argmax(axis=1)
             share = np.where(n > 0, true.max(axis=1) / np.maximum(n, 1), 0.0)
@@ -152,28 +157,30 @@ class LanguageFilter:
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, top_grams: int = TOP_GRAMS) -> LanguageFilter | None:
     """A filter from rows (key, lang, text); ``key`` only draws the sample. None if no row has a language.
 
-    Languages beyond MAX_LANGUAGES are refused. What reaches the driver is bounded by languages * top_grams."""
+    Any number of languages is learnt; what reaches the driver is bounded by languages * top_grams."""
     labelled = labelled.where("lang is not null and text is not null")
-    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
         return None
+    spark = labelled.sparkSession
     langs = [lang for lang, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))]  # ties of scores go to the commoner
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, per_language / n)]), F.col("lang"))
+    known = spark.createDataFrame([(lang, i, per_language / totals[lang]) for i, lang in enumerate(langs)], "lang string, bit int, share double")
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "key"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < share).select("lang", "text")
-    counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram")
-    counts = counts.pivot("lang", langs).agg(F.sum("n")).na.fill(0)
-    wide = counts.toDF("gram", *[f"n{i}" for i in range(len(langs))])
-    sums = wide.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]).first()
-    shares = [F.col(f"n{i}") / float(sums[i] or 1) for i in range(len(langs))]
-    most = F.greatest(*shares, F.lit(0.0)) if len(langs) > 1 else shares[0]
-    seen = sum((F.col(f"n{i}") for i in range(1, len(langs))), F.col("n0"))
-    mask = sum((F.when(s >= most * KEEP_SHARE, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i, s in enumerate(shares)), F.lit(0))
-    top = wide.where(seen >= 3).select("gram", mask.cast("long").alias("mask"), most.alias("most")).orderBy(F.desc("most"), "gram")
-    top = top.limit(top_grams * len(langs)).toPandas()
-    return LanguageFilter(langs, top["gram"].to_numpy(np.int64), top["mask"].to_numpy(np.int64).view(np.uint64))
+    sample = labelled.join(F.broadcast(known), "lang").where(draw < F.col("share")).select("lang", "text")
+    counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sums = spark.createDataFrame([(lang, i, float(sums.get(lang) or 1)) for i, lang in enumerate(langs)], "lang string, bit int, total double")
+    counts = counts.join(F.broadcast(sums), "lang").select("gram", "n", F.struct((F.col("n") / F.col("total")).alias("share"), "bit").alias("of"))
+    grams = counts.groupBy("gram").agg(F.sum("n").alias("seen"), F.max("of.share").alias("most"), F.collect_list("of").alias("of"))
+    has = F.transform(F.filter("of", lambda x: x["share"] >= F.col("most") * KEEP_SHARE), lambda x: x["bit"])
+    top = grams.where("seen >= 3").select("gram", has.alias("bits"), "most").orderBy(F.desc("most"), "gram").limit(top_grams * len(langs))
+    top = top.select("gram", "bits").toArrow().combine_chunks()
+    gram, bits = top["gram"].to_numpy(), top["bits"].combine_chunks()
+    row = np.repeat(np.arange(len(gram)), np.diff(bits.offsets.to_numpy())) if len(gram) else np.zeros(0, np.int64)
+    bit = bits.flatten().to_numpy().astype(np.int64)
+    masks = np.zeros((len(gram), -(-len(langs) // WORD_BITS)), np.uint64)
+    np.bitwise_or.at(masks, (row, bit // WORD_BITS), np.uint64(1) << (bit % WORD_BITS).astype(np.uint64))
+    return LanguageFilter(langs, gram.astype(np.int64), masks)
 
 
 def _predictor(model):
@@ -192,7 +199,7 @@ def predict(rows: DataFrame, model: LanguageFilter | None) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     if model is None:
         return rows.drop("trawl_text").withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # SLOTS words of 8 bytes
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # SLOTS words of 8 bytes for every 64 languages
     return rows.mapInArrow(_predictor(shared), f"{schema}, lang_pred string, score double")
 
 
