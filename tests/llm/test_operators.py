@@ -239,8 +239,18 @@ def test_op5_counts_both_ends_with_several_codes(spark, dims):
     assert got == dict(enumerate((linked.sum(1) - 1).tolist()))
 
 
+def shingles(text, n=5):
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return Counter(tuple(found[i : i + n]) for i in range(max(1, len(found) - n + 1))) if found else Counter()
+
+
+def weighted_jaccard(a, b):
+    both = sum(min(n, b[s]) for s, n in a.items())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
 def brute_groups(rows):
-    bags = [near_dedup.shingles(t or "") for _, t, *_ in rows]
+    bags = [shingles(t or "") for _, t, *_ in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -251,7 +261,7 @@ def brute_groups(rows):
     for i in range(len(rows)):
         for j in range(i):
             same = (rows[i][1] or "") == (rows[j][1] or "")
-            if same or (bags[i] and bags[j] and near_dedup.weighted_jaccard(bags[i], bags[j]) >= 0.8):
+            if same or (bags[i] and bags[j] and weighted_jaccard(bags[i], bags[j]) >= 0.8):
                 parent[root(i)] = root(j)
     groups = defaultdict(list)
     for i in range(len(rows)):
@@ -272,7 +282,8 @@ def test_op6_groups_as_brute_force(spark, docs, none, rows, hot):
     repeated = "one two three four five " * 50
     more += [(400, repeated, "en", "a"), (401, repeated + "one two three four five " * 4, "en", "a"), (402, repeated * 3, "en", "a")]
     every = [*rows, *more]
-    df = spark.createDataFrame([(i, t, 1) for i, t, *_ in every], "doc_id long, text string, side int").repartition(3)
+    schema = "doc_id long, text string, side int, rid string, bag string, `key` int"
+    df = spark.createDataFrame([(i, t, 1, "a", "b", 3) for i, t, *_ in every], schema).repartition(3)
     got = near_dedup.near_duplicates(df, block_docs=16, hot_bucket=hot).collect()
     want = Counter()
     for group in brute_groups(every):
@@ -286,6 +297,16 @@ def test_op6_groups_as_brute_force(spark, docs, none, rows, hot):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_op6_overlap_of_bags_is_weighted_jaccard():
+    texts = ["a b c d e f " * 9 + "g", "a b c d e f " * 5 + "h i", "a b", "", "a b", "x " * 50_000]
+    found = near_dedup.bags([t.encode() for t in texts])
+    for i, x in enumerate(texts):
+        assert len(found[i]) == sum(shingles(x).values())
+        for j, y in enumerate(texts):
+            want = weighted_jaccard(shingles(x), shingles(y)) if x and y else 0.0
+            assert near_dedup.overlap(found[i], found[j]) == pytest.approx(want)
+
+
 def test_op6_signatures_estimate_weighted_jaccard():
     a, b = "one two three four five six " * 20 + "x y z " * 7, "one two three four five six " * 29 + "x y q " * 9
     keys = near_dedup.shingle_keys([a.encode(), b.encode()])
@@ -294,7 +315,7 @@ def test_op6_signatures_estimate_weighted_jaccard():
         salted = near_dedup._mix(keys & np.uint64((1 << 44) - 1) ^ np.uint64(shift * 7919)) >> np.uint64(20)
         sig, _ = near_dedup.signatures(np.sort((keys >> np.uint64(44) << np.uint64(44)) | salted), 2)
         runs.append((sig[0] == sig[1]).mean())
-    truth = near_dedup.weighted_jaccard(near_dedup.shingles(a), near_dedup.shingles(b))
+    truth = weighted_jaccard(shingles(a), shingles(b))
     assert abs(np.mean(runs) - truth) < 0.03
 
 

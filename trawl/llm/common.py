@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +39,26 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the scratch table behind ``materialise``'s result, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete the scratch tables behind ``materialise``'s results, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(df: DataFrame, rows: int, per_task: int, *keys: str) -> DataFrame:
+    """Rows with equal ``keys`` side by side, in tasks of about ``per_task`` of the ``rows``; their number is set, so that small
+    rows that cost much work are not put together in a few tasks."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task))
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys)
+
 
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, text_sha256, kept; a row for each of docs) keeps, with all their columns.
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``kept`` (doc_id, text_sha256) names, each once, with all their columns."""
+    Texts meet only the rows that go, which the planner broadcasts while they are few. Rows that repeat both doc_id and
+    text, of which one stays, are the only ones that are grouped whole."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
@@ -54,8 +67,14 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
         return F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("-")), sha)
 
     plain = plain.withColumn("row_key", key(doc_id, F.sha2(F.coalesce(text, F.lit("")), 256)))
-    kept = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias("row_key"))
-    found = plain.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"])
+    marks = decided.groupBy(key(F.col("doc_id"), F.col("text_sha256")).alias("row_key")).agg(
+        F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("n")
+    )
+    marks = materialise(marks.where("stay < n").select("row_key", "stay"))
+    marked = plain.join(marks, "row_key", "left")
+    found = marked.where("stay is null").drop("stay")
+    if not marks.where("stay > 0").isEmpty():
+        found = found.unionByName(marked.where("stay > 0").drop("stay").dropDuplicates(["row_key"]))
     return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
@@ -78,6 +97,48 @@ def salts(rows: int, per_salt: int = 5_000_000, least: int = 16) -> int:
     return max(least, -(-rows // per_salt))
 
 
+def numpy_groups(batches, keys: list[str]):
+    """Yield a dict of arrays for each run of equal ``keys`` in Arrow batches that are sorted by them. Binary columns come
+    as object arrays."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def joined():
+        return {c: np.concatenate([h[c] for h in held]) for c in held[0]} if len(held) > 1 else held[0]
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+        if held and any(held[0][k][0] != columns[k][0] for k in keys):
+            yield joined()
+            held = []
+        new = np.zeros(n - 1, bool)
+        for k in keys:
+            new |= columns[k][1:] != columns[k][:-1]
+        starts = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+        for start, end in zip(starts, starts[1:], strict=False):
+            held.append({c: v[start:end] for c, v in columns.items()})
+            if end < n:
+                yield joined()
+                held = []
+    if held:
+        yield joined()
+
+
+def joined_batches(batches, rows: int = 20_000):
+    """The same rows in fewer, larger Arrow batches."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def grouped(batches, key: str):
     """Yield (key, DataFrame) for each run of equal keys in batches that are sorted by ``key``."""
     held: list[pd.DataFrame] = []
@@ -138,9 +199,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the graph with edges (a, b): one row (node, component) per node that has an
     edge to another node; ``component`` is the smallest node of its component.
 
-    Each round, every node hooks to its lowest neighbour under a random order (a map-side combined
-    minimum), hooks are shortened by two pointer jumps, and edges are contracted to distinct edges
-    between the roots that are left, so the edge table shrinks by a constant factor a round.
+    Each round, every node hooks to its lowest neighbour (a map-side combined minimum), hooks are shortened by three
+    pointer jumps, and edges are contracted to distinct edges between what is left. Lowest means smallest in odd rounds, so that
+    stars around their smallest node end at once, and first under a random order in even ones, so that the edge table shrinks by a
+    constant factor whatever the numbers are.
     """
     edges = materialise(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
@@ -149,35 +211,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
     turn = 0
     while not edges.isEmpty():
         turn += 1
+        both = edges.union(edges.select("b", "a"))
+        if turn % 2:
+            hooks = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("low", "a").alias("up"))
+        else:
 
-        def rank(c, turn=turn):
-            return F.struct(F.xxhash64(F.lit(turn), c).alias("r"), c.alias("id"))
+            def rank(c, turn=turn):
+                return F.struct(F.xxhash64(F.lit(turn), c).alias("r"), c.alias("id"))
 
-        both = edges.union(edges.select("b", "a"))
-        hooks = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low"))
-        hooks = materialise(hooks.select(F.col("a").alias("node"), F.least(F.col("low"), rank(F.col("a"))).getField("id").alias("up")))
-        for _ in range(2):
+            hooks = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low"))
+            hooks = hooks.select(F.col("a").alias("node"), F.least(F.col("low"), rank(F.col("a"))).getField("id").alias("up"))
+        direct = hooks = materialise(hooks)
+        for _ in range(3):
             above = hooks.select(F.col("node").alias("up"), F.col("up").alias("upper"))
             hooks = hooks.join(above, "up").select("node", F.col("upper").alias("up"))
         hooks = materialise(hooks)
-        members = (
-            hooks
-            if members is None
-            else materialise(
-                members.join(hooks.select(F.col("node").alias("up"), F.col("up").alias("upper")), "up", "left").select(
-                    "node", F.coalesce("upper", "up").alias("up")
-                )
-            )
-        )
+        if members is None:
+            members, spent = hooks, [direct]
+        else:
+            spent = [direct, members]
+            above = hooks.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+            members = materialise(members.join(above, "up", "left").select("node", F.coalesce("upper", "up").alias("up")))
         left = hooks.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         right = hooks.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        edges = materialise(
-            edges.join(left, "a")
-            .join(right, "b")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
+        contracted = edges.join(left, "a").join(right, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        spent += [edges] if hooks is members else [edges, hooks]
+        edges = materialise(contracted.where("a <> b").distinct())
+        release(*spent)
     if members is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     lowest = members.groupBy("up").agg(F.min("node").alias("component"))

@@ -116,7 +116,7 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, held_chars: int
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, whole."""
-    return keep_rows(docs, exact_dedup(docs).where("kept"))
+    return keep_rows(docs, exact_dedup(docs))
 
 
 def op7_exact_dedup(spark, sf_dir):
