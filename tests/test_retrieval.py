@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
-from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, testset
+from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, sparse, testset
 from trawl.sources import io
 
 RECORD = "data_id long, symptoms string, cause string, diagnosis string, treatment string"
@@ -319,6 +319,42 @@ def test_ingestion(spark, records):
     assert len(passed) == 2 and any(r.passed for r in passed)
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+@pytest.mark.parametrize("advisory", ["64m", "1m"])
+def test_ids_of_many_wide_rows(spark, coalesce, advisory):
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": coalesce, "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory, "spark.sql.shuffle.partitions": "200"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    rows = spark.range(300_000).select((F.lit(900_000) - F.col("id") * 3).alias("pos"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("wide"), F.lit(0).alias("part"))
+    got = ingest.assign_ids(rows.repartition(7), 40)
+    assert got.columns == ["pos", "wide", "part", "data_id"]
+    # the smallest pos is 3; the i-th above it is 3 + 3 i
+    found = got.agg(F.count("*").alias("n"), F.count_distinct("data_id").alias("ids"), F.min("data_id").alias("low"), F.max("data_id").alias("high"), F.count_if(F.col("data_id") != 40 + F.col("pos") / 3).alias("wrong")).first()
+    for k, v in old.items():
+        spark.conf.set(k, v)
+    assert tuple(found) == (300_000, 300_000, 41, 300_040, 0)
+
+
+def test_sparse_grams_are_those_of_the_columns(spark):
+    texts = ["", " ", "a", "Ab  c\u3000d", "x" * 5, "ÄÖ ß\x85é", "zero\x00inside it", "🙂 🙂🙂 a", "a\n\nb\tc", "one two " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "data_id long, text string")
+    for grams, column in ((sparse.WORD_GRAMS, T.char_wb_ngrams), (sparse.text_grams(3), T.char_ngrams)):
+        want = {r.data_id: sorted(Counter(r.g).values()) for r in df.select("data_id", column(F.col("text")).alias("g")).collect()}
+        prepared = [(r.data_id, r.text) for r in grams.prepared(df, "text", "data_id").collect()]
+        owner, code, count = sparse.counted_grams([t for _, t in prepared], grams)
+        got = {i: sorted(count[owner == at].tolist()) for at, (i, _) in enumerate(prepared)}
+        assert got == want
+        assert len(set(code.tolist())) == len({g for r in df.select(column(F.col("text")).alias("g")).collect() for g in r.g})
+
+
+def test_search_beyond_a_task_is_the_same(spark, records, queries, monkeypatch):
+    chunks = chunking.per_symptom(records)
+    near = [{(r.query_id, r.rank): (r.data_id, round(r.score, 6)) for r in run(queries, chunks, 4).collect()} for run in (search.bm25_search, search.tfidf_search)]
+    monkeypatch.setattr(sparse, "HELD_CELLS", 0)
+    assert near == [{(r.query_id, r.rank): (r.data_id, round(r.score, 6)) for r in run(queries, chunks, 4).collect()} for run in (search.bm25_search, search.tfidf_search)]
+
+
 def test_chat(spark, records):
     rows = [("s", 1, "system", "be kind"), ("s", 2, "user", "hi"), ("s", 3, "assistant", "hello"), ("s", 4, "tool", "x"), ("s", 5, "user", " watery eyes "), ("t", 1, "user", "q"), ("t", 2, "assistant", "a"), ("u", 1, "system", "x"), ("u", 2, "system", "y")]
     turns = spark.createDataFrame([(*r, {"k": "v"} if r[2] == "system" else None) for r in rows] + [("s", 0, "userprofile", None, {"name": "Mia"})], "session_id string, turn int, role string, content string, detail map<string,string>")

@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 #: What separates phrases, and the shortest phrase that is kept.
 PHRASE_SPLIT = r"(?U)[,ๆ]?\s{1,}|,"
 MIN_PHRASE_CHARS = 6
+#: No match begins inside a pair of surrogates.
+WHOLE = r"(?![\x{DC00}-\x{DFFF}])"
+#: Unicode's white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without white space at the ends, all of Unicode's; null is empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -34,7 +38,7 @@ def padded(c: Column) -> Column:
 def char_ngrams(c: Column, n: int = 3) -> Column:
     """All n-grams of the stripped text between two spaces, in order; a shorter text is one gram."""
     t = padded(c)
-    grams = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    grams = F.regexp_extract_all(t, F.lit(f"(?s){WHOLE}(?=(.{{{n}}}))"), F.lit(1))
     return F.when(F.char_length(t) < n, F.array(t)).otherwise(grams)
 
 
@@ -47,7 +51,7 @@ def char_wb_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     """The lower-cased n-grams inside words, each word between two spaces. A mark between words keeps grams from crossing."""
     words = F.regexp_replace(strip(F.lower(c)), r"(?U)\s+", " \u0000 ")
     marked = F.concat(F.lit(" "), words, F.lit(" "))
-    grams = [F.regexp_extract_all(marked, F.lit(f"(?s)(?=([^\\x00]{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)]
+    grams = [F.regexp_extract_all(marked, F.lit(f"(?s){WHOLE}(?=([^\\x00]{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)]
     return F.when(words == "", F.array().cast("array<string>")).otherwise(F.concat(*grams))
 
 

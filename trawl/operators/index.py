@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.text import char_ngrams, char_wb_ngrams, ngram_count, search_text
+from trawl.operators import sparse
 
 K1, B, NGRAM = 1.5, 0.75, 3
 #: Grams of a table of queries are broadcast up to this many; beyond, the join is shuffled.
@@ -77,6 +79,30 @@ def encode_tfidf(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return raw.join(norms, ["data_id", "chunk_id"]).select("data_id", "chunk_id", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _held(spark_rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The rows (code, idf) by code, or None if there are more than a task may hold."""
+    rows = spark_rows.limit(sparse.HELD_GRAMS + 1).toPandas()
+    if len(rows) > sparse.HELD_GRAMS:
+        return None
+    rows = rows.sort_values("code")
+    return rows["code"].to_numpy(np.int64), rows["idf"].to_numpy(float)
+
+
+def tfidf_weights(chunks: DataFrame) -> sparse.Weights | None:
+    """The vocabulary as weights, or None if a task could not hold it."""
+    size = F.broadcast(chunks.agg(F.count(F.lit(1)).alias("n")))
+    seen = sparse.gram_frequencies(chunks, sparse.WORD_GRAMS).crossJoin(size)
+    held = _held(seen.select("code", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    return sparse.Weights(*held) if held else None
+
+
+def bm25_weights(chunks: DataFrame, grams: sparse.Grams, codes: np.ndarray | None, stats, k1: float = K1, b: float = B) -> sparse.Weights | None:
+    """Weights of the grams with these sorted codes, or of all grams; None if a task could not hold them."""
+    seen = sparse.gram_frequencies(chunks, grams, codes)
+    held = _held(seen.select("code", bm25_idf(F.lit(stats["n"]), F.col("df")).alias("idf")))
+    return sparse.Weights(*held, bm25=(k1, b, float(stats["avg_len"]))) if held else None
+
+
 @dataclass(frozen=True)
 class IndexMeta:
     backend: str

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.functions.scratch import materialise
 from trawl.functions.text import strip
 from trawl.operators.search import record_chunks, tfidf_search, to_honest_names
 
@@ -55,14 +56,16 @@ def dedupe_new(rows: DataFrame, existing: DataFrame, allow_duplicates: bool = Fa
 def assign_ids(rows: DataFrame, high_water: int, column: str = "data_id", order: str = "pos") -> DataFrame:
     """Numbers rows from high_water + 1 without gaps, in the order of ``order``.
 
-    Rows are range-partitioned and numbered inside their partition; the partitions' sizes, one number each, give the
-    offsets. ``order`` must tell rows apart for the numbers to be repeatable."""
-    placed = rows.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id())
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
-    offsets = F.broadcast(sizes.select("part", F.coalesce(before, F.lit(0)).alias("offset")))
-    turn = F.row_number().over(Window.partitionBy("part").orderBy(order))
-    return placed.join(offsets, "part").withColumn(column, F.lit(high_water) + F.col("offset") + turn).drop("part", "offset")
+    Rows are range-partitioned and written with their partition's number once, so that the counts of the partitions, which
+    give the offsets, and the numbers inside them are taken from the same rows. ``order`` must tell rows apart for the numbers to
+    be repeatable."""
+    placed = materialise(rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    offsets = F.broadcast(sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__offset")))
+    turn = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    numbered = placed.withColumn("__turn", turn).join(offsets, "__part")
+    return numbered.select(*rows.columns, (F.lit(high_water) + F.col("__offset") + F.col("__turn")).alias(column))
 
 
 def preview(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:

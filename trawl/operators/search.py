@@ -7,12 +7,15 @@ texts rank alike whatever order sums were made in.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.text import char_ngrams, char_wb_ngrams, is_blank, search_text
-from trawl.operators.index import K1, NGRAM, B, fit_bm25, fit_tfidf, wb_frequencies
+from trawl.operators import sparse
+from trawl.operators.index import K1, NGRAM, B, bm25_weights, corpus_stats, fit_bm25, fit_tfidf, tfidf_weights, wb_frequencies
 
 RRF_K = 60
 TOP_K, MIN_SIMILARITY = 2, {"tfidf": 0.19, "dense": 0.35}
@@ -33,11 +36,22 @@ def query_grams(queries: DataFrame, grams) -> DataFrame:
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = K1, b: float = B, n: int = NGRAM) -> DataFrame:
-    """Only records with a score above zero are listed."""
+    """Only records with a score above zero are listed. While the queries' grams fit a task, chunks are scored and cut to k where
+    they are; beyond that, grams are joined."""
+    grams = sparse.text_grams(n)
+    asked = sparse.held_queries(sparse.query_grams(queries, grams).withColumnRenamed("qn", "w"))
+    if asked is None:
+        return top_k(max_pool(bm25_scores(queries, chunks, k1, b, n)), k)
+    stats = corpus_stats(chunks, n).first()  # one row
+    return top_k(max_pool(sparse.local_lists(sparse.encode(chunks, grams, bm25_weights(chunks, grams, asked.codes, stats, k1, b)), asked, k)), k)
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B, n: int = NGRAM) -> DataFrame:
+    """Scores above zero of all queries and chunks that share a gram: (query_id, data_id, chunk_id, score)."""
     wanted = query_grams(queries, char_ngrams(F.col("query"), n))
     index = fit_bm25(chunks, k1, b, n, only=wanted.select("gram").distinct())
     scores = index.join(wanted, "gram").groupBy("query_id", "data_id", "chunk_id").agg(F.sum(F.col("impact") * F.col("qn")).alias("score"))
-    return top_k(max_pool(scores.where("score > 0")), k)
+    return scores.where("score > 0")
 
 
 def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -61,8 +75,24 @@ def pad_zeros(scores: DataFrame, queries: DataFrame, chunks: DataFrame, k: int)
 
 
 def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    pooled = max_pool(tfidf_scores(queries, chunks))
-    return top_k(pad_zeros(pooled, queries, chunks, k), k)
+    """Lists of k records, those without any similarity last. While the vocabulary and the queries' grams fit a task, chunks are
+    scored and cut to k where they are; beyond that, grams are joined."""
+    weights = tfidf_weights(chunks)
+    asked = tfidf_queries(queries, weights) if weights else None
+    if asked is None:
+        pooled = max_pool(tfidf_scores(queries, chunks))
+    else:
+        pooled = sparse.local_lists(sparse.encode(chunks, sparse.WORD_GRAMS, replace(weights, keep=asked.codes)), asked, k)
+    return top_k(max_pool(pad_zeros(pooled, queries, chunks, k)), k)
+
+
+def tfidf_queries(queries: DataFrame, weights: sparse.Weights) -> sparse.Asked | None:
+    """The queries as unit vectors over the vocabulary, if a task can hold them."""
+    known = queries.sparkSession.createDataFrame(pd.DataFrame({"code": weights.codes, "idf": weights.idf}), "code long, idf double")
+    raw = sparse.query_grams(queries, sparse.WORD_GRAMS).join(F.broadcast(known), "code")  # HELD_GRAMS at most
+    raw = raw.select("query_id", "code", (F.col("qn") * F.col("idf")).alias("w"))
+    norms = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return sparse.held_queries(raw.join(norms, "query_id").select("query_id", "code", (F.col("w") / F.col("norm")).alias("w")))
 
 
 def rrf_depth(k: int) -> int:

@@ -208,6 +208,7 @@ SELECT category, round(min(accuracy), 6) AS worst, round(max(accuracy), 6) AS be
         "cache_lookup": f"WITH {cached} SELECT doc_id, sha256(text) AS text_hash, c.text_hash IS NOT NULL AS cached FROM documents d LEFT JOIN c ON c.text_hash = sha256(d.text)",
         "cache_upserted": f"""WITH {cached}, n AS (SELECT DISTINCT sha256(text) AS text_hash FROM documents WHERE doc_id % 3 = 0)
 SELECT 'm1' AS model, 1 AS dim, count(*) AS n FROM c WHERE text_hash NOT IN (SELECT text_hash FROM n) UNION ALL SELECT 'm1', 2, count(*) FROM n""",
+        "assign_ids": "SELECT 5000 + row_number() OVER (ORDER BY doc_id DESC) AS data_id, doc_id, lang, source, md5(text) AS text_md5 FROM documents",
         "ingest_new": f"{incoming} SELECT 1000 + row_number() OVER (ORDER BY pos) AS data_id, pos, disease, symptoms, cause, treatment FROM g WHERE turn = 1 AND NOT known",
         "ingest_skipped": f"{incoming} SELECT pos, disease FROM g WHERE turn > 1 OR known",
         "recent_history": f"{paired} SELECT session_id, count(*) AS turns, string_agg(u || ' => ' || a, chr(10) ORDER BY id) AS history FROM x WHERE back <= 2 GROUP BY 1",

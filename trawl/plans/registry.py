@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.functions.scratch import ship_package
 from trawl.functions.text import split_phrases
 from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, testset
 from trawl.plans.oracles import oracle_sql
@@ -19,6 +20,7 @@ TERMS = [("tion", ["sion", "ment"]), ("the", ["this"]), ("ent", ["ant", "int"]),
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -227,6 +229,12 @@ def ingest_new(spark, sf_dir):
     return ingest.assign_ids(ingest.preview(rows, existing)[0], 1000).select("data_id", "pos", "disease", "symptoms", "cause", "treatment")
 
 
+def assign_ids(spark, sf_dir):
+    """All documents numbered by descending doc_id, whole rows."""
+    docs = _read(spark, sf_dir, "documents").withColumn("pos", -F.col("doc_id"))
+    return ingest.assign_ids(docs, 5_000).select("data_id", "doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+
+
 def ingest_skipped(spark, sf_dir):
     rows, existing = _incoming(spark, sf_dir)
     return ingest.preview(rows, existing)[1].select("pos", "disease")
@@ -314,6 +322,7 @@ QUERIES = {
     "cache_counts": cache_counts,
     "cache_lookup": cache_lookup,
     "cache_upserted": cache_upserted,
+    "assign_ids": assign_ids,
     "ingest_new": ingest_new,
     "ingest_skipped": ingest_skipped,
     "recent_history": recent_history,
