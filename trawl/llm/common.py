@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -12,40 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_scratch: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temp folder only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _local_scratch:
-        _local_scratch[key] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _local_scratch[key]
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives
-    lost executors, and fixes the values of non-deterministic columns."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/trawl-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete the scratch tables behind ``materialise``'s results, once nothing reads them any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
+from trawl.functions.scratch import materialise, release, ship_package
 
 def dealt(df: DataFrame, rows: int, per_task: int, *keys: str) -> DataFrame:
     """Rows with equal ``keys`` side by side, in tasks of about ``per_task`` of the ``rows``; their number is set, so that small
@@ -57,8 +21,8 @@ def dealt(df: DataFrame, rows: int, per_task: int, *keys: str) -> DataFrame:
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decided`` (doc_id, text_sha256, kept; a row for each of docs) keeps, with all their columns.
 
-    Texts meet only the rows that go, which the planner broadcasts while they are few. Rows that repeat both doc_id and
-    text, of which one stays, are the only ones that are grouped whole."""
+    Texts are shuffled once, unsorted, to the keys of the rows that go. Rows that repeat both doc_id and text, of which one
+    stays, are the only ones that are grouped whole."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
@@ -71,22 +35,13 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
         F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("n")
     )
     marks = materialise(marks.where("stay < n").select("row_key", "stay"))
-    marked = plain.join(marks, "row_key", "left")
+    marked = plain.join(marks.hint("shuffle_hash"), "row_key", "left")
     found = marked.where("stay is null").drop("stay")
     if not marks.where("stay > 0").isEmpty():
         found = found.unionByName(marked.where("stay > 0").drop("stay").dropDuplicates(["row_key"]))
     return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a checkout."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -390,7 +390,9 @@ def _linked(rows: DataFrame, heads: DataFrame, similarity: float, block_docs: in
     sharing = materialise(banded.join(shared, "key"))
     members = materialise(sharing.join(heads.select("rid", "sig", "weight"), "rid"))
     found = candidates(members, similarity, hot_bucket)
-    wanted = materialise(found.join(heads.select("rid", "doc_id", "text_sha256"), "rid").select("rid", F.col("doc_id").alias("head_id"), F.col("text_sha256").alias("head_sha")))
+    wanted = found.join(heads.select("rid", "doc_id", "text_sha256"), "rid")
+    wanted = wanted.select("rid", F.col("doc_id").alias("head_id"), F.col("text_sha256").alias("head_sha"))
+    wanted = wanted.hint("shuffle_hash")  # one row a text at most on that side, at any size
     texts = rows.join(wanted, (F.col("sha") == F.col("head_sha")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
     bag = materialise(texts.select("rid", "text").dropDuplicates(["rid"]).mapInArrow(_bag, "rid long, bag binary"))
 
@@ -401,7 +403,7 @@ def _linked(rows: DataFrame, heads: DataFrame, similarity: float, block_docs: in
     across = dealt(open_.join(bag, "rid"), n, 5_000, "key", "block").mapInArrow(_verify_blocks(similarity), "a long, b long")
     joined = materialise(connected_components(across).select(F.col("node").alias("cluster"), F.col("component").alias("whole")))
     names = clusters.select("node", F.col("component").alias("cluster"))
-    release(sharing, members, found, wanted, bag, blocks)
+    release(sharing, members, found, bag, blocks)
     lone = joined.join(names.select(F.col("node").alias("cluster")), "cluster", "left_anti").select(F.col("cluster").alias("node"), "cluster")
     every = names.unionByName(lone).join(joined, "cluster", "left").select("node", F.coalesce("whole", "cluster").alias("component"))
     return every, [clusters, joined]
