@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trawl.llm import embedding_dedup, exact_dedup, language_id, license_scan, mixing, near_dedup, secrets, sentencepiece, sharding, token_counts
 from trawl.llm.common import connected_components
@@ -197,8 +198,8 @@ def test_op5_against_brute_force(spark):
     vectors = [(i, (base[i % 20] + rng.normal(size=8) * 0.05 * (i % 4)).tolist(), i % 3 if i % 10 else None) for i in range(240)]
     vectors += [(240, [0.0] * 8, 1), (241, None, 1), (242, [1.0, None] + [0.0] * 6, 1), (243, [math.nan] * 8, 1), (244, [math.inf] + [0.0] * 7, 1), (245, [], 1), (246, [1.0, 2.0], 1), (247, [2.0, 4.0], 1)]
     vectors += [(248, [1e300] * 8, 2), (249, [1e-300] * 8, 2), (5, vectors[5][1], vectors[5][2])]
-    df = spark.createDataFrame([(i, v, lab, "x") for i, v, lab in vectors], "vec_id long, embedding array<double>, label int, unit string").repartition(4)
-    got = Counter(map(tuple, embedding_dedup.near_vectors(df, reach=1.0, block=16).collect()))
+    df = spark.createDataFrame([(i, v, lab, "x") for i, v, lab in vectors], "vec_id long, embedding array<double>, label int, unit string").withColumn("rid", F.lit(1)).withColumn("head", F.lit("h")).repartition(4)
+    got = Counter(map(tuple, embedding_dedup.near_vectors(df, block=16).collect()))
 
     def unit(v):
         if not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
@@ -235,8 +236,35 @@ def test_op5_counts_both_ends_with_several_codes(spark, dims):
     x = np.concatenate([x, cosine * x + (1 - cosine**2) ** 0.5 * side])
     linked = unit(x) @ unit(x).T >= 0.98
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
-    assert got == dict(enumerate((linked.sum(1) - 1).tolist()))
+    want = (linked.sum(1) - 1).tolist()
+    found = embedding_dedup.near_vectors(df, cell_rows=1)  # about 45 codes a half
+    assert {r.vec_id: r.n_links for r in found.collect()} == dict(enumerate(want))
+    less = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, cell_rows=1, recall=0.95).collect()}
+    assert all(less[i] <= n for i, n in enumerate(want)) and sum(less.values()) % 2 == 0
+    assert sum(less.values()) >= 0.9 * sum(want)
+
+
+def test_op5_recall_at_the_default(spark):
+    rng = np.random.default_rng(3)
+    for dims in (8, 16, 64):
+        x = rng.normal(size=(600, dims))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side = rng.normal(size=x.shape)
+        side -= (side * x).sum(1, keepdims=True) * x
+        y = 0.981 * x + (1 - 0.981**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+        z = np.concatenate([x, y, x[:1].repeat(300, axis=0)])  # planted twins, and a vector that fills a fifth of the rows
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(z)], "vec_id long, embedding array<double>, label int")
+        want = ((z @ z.T >= 0.98).sum(1) - 1).tolist()
+        assert [r.n_links for r in embedding_dedup.near_vectors(df).orderBy("vec_id").collect()] == want
+
+
+def test_op5_traversal_is_ordered_and_whole():
+    rng = np.random.default_rng(1)
+    a, b = rng.random(9), rng.random(7)
+    got = list(embedding_dedup.traverse(a, b, 0.9))
+    far = [f for _, _, f in got]
+    assert far == sorted(far) and len({(i, j) for i, j, _ in got}) == len(got)
+    assert {(i, j) for i, j, _ in got} == {(i, j) for i in range(9) for j in range(7) if a[i] + b[j] <= 0.9}
 
 
 def shingles(text, n=5):

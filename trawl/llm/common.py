@@ -4,7 +4,6 @@ from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,33 +93,6 @@ def joined_batches(batches, rows: int = 20_000):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def grouped(batches, key: str):
-    """Yield (key, DataFrame) for each run of equal keys in batches that are sorted by ``key``."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        values = pdf[key].to_numpy()
-        if held and held[0][key].iat[0] != values[0]:
-            yield held[0][key].iat[0], pd.concat(held, ignore_index=True)
-            held = []
-        cuts = (values[1:] != values[:-1]).nonzero()[0] + 1
-        if not len(cuts):
-            held.append(pdf)
-            continue
-        starts = [0, *cuts.tolist()]
-        for i, start in enumerate(starts):
-            part = pdf.iloc[start : starts[i + 1] if i + 1 < len(starts) else len(pdf)]
-            if i == 0 and held:
-                part, held = pd.concat([*held, part], ignore_index=True), []
-            if i + 1 < len(starts):
-                yield values[start], part
-            else:
-                held = [part]
-    if held:
-        yield held[0][key].iat[0], pd.concat(held, ignore_index=True)
-
-
 class Forest:
     """Union-find over hashable ids."""
 

@@ -1,30 +1,31 @@
 """Embedding near-dedup over an inverted multi-index.
 
 Unit vectors are halved and each half has a codebook of its own; pairs of codes form a product grid of cells.
-A vector lives in its own cell and visits others by multi-sequence traversal: cells in the order of how far the
-halves would have to move to get into them, until the next cell lies farther than ``reach`` times the greatest
-distance that a linked vector may have. With 1 both vectors of every link visit each other, so links and their counts
-are exact; with less, links can be missed, and one that is met from one side counts for that side alone. Every pair
-that meets is verified in double precision.
+A vector lives in its own cell and visits others by multi-sequence traversal: both halves' codes are sorted by how far the half
+would have to move to get there, and pairs of them are taken off a heap, nearest first, until the target recall is met. For a recall of
+1 that is where the next cell lies farther than a linked vector can be, so that links and their counts are exact; for
+less, it is the share of that distance within which such a part of simulated partners is found. Every pair that meets is verified in
+double precision, and a link counts at both ends though it was met from one.
 
-Vectors travel once for each row of the grid that they visit; a grid row with many vectors is dealt in blocks.
+Equal vectors are one vector with a multiplicity. Vectors travel once for each row of the grid that they visit; a grid
+row with many vectors is dealt in blocks.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import Forest, connected_components, grouped, materialise, table
+from trawl.llm.common import Forest, connected_components, dealt, joined_batches, materialise, numpy_groups, release, table
 
 SIMILARITY = 0.98
-REACH = 1.0
+RECALL = 1.0
 SAMPLE = 20_000
 CELL_ROWS = 48
-MAX_CODES = 60
 BLOCK = 4_096
 
 
@@ -68,10 +69,40 @@ def _units(column: pa.Array) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
     return rows, vectors
 
 
-_PLACED = "rid long, vec_id long, label long, able boolean, dim int, code int, cell int, visits array<struct<code:int,cells:long>>, unit binary"
+def traverse(first: np.ndarray, second: np.ndarray, limit: float):
+    """Multi-sequence traversal: pairs (i, j, distance) of codes in the order of first[i] + second[j], up to ``limit``."""
+    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
+    x, y = first[a].tolist(), second[b].tolist()
+    heap = [(x[0] + y[0], 0, 0)]
+    while heap and heap[0][0] <= limit:
+        far, i, j = heapq.heappop(heap)
+        yield int(a[i]), int(b[j]), far
+        if j == 0 and i + 1 < len(x):
+            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
+        if j + 1 < len(y):
+            heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
+
+
+def reach_for(recall: float, units: np.ndarray, books, similarity: float, seed: int = 11) -> float:
+    """The share of a link's greatest distance within which ``recall`` of simulated partners at that similarity have their cell."""
+    if recall >= 1 or not len(units):
+        return 1.0
+    rng = np.random.default_rng(seed)
+    x = units[rng.integers(0, len(units), 4_000)]
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = similarity * x + (1 - similarity**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    half, far = x.shape[1] // 2, np.zeros(len(x))
+    for book, part in zip(books, (slice(0, half), slice(half, None)), strict=True):
+        move, there = to_boundary(x[:, part], book)[1], to_boundary(y[:, part], book)[0]
+        far += move[np.arange(len(x)), there] ** 2
+    return float(min(1.0, np.quantile(np.sqrt(far / (2 - 2 * similarity)), recall)))
+
+
+_PLACED = "rid long, vec_id long, label long, dim int, code int, cell int, visits array<struct<code:int,cells:array<int>>>, unit binary"
 
 
-def _place(books, radius: float):
+def _place(books, similarity: float):
     def run(batches):
         for batch in batches:
             n = batch.num_rows
@@ -82,117 +113,143 @@ def _place(books, radius: float):
             for d in {len(v) for v in vectors}:
                 at = [k for k, v in enumerate(vectors) if len(v) == d]
                 x = np.stack([vectors[k] for k in at])
-                first, second = books.value.get(d) or (np.zeros((1, d // 2)), np.zeros((1, d - d // 2)))
+                first, second, reach = books.value.get(d) or (np.zeros((1, d // 2)), np.zeros((1, d - d // 2)), 1.0)
+                limit = reach**2 * (2 - 2 * similarity) + 1e-9  # beyond rounding
                 own1, move1 = to_boundary(x[:, : d // 2], first)
                 own2, move2 = to_boundary(x[:, d // 2 :], second)
-                near = move1[:, :, None] ** 2 + move2[:, None, :] ** 2 <= radius**2 + 1e-9  # beyond rounding
-                near[np.arange(len(x)), own1, own2] = True
-                masks = (near * (1 << np.arange(near.shape[2], dtype=np.int64))).sum(2)
+                move1, move2 = move1**2, move2**2
                 for k, i in enumerate(np.array(rows)[at]):
+                    found: dict[int, list[int]] = {}
+                    for one, two, _ in traverse(move1[k], move2[k], limit):
+                        found.setdefault(one, []).append(two)
                     dim[i], code[i], cell[i] = d, own1[k], own2[k]
-                    visits[i] = [{"code": int(c), "cells": int(masks[k, c])} for c in np.flatnonzero(masks[k])]
+                    visits[i] = [{"code": one, "cells": cells} for one, cells in found.items()]
                     unit[i] = x[k].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in ("rid", "vec_id", "label")],
-                    pa.array([u is not None for u in unit]),
                     *[pa.array(c, pa.int32()) for c in (dim, code, cell)],
-                    pa.array(visits, pa.list_(pa.struct([("code", pa.int32()), ("cells", pa.int64())]))),
+                    pa.array(visits, pa.list_(pa.struct([("code", pa.int32()), ("cells", pa.list_(pa.int32()))]))),
                     pa.array(unit, pa.binary()),
                 ],
-                [f.split()[0] for f in _PLACED.replace("struct<code:int,cells:long>", "").split(", ")],
+                ["rid", "vec_id", "label", "dim", "code", "cell", "visits", "unit"],
             )
 
     return run
 
 
-def _meet(similarity: float):
-    """Verifies a block: rows (rid, other, n) with the number of links of a visitor, and links that join what was apart."""
+def _meet(similarity: float, one_sided: bool):
+    """Verifies a block: rows (rid, other, n) with the number of links of a visitor, and links that join what was apart. If not all
+    visits are returned (``one_sided``), a home also counts the visitors whose cell it does not visit itself."""
 
     def run(batches):
-        for _, group in grouped(batches, "block"):
-            home = group[group["home"]]
-            guest = group[~group["home"]]
-            if not len(home) or not len(guest):
+        for group in numpy_groups(batches, ["block"]):
+            is_home = group["home"].astype(bool)
+            homes, guests = group["rid"][is_home], group["rid"][~is_home]
+            if not len(homes) or not len(guests):
                 continue
-            x = np.frombuffer(b"".join(home["unit"]), np.float64).reshape(len(home), -1)
-            y = np.frombuffer(b"".join(guest["unit"]), np.float64).reshape(len(guest), -1)
-            homes, guests = home["rid"].to_numpy(), guest["rid"].to_numpy()
-            cells, masks = home["cells"].to_numpy(), guest["cells"].to_numpy()
-            counts, forest, edges = np.zeros(len(guest), np.int64), Forest(), []
+            x, y = (np.frombuffer(b"".join(group["unit"][side].tolist()), np.float64).reshape(int(side.sum()), -1) for side in (is_home, ~is_home))
+            home_copies, guest_copies = group["copies"][is_home], group["copies"][~is_home]
+            cells, visited = group["cell"][is_home], group["cells"][~is_home]
+            returned = [set(v.tolist()) for v in group["cells"][is_home]] if one_sided else None
+            spots = (group["code"][~is_home].astype(np.int64) * (1 << 31) + group["cell"][~is_home]).tolist()
+            guest = np.repeat(np.arange(len(guests)), [len(v) for v in visited])
+            to = np.concatenate([*visited, np.zeros(0, np.int32)])
+            order = np.argsort(to, kind="stable")
+            guest, to = guest[order], to[order]
+            counts, extra, forest, edges = np.zeros(len(guests), np.int64), np.zeros(len(homes), np.int64), Forest(), []
             for cell in np.unique(cells):
-                here, there = np.flatnonzero(cells == cell), np.flatnonzero(masks >> cell & 1)
-                roots = np.array([forest.root(r) for r in homes[here]])
+                here, there = np.flatnonzero(cells == cell), guest[np.searchsorted(to, cell) : np.searchsorted(to, cell, side="right")]
+                roots = np.array([forest.root(r) for r in homes[here].tolist()])
                 for start in range(0, len(there), 1024):
                     part = there[start : start + 1024]
                     linked = y[part] @ x[here].T >= similarity
-                    counts[part] += linked.sum(1)
-                    for k, row in zip(part, linked, strict=True):
-                        hits = np.flatnonzero(row)
-                        if len(hits) == 0 or (len(hits) == 1 and homes[here[hits[0]]] == guests[k]):
-                            continue
+                    linked |= guests[part][:, None] == homes[here]  # a vector meets itself whatever rounding does
+                    counts[part] += linked @ home_copies[here]
+                    for k, hit in zip(part.tolist(), linked, strict=True):
+                        hits = np.flatnonzero(hit & (homes[here] != guests[k]))
+                        if one_sided:
+                            for h in here[hits].tolist():
+                                if spots[k] not in returned[h]:
+                                    extra[h] += guest_copies[k]
                         _, one = np.unique(roots[hits], return_index=True)
-                        for h in hits[one]:
-                            if homes[here[h]] != guests[k] and forest.join(homes[here[h]], guests[k]):
-                                edges.append((homes[here[h]], guests[k]))
-                        if len(one) > 1:
-                            roots[np.isin(roots, roots[hits])] = forest.root(guests[k])
-                        elif forest.root(guests[k]) != roots[hits[0]]:
-                            roots[roots == roots[hits[0]]] = forest.root(guests[k])
-            yield pd.DataFrame({"rid": guests, "other": np.full(len(guests), -1), "n": counts})
-            if edges:
-                yield pd.DataFrame({"rid": [a for a, _ in edges], "other": [b for _, b in edges], "n": 0})
+                        for h in hits[one].tolist():
+                            if forest.join(int(homes[here[h]]), int(guests[k])):
+                                edges.append((int(homes[here[h]]), int(guests[k])))
+                        if len(hits):
+                            roots[np.isin(roots, roots[hits])] = forest.root(int(guests[k]))
+            more = np.flatnonzero(extra)
+            rid = np.concatenate([guests, homes[more], np.array([a for a, _ in edges], np.int64)])
+            other = np.concatenate([np.full(len(guests) + len(more), -1), np.array([b for _, b in edges], np.int64)])
+            n = np.concatenate([counts, extra[more], np.zeros(len(edges), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (rid, other, n)], ["rid", "other", "n"])
 
-    return run
+    return lambda batches: joined_batches(run(batches))
 
 
-def near_vectors(rows: DataFrame, similarity: float = SIMILARITY, reach: float = REACH, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def near_vectors(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per row of ``rows`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null, their lengths are equal, and their cosine in double
     precision is ``similarity`` or more. A vector that is null, empty, zero or holds a null or a non-finite
     component links with nothing, and is its own component. component_id is the smallest vec_id that links reach;
-    rows that repeat a vector link with each other. The codebooks come from about ``sample`` vectors, the
-    index holds every row. Other columns are ignored; an empty table gives an empty result.
+    rows that repeat a vector link with each other. With a ``recall`` of 1 no link is missed. The codebooks come from about ``sample``
+    vectors, drawn by a hash of their ids; their size grows with the rows of a label and has no bound, and the index holds every row. Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     known = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
     able = known.where("label is not null and embedding is not null")
-    n = able.count()
-    labels = able.select(F.approx_count_distinct("label")).first()[0] if n else 1
-    codes = int(np.clip(round((n / max(labels, 1) / CELL_ROWS) ** 0.5), 1, MAX_CODES))
-    draw = F.pmod(F.xxhash64(F.lit("codebook"), "vec_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
-    _, drawn = _units(pa.array([r["embedding"] for r in able.where(draw).select("embedding").limit(2 * sample).collect()], pa.list_(pa.float64())))
+    size = able.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
+    n = size["n"]
+    codes = max(1, round((n / max(size["labels"], 1) / cell_rows) ** 0.5))
+    draw = F.pmod(F.xxhash64(F.lit("codebook"), "vec_id"), F.lit(1 << 30))
+    wanted = max(sample, 4 * codes)
+    drawn = able.where(draw < int(min(1.0, wanted / max(n, 1)) * (1 << 30))).orderBy(draw, "vec_id").limit(2 * wanted).select("embedding")
+    _, drawn = _units(pa.array([r["embedding"] for r in drawn.collect()], pa.list_(pa.float64())))
     books = {}
     for d in {len(v) for v in drawn}:
         x = np.stack([v for v in drawn if len(v) == d])
-        books[d] = codebook(x[:, : d // 2], codes), codebook(x[:, d // 2 :], codes, seed=8)
-    books = spark.sparkContext.broadcast(books)  # at most 2 * MAX_CODES half vectors
-    radius = reach * (2 - 2 * similarity) ** 0.5
-    placed = materialise(known.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_place(books, radius), _PLACED))
-    able = placed.where("able and label is not null")
-
-    key = ["label", "dim", "code"]
-    homes = able.select("rid", *key, F.col("cell").cast("long").alias("cells"), "unit")
-    guests = able.select("rid", "label", "dim", F.explode("visits").alias("v"), "unit").select("rid", "label", "dim", "v.code", "v.cells", "unit")
+        pair = codebook(x[:, : d // 2], codes), codebook(x[:, d // 2 :], codes, seed=8)
+        books[d] = *pair, reach_for(recall, x, pair, similarity)
+    books = spark.sparkContext.broadcast(books)  # a few times the square root of the rows
+    placed = materialise(known.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_place(books, similarity), _PLACED))
+    able = placed.where("unit is not null and label is not null")
+
+    same = ["label", "dim", "unit"]
+    classes = materialise(able.groupBy(*same).agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies")))
+    heads = able.drop("unit").join(classes.select("rid", "copies", "unit"), "rid")
+    heads = materialise(heads.select("rid", "copies", "label", "dim", "code", "cell", "visits", "unit"))
+    key = ["label", "dim", "row"]
+    one_sided = recall < 1
+    spot = lambda v: F.transform(v["cells"], lambda c: v["code"].cast("long") * (1 << 31) + c)
+    own = F.flatten(F.transform("visits", spot)) if one_sided else F.array().cast("array<long>")
+    homes = heads.select(F.lit(True).alias("home"), "rid", "copies", "label", "dim", F.col("code").alias("row"), "code", "cell", own.alias("cells"), "unit")
+    guests = heads.withColumn("v", F.explode("visits"))
+    cells = F.transform(F.col("v.cells"), lambda c: c.cast("long"))
+    guests = guests.select(F.lit(False).alias("home"), "rid", "copies", "label", "dim", F.col("v.code").alias("row"), "code", "cell", cells.alias("cells"), "unit")
     blocks = lambda c: F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c)
-    sizes = homes.groupBy(*key).agg(blocks("home_blocks")).join(guests.groupBy(*key).agg(blocks("guest_blocks")), key)
-    sizes = materialise(sizes)
+    sizes = materialise(homes.groupBy(*key).agg(blocks("home_blocks")).join(guests.groupBy(*key).agg(blocks("guest_blocks")), key))
     part = lambda c: F.pmod(F.xxhash64("rid"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
 
-    def dealt(df, home):
+    def blocked(df, home):
         df = df.join(sizes, key)
         df = df.withColumn("p", part("home_blocks") if home else every("home_blocks")).withColumn("q", every("guest_blocks") if home else part("guest_blocks"))
-        return df.select(F.concat_ws("/", *key, "p", "q").alias("block"), F.lit(home).alias("home"), "rid", "cells", "unit")
+        return df.select(F.concat_ws("/", *key, "p", "q").alias("block"), "home", "rid", "copies", "code", "cell", "cells", "unit")
 
-    meetings = dealt(homes, True).unionByName(dealt(guests, False)).repartition("block").sortWithinPartitions("block")
-    found = materialise(meetings.mapInPandas(_meet(similarity), "rid long, other long, n long"))
+    meetings = dealt(blocked(homes, True).unionByName(blocked(guests, False)), n, 20_000, "block")
+    found = materialise(meetings.mapInArrow(_meet(similarity, one_sided), "rid long, other long, n long"))
     counts = found.where("other < 0").groupBy("rid").agg((F.sum("n") - 1).alias("n_links"))  # each meets itself once
     linked = materialise(connected_components(found.where("other >= 0").select(F.col("rid").alias("a"), F.col("other").alias("b"))))
-    all_ = placed.select("rid", "vec_id").join(counts, "rid", "left").join(linked.withColumnRenamed("node", "rid"), "rid", "left")
-    all_ = materialise(all_.select("rid", "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rid").alias("component")))
-    lowest = materialise(all_.groupBy("component").agg(F.min("vec_id").alias("component_id")))
+    of_head = counts.join(linked.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n_links", F.coalesce("component", "rid").alias("component"))
+    of_head = materialise(of_head)
+    twins = classes.where("copies > 1").select(*same, F.col("rid").alias("head"))
+    headed = placed.join(twins, same, "left").select("rid", "vec_id", F.coalesce("head", "rid").alias("head"))
+    all_ = headed.join(of_head.withColumnRenamed("rid", "head"), "head", "left")
+    all_ = materialise(all_.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "head").alias("component")))
+    lowest = all_.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    release(placed, classes, heads, sizes, found, linked, of_head)
     return all_.join(lowest, "component").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
