@@ -409,6 +409,40 @@ def test_op8_short_notices_and_clauses(spark):
     assert {(i, name) for i, name in enumerate(every)} <= full
 
 
+def test_op9_any_number_of_sources_shares_as_the_plain_rule(spark):
+    rng = random.Random(6)
+    sizes = [(None if i == 17 else f"s{i:03d}é", rng.choice([0, 3, 900, 40_000])) for i in range(60)]
+    df = spark.createDataFrame(sizes, "source string, source_size long").repartition(5)
+    got = mixing.shared_targets(df, mixing.WEIGHTS, 3).orderBy("sid").collect()
+    order = sorted(sizes, key=lambda r: (r[0] is None, (r[0] or "").encode()))
+    assert [r.source for r in got] == [s for s, _ in order] and [r.sid for r in got] == list(range(60))
+    want = mixing.share_targets([n for _, n in order], [mixing.WEIGHTS[i % 3] for i in range(60)], 3)
+    assert [r.target for r in got] == pytest.approx(want)
+
+
+def test_op9_long_texts_alone_are_fitted_too():
+    lengths, counts = [54_000, 56_000, 60_000], [1, 1, 1]
+    take = mixing.fit_budget(lengths, counts, 110_000, "s")
+    assert sum(n * t for n, t in zip(lengths, take, strict=True)) == 110_000
+    rng = random.Random(4)
+    for _ in range(20):
+        lengths = sorted(rng.sample(range(40_000, 90_000), 8))
+        budget = sum(rng.sample(lengths, 4))
+        take = mixing.fit_budget(lengths, [1] * 8, budget, "s")
+        assert max(take) <= 1 and abs(sum(n * t for n, t in zip(lengths, take, strict=True)) - budget) <= budget * 0.01
+
+
+def test_op9_rows_that_repeat_an_id(spark):
+    text = lambda n, w="w": " ".join([w] * n)
+    rows = [(1, text(10), "a"), (1, text(10), "a"), (1, text(10), "a"), (1, text(7, "v"), "a"), (None, text(9), "b"), (None, text(9), None)] + [(i, text(5), "b") for i in range(9, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id, r.size] += r.times
+    got = Counter((r.doc_id, len(r.text.split())) for r in mixing.mixed_documents(df).collect())
+    assert got == +taken
+
+
 def test_op9_mix(docs, none, rows):
     got = mixing.mix(docs).collect()
     sizes = {s: sum(len(re.findall(mixing.WORD, t or "")) for _, t, _, x in rows if x == s) for s in ("a", "b", "c", None)}

@@ -8,7 +8,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SYLLABLES = ["the", "ing", "tion", "er", "an", "ous"]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key string, mix_id long, mix_times string, mix_time int, c0 string, copies int, kept boolean, rid string"
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def rows():
     near = out[3][1].split()
     near[-1] = "new"
     out += [(50, out[0][1], "en", "a", 1, "k"), (51, " ".join(near), "en", "b", 1, "k"), (52, "", "en", "a", 1, "k"), (53, None, None, None, None, None), (54, "12 34", "en", "a", 1, "k")]
-    return [*out, out[5], (None, text(30), "en", None, 1, "k")]
+    return [(*r, 7, "t", 9, "c", 2, None, "r") for r in [*out, out[5], (None, text(30), "en", None, 1, "k")]]
 
 
 def test_stages(spark, rows):
@@ -30,6 +30,7 @@ def test_stages(spark, rows):
         seen[name] = docs.collect()
         if name != "sentencepiece":
             assert docs.columns == columns
+            assert {tuple(r)[6:] for r in seen[name]} == {(7, "t", 9, "c", 2, None, "r")}
     texts = lambda name: [r.text for r in seen[name]]
     lettered = [r for r in rows if re.search("[a-z]", r[1] or "")]
     assert Counter(texts("language_id")) == Counter(r[1] for r in lettered)
