@@ -38,6 +38,7 @@ HERE, BEFORE = 1, 2  # a pre-token begins at this character, at the one before i
 DOC_END, SPECIAL = 0xFF, 0xFE  # bytes that no text has: end of a text, a special token's place
 MAX_STATES = 60_000
 FEW_TOKENS = 64
+FEW_LANES = 64
 BATCH_BYTES = 3_000_000
 
 
@@ -213,6 +214,11 @@ class Tokenizer:
         running = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
         for t in range(int(sizes[0])):
             k = running[t]
+            if k <= FEW_LANES:  # the rest of very long pre-tokens, one after the other
+                keys = [self.keys[s] for s in state[:k].tolist()]
+                for key, cut, size in zip(keys, cuts[:k].tolist(), sizes[:k].tolist(), strict=True):
+                    self._run_alone(raw[cut + t : cut + size], begins[cut + t : cut + size], key, deltas[cut + t : cut + size])
+                break
             at = cuts[:k] + t
             byte = raw[at]
             now = np.where(begins[at], 0, state[:k])
@@ -231,6 +237,24 @@ class Tokenizer:
                 state[:k] = np.array([self._state(key) for key in keys])[where]
         return deltas
 
+    def _run_alone(self, raw: np.ndarray, begins: np.ndarray, key: tuple, deltas: np.ndarray) -> None:
+        """The same for one chunk from a given state, transition by transition."""
+        state, known, out = self._state(key), {}, []
+        for byte, fresh in zip(raw.tobytes(), begins.tolist(), strict=True):
+            if fresh:
+                state = 0
+            value = known.get(state << 8 | byte)
+            if value is None:
+                value = int(self.table[state, byte])
+                value = known[state << 8 | byte] = value if value >= 0 else self._step(state, byte)
+            state = value >> 10
+            out.append((value & 1023) - 512)
+            if len(self.keys) > MAX_STATES:
+                key = self.keys[state]
+                self._empty()
+                state, known = self._state(key), {}
+        deltas[:] = out
+
     # -- the class transducer -----------------------------------------------------------------------
     def _char_classes(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where characters begin, and their classes."""
