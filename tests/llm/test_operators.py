@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -537,3 +538,22 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {(r.node, r.component) for r in got.collect()} == {(x, root(x)) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_texts_without_spaces_count_and_encode_as_the_libraries():
+    import sentencepiece as library
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("กขคงจฉชซนมยรลวอาีเ", k=200_000)), "x" * 5_000_000, "ab" * 30_000 + " c " + "ß" * 40_000, "short one"]
+    path = P.path("byte_bpe_50k.json")
+    counter, hf = token_counts.Tokenizer(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    began = time.perf_counter()
+    assert counter.count([t.encode() for t in texts]).tolist() == [len(hf.encode(t, add_special_tokens=False).ids) for t in texts]
+    model = open(P.path("piece_bpe_32k.model"), "rb").read()
+    pieces, sp = sentencepiece.Pieces(model), library.SentencePieceProcessor(model_proto=model)
+    texts = [texts[0], texts[2], texts[3]]
+    ids, counts = pieces.encode(texts)
+    assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == sp.encode(texts[0])
+    assert ids.tolist() == [i for t in texts for i in sp.encode(t)]
+    assert time.perf_counter() - began < 120

@@ -171,7 +171,9 @@ class Pieces:
         fence = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2))
         last, back = np.full(len(chars) + 1, -1), np.zeros(len(chars) + 1, int)
         at_start = start == begins[start]
-        for k in range(len(fence) - 1):  # all edges that end k + 1 characters into their word
+        by_size = np.sort(sizes)
+        side_by_side = int(by_size[-FEW_WORDS - 1]) if len(sizes) > FEW_WORDS else 0
+        for k in range(min(side_by_side, len(fence) - 1)):  # all edges that end k + 1 characters into their word
             s, e, p = (x[fence[k] : fence[k + 1]] for x in (start, end, piece))
             before = np.where(at_start[fence[k] : fence[k + 1]], -1, last[s - 1])
             ok = (p >= _UNKNOWN) | (before == -2)
@@ -179,13 +181,25 @@ class Pieces:
             fits = np.fromiter((self.may_follow((x >> 32) - 1, x & 0xFFFFFFFF) for x in pairs.tolist()), bool, len(pairs))
             ok[~ok] = fits[where]
             last[e[ok] - 1], back[e[ok] - 1] = p[ok], s[ok]
+        long = np.flatnonzero(depth > side_by_side)  # the rest of the few longest words, edge by edge
+        long = long[np.argsort(end[long], kind="stable")]
+        for s, e, p, at_first in zip(*(x[long].tolist() for x in (start, end, piece, at_start)), strict=True):
+            if p >= _UNKNOWN or self.may_follow(-1 if at_first else int(last[s - 1]), p):
+                last[e - 1], back[e - 1] = p, s
         place, word = word_end.copy(), np.arange(len(words))
         found = []
-        while len(place):
+        while len(place) > FEW_WORDS:
             found.append((word, last[place - 1], np.full(len(place), len(found))))
             place = back[place - 1]
             more = place > word_start[word]
             place, word = place[more], word[more]
+        turns = len(found)
+        for at, own in zip(place.tolist(), word.tolist(), strict=True):
+            steps = []
+            while at > word_start[own]:
+                steps.append(last[at - 1])
+                at = int(back[at - 1])
+            found.append((np.full(len(steps), own), np.array(steps, last.dtype), turns + np.arange(len(steps))))
         words_, ids, turn = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((-turn, words_))
         words_, ids = words_[order], ids[order]
@@ -242,6 +256,8 @@ class Pieces:
         return out
 
 
+#: So many words or fewer are relaxed one after the other.
+FEW_WORDS = 64
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _loaded: dict[int, Pieces] = {}
 
