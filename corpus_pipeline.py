@@ -1,6 +1,8 @@
 """From raw documents to encoded training text.
 
-Each stage takes (spark, docs, sf_dir) and gives what goes on; all but the last keep the columns of documents.
+Each stage takes (spark, docs, sf_dir) and gives what goes on; all but the last keep the columns of documents, whatever others
+there are and whatever they are called. A null text is an empty one, which the first stage drops; very long texts are read whole; rows may
+repeat and doc_ids may be null; an empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id goes on."""
+    """Of equal texts the one with the largest doc_id goes on, null last; of rows that are equal in both, one."""
     ship_package(spark)
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the one with the smallest doc_id goes on."""
+    """Of near copies the one with the smallest doc_id goes on, null last."""
     ship_package(spark)
     return drop_near_copies(docs)
 

@@ -196,10 +196,42 @@ def test_index_on_disk(spark, records, tmp_path):
     assert index.build_index(records, path) == len(ROWS)
     info = index.index_info(spark, path)
     assert info.records == len(ROWS) and info.dim > 0 and not index.is_index_stale(spark, path, "tfidf") and index.is_index_stale(spark, path, "dense")
-    norms = spark.read.parquet(f"{path}/vectors").groupBy("data_id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()
+    norms = spark.read.parquet(f"{path}/vectors").select(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x).alias("n")).collect()
     assert all(abs(r.n - 1) < 1e-9 for r in norms)
 
 
+def test_search_of_a_stored_index(spark, records, queries, tmp_path, monkeypatch):
+    chunks = search.record_chunks(records)
+    flat = lambda df: {(r.query_id, r.rank): (r.data_id, round(r.score, 6)) for r in df.collect()}
+    for backend, whole in (("tfidf", search.tfidf_search), ("bm25", search.bm25_search)):
+        path = str(tmp_path / backend)
+        index.build_index(records, path, backend)
+        want = flat(whole(queries, chunks, 4))
+        assert flat(search.index_search(queries, path, 4)) == want
+        with monkeypatch.context() as m:
+            m.setattr(sparse, "HELD_CELLS", 0)
+            assert flat(search.index_search(queries, path, 4)) == want
+    path = str(tmp_path / "wide")
+    with monkeypatch.context() as m:
+        m.setattr(sparse, "HELD_GRAMS", 3)
+        index.build_index(records, path)
+    assert flat(search.index_search(queries, path, 4)) == flat(search.tfidf_search(queries, chunks, 4))
+    encoder = lambda texts: [[len(t), t.count("i") + 1.0, t.count("s")] for t in texts]
+    path = str(tmp_path / "dense")
+    index.build_index(records, path, "dense", encoder)
+    hits = search.search_records(queries, records, 3, index=path, encoder=encoder).collect()
+    assert hits and all(0.35 <= r.score <= 1 for r in hits) and index.index_info(spark, path).dim == 3
+    assert [r.data_id for r in search.search_records(queries, records, 2, 0.0, index=str(tmp_path / "tfidf")).where("query_id = 2").orderBy("rank").collect()] == [4, 7]
+
+
+def test_containing(spark):
+    rows = [(3, "a b c d e f g h i"), (1, "x a b c d e f g hh"), (2, "  one two\n three four five six seven, eight"), (4, None), (5, "short")]
+    items = [(1, "b c d e f g h"), (2, "two\n three four five six seven, e"), (3, "hor"), (4, "b c d e f g i"), (5, "a b c d e f g h i j"), (6, "a b c")]
+    found = evaluate.containing(spark.createDataFrame(rows, "data_id long, cause string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {i: min((d for d, c in rows if c and t in c), default=None) for i, t in items}
+    assert {r.item_id: r.data_id for r in found.collect()} == {i: d for i, d in want.items() if d}
+
+
 def test_dense(spark):
     rng = np.random.default_rng(1)
     d = [(i, i // 2, rng.normal(size=6).tolist()) for i in range(300)]

@@ -66,6 +66,26 @@ def benchmark_results(cases: DataFrame, chunkings: dict[str, DataFrame], k: int
     return every
 
 
+def containing(records: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:
+    """(item_id, data_id): the first record whose symptom list holds an item's text (item_id, text); items that none holds are left out.
+
+    An item's words from the second on stand between white space, so they are words of a record that holds it: records meet items by five
+    of them, and only those that share them are looked at. Items of fewer than seven words are looked for one by one."""
+    cut = lambda c: F.split(F.col(c), r"\s+")
+    sized = items.select("item_id", "text", cut("text").alias("w"))
+    anchored = sized.where(F.size("w") >= words + 2).select("item_id", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")).alias("anchor"))
+    last = F.size("w") - words
+    runs = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+    held = records.select("data_id", cut("cause").alias("w")).where(last >= 0).select("data_id", F.explode(F.array_distinct(runs)).alias("anchor"))
+    pairs = held.join(anchored, "anchor").select("data_id", "item_id")
+    texts = records.select("data_id", "cause")
+    found = pairs.join(items.select("item_id", "text"), "item_id").join(texts, "data_id").where(F.contains("cause", "text")).select("item_id", "data_id")
+    short = sized.where(F.size("w") < words + 2).select("item_id", "text")
+    if not short.isEmpty():
+        found = found.unionByName(texts.join(short, F.contains("cause", "text")).select("item_id", "data_id"))
+    return found.groupBy("item_id").agg(F.min("data_id").alias("data_id"))
+
+
 def median_latency(timed: DataFrame) -> DataFrame:
     return timed.groupBy(*CONFIG).agg(F.median("latency_ms").alias("median_ms"))
 
@@ -108,7 +128,7 @@ def regression_check(cases: DataFrame, records: DataFrame, min_similarity: float
 def noise_floor(off_topic: DataFrame, records: DataFrame) -> DataFrame:
     """The best score that questions beside the point reach, and which one does."""
     hits = search_records(off_topic, records, k=1, min_similarity=float("-inf")).join(off_topic, "query_id")
-    return hits.agg(F.max("score").alias("noise"), F.max_by("query", "score").alias("query"))
+    return hits.agg(F.max("score").alias("noise"), F.min_by("query", F.struct(-F.col("score"), "query_id")).alias("query"))
 
 
 def accuracy_summary(checked: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ texts rank alike whatever order sums were made in.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 import pandas as pd
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import char_ngrams, char_wb_ngrams, is_blank, search_text
 from trawl.operators import sparse
-from trawl.operators.index import K1, NGRAM, B, bm25_weights, corpus_stats, fit_bm25, fit_tfidf, tfidf_weights, wb_frequencies
+from trawl.operators.cache import encode
+from trawl.operators.index import K1, NGRAM, B, bm25_weights, corpus_stats, fit_bm25, fit_tfidf, index_info, tfidf_vocabulary, tfidf_weights, wb_frequencies
 
 RRF_K = 60
 TOP_K, MIN_SIMILARITY = 2, {"tfidf": 0.19, "dense": 0.35}
@@ -77,7 +78,7 @@ def pad_zeros(scores: DataFrame, queries: DataFrame, chunks: DataFrame, k: int)
 def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """Lists of k records, those without any similarity last. While the vocabulary and the queries' grams fit a task, chunks are
     scored and cut to k where they are; beyond that, grams are joined."""
-    weights = tfidf_weights(chunks)
+    weights = tfidf_weights(tfidf_vocabulary(chunks))
     asked = tfidf_queries(queries, weights) if weights else None
     if asked is None:
         pooled = max_pool(tfidf_scores(queries, chunks))
@@ -89,10 +90,43 @@ def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame
 def tfidf_queries(queries: DataFrame, weights: sparse.Weights) -> sparse.Asked | None:
     """The queries as unit vectors over the vocabulary, if a task can hold them."""
     known = queries.sparkSession.createDataFrame(pd.DataFrame({"code": weights.codes, "idf": weights.idf}), "code long, idf double")
-    raw = sparse.query_grams(queries, sparse.WORD_GRAMS).join(F.broadcast(known), "code")  # HELD_GRAMS at most
+    return sparse.held_queries(query_vectors(queries, F.broadcast(known)))  # HELD_GRAMS at most
+
+
+def query_vectors(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Queries as unit vectors (query_id, code, w) over a vocabulary (code, idf)."""
+    raw = sparse.query_grams(queries, sparse.WORD_GRAMS).join(vocabulary, "code")
     raw = raw.select("query_id", "code", (F.col("qn") * F.col("idf")).alias("w"))
     norms = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sparse.held_queries(raw.join(norms, "query_id").select("query_id", "code", (F.col("w") / F.col("norm")).alias("w")))
+    return raw.join(norms, "query_id").select("query_id", "code", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def index_search(queries: DataFrame, path: str, k: int = 5, encoder: Callable[[list[str]], object] | None = None) -> DataFrame:
+    """Lists of k records from what ``build_index`` wrote, whatever backend did; no record is read and nothing is fitted."""
+    from trawl.operators.dense import dense_search
+
+    spark = queries.sparkSession
+    info = index_info(spark, path)
+    if info is None:
+        raise ValueError(f"no index under {path}")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    if info.backend == "dense":
+        asked = encode(queries.select("query_id", F.col("query").alias("text")), encoder)
+        return dense_search(asked.select("query_id", "vector"), vectors.select("data_id", "vector"), k)
+    vocabulary = spark.read.parquet(f"{path}/vocabulary")
+    if info.backend == "bm25":
+        weighed = sparse.query_grams(queries, sparse.text_grams(NGRAM)).withColumnRenamed("qn", "w").join(vocabulary.select("code"), "code", "left_semi")
+    else:
+        weighed = query_vectors(queries, vocabulary.select("code", "idf"))
+    asked = sparse.held_queries(weighed)
+    if asked is None:
+        entries = vectors.select("data_id", "chunk_id", F.explode(F.arrays_zip("codes", "values")).alias("e"))
+        entries = entries.select("data_id", "chunk_id", F.col("e.codes").alias("code"), F.col("e.values").alias("v"))
+        scores = entries.join(weighed, "code").groupBy("query_id", "data_id", "chunk_id").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
+    else:
+        scores = sparse.local_lists(vectors, asked, k)
+    pooled = max_pool(scores)
+    return top_k(max_pool(pad_zeros(pooled, queries, vectors, k)) if info.backend == "tfidf" else pooled, k)
 
 
 def rrf_depth(k: int) -> int:
@@ -145,11 +179,18 @@ def record_chunks(records: DataFrame) -> DataFrame:
     return records.select("data_id", F.lit(0).cast("long").alias("chunk_id"), search_text(F.col("cause"), F.col("symptoms")).alias("text"))
 
 
-def search_records(queries: DataFrame, records: DataFrame, k: int | None = None, min_similarity: float | None = None) -> DataFrame:
-    """Search as a service does it: blank queries get nothing, k of None or 0 is the default, a missing threshold is the backend's."""
+def search_records(queries: DataFrame, records: DataFrame, k: int | None = None, min_similarity: float | None = None, index: str | None = None, encoder=None) -> DataFrame:
+    """Search as a service does it: blank queries get nothing, k of None or 0 is the default, a missing threshold is the backend's.
+
+    With ``index`` the index under that path is searched, by its backend; without, the records are indexed for this table of
+    queries by TF-IDF."""
     asked = queries.where(~is_blank(F.col("query")))
-    hits = tfidf_search(asked, record_chunks(records), k or TOP_K)
-    return attach_records(threshold(hits, MIN_SIMILARITY["tfidf"] if min_similarity is None else min_similarity), records)
+    if index is None:
+        backend, hits = "tfidf", tfidf_search(asked, record_chunks(records), k or TOP_K)
+    else:
+        hits = index_search(asked, index, k or TOP_K, encoder)
+        backend = index_info(queries.sparkSession, index).backend
+    return attach_records(threshold(hits, MIN_SIMILARITY.get(backend, 0.0) if min_similarity is None else min_similarity), records)
 
 
 def hit_counts(queries: DataFrame, hits: DataFrame) -> DataFrame:

@@ -182,6 +182,21 @@ def encode(chunks: DataFrame, grams: Grams, weights: Weights) -> DataFrame:
     return grams.prepared(chunks, "text", "data_id", "chunk_id").mapInArrow(run, _ENCODED)
 
 
+def encode_joined(chunks: DataFrame, grams: Grams, vocabulary: DataFrame) -> DataFrame:
+    """The unit vectors of ``encode`` for a vocabulary (code, idf) that no task can hold: counts meet it in a join."""
+    ship_package(chunks.sparkSession)
+
+    def run(batches):
+        for (data, chunk), texts in _slices(batches, "data_id", "chunk_id"):
+            owner, code, count = counted_grams(texts, grams)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (data[owner], chunk[owner], code, count)], ["data_id", "chunk_id", "code", "n"])
+
+    counts = grams.prepared(chunks, "text", "data_id", "chunk_id").mapInArrow(run, "data_id long, chunk_id long, code long, n long")
+    raw = counts.join(vocabulary, "code").select("data_id", "chunk_id", "code", (F.col("n") * F.col("idf")).alias("w"))
+    found = raw.groupBy("data_id", "chunk_id").agg(F.collect_list(F.struct("code", "w")).alias("found"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return found.select("data_id", "chunk_id", F.col("found.code").alias("codes"), F.transform("found.w", lambda w: w / F.col("norm")).alias("values"))
+
+
 @dataclass(frozen=True)
 class Asked:
     """Queries as a matrix: ``weights`` has a row for each of the sorted ``codes`` and a column for each of ``ids``."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trawl.operators.testset import PREFIXES, SUFFIXES
+from trawl.operators.testset import COLLOQUIAL, NEGATIVES, PREFIXES, SUFFIXES
 
 RECORDS = """
 rec AS (SELECT doc_id + 1 AS data_id, concat(lang, ' ', source, ' #', doc_id) AS symptoms, text AS cause, source AS diagnosis, lang AS treatment FROM documents),
@@ -176,7 +176,9 @@ g AS (SELECT *, row_number() OVER (PARTITION BY disease ORDER BY pos) AS turn, d
         "dense_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, d.vec_id AS data_id, list_dot_product(q.e, d.e) AS score FROM v q, v d WHERE q.vec_id % 50 = 0)
 SELECT query_id, data_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, data_id) AS rank FROM s) WHERE rank <= 5""",
-        "search_hits": f"{SEARCH} SELECT query_id, rank, data_id, symptoms AS disease, diagnosis AS cause, treatment, round(score, 4) AS score FROM ti JOIN rec USING (data_id) WHERE score >= 0",
+        "index_search": f"{SEARCH} {ranked} ti",
+        "index_search_bm25": f"WITH {RECORDS}, {SEARCHED}, {bm25(5)} {ranked} bm",
+        "search_hits": f"{SEARCH} SELECT query_id, rank, data_id, symptoms AS disease, cause AS symptoms, diagnosis AS cause, treatment, round(score, 4) AS score FROM ti JOIN rec USING (data_id) WHERE score >= 0",
         "search_hit_counts": f"{SEARCH} SELECT query_id, count(*) FILTER (score >= 0.19) AS hits FROM ask LEFT JOIN ti USING (query_id) GROUP BY 1",
         "chunks_row_symptom_only": f"WITH {RECORDS} {whole(strip('cause'), 'symptom_only')}",
         "chunks_row_combined": f"WITH {RECORDS} {whole(COMBINED, 'combined')}",
@@ -196,7 +198,7 @@ SELECT phrase, -1 AS ord, 0 AS variant_ord, phrase AS variant FROM p """
         "tfidf_vectors": f"""WITH {RECORDS}, {COMBINED_CHUNK}, {tfidf(5)} SELECT data_id, count(*) AS grams, round(sum(w / nd), 6) AS weight, round(sum(w / nd * w / nd), 6) AS norm
 FROM wd JOIN nd USING (data_id, chunk_id) GROUP BY 1""",
         "eval_metrics": f"{JUDGED} SELECT * FROM met",
-        "eval_failures": f"{JUDGED} SELECT retriever, category, expected_data_id AS expected, got, rank FROM jd WHERE expected_data_id >= 0 AND rank <> 1",
+        "eval_failures": f"{JUDGED} SELECT retriever, category, query, expected_data_id AS expected, got, rank FROM jd WHERE expected_data_id >= 0 AND rank <> 1",
         "eval_by_category": f"{JUDGED} SELECT retriever, category, round(avg((rank = 1)::INT), 6) AS accuracy FROM jd WHERE expected_data_id >= 0 GROUP BY 1, 2",
         "eval_best": f"{JUDGED} SELECT retriever, recall_1, mrr FROM met ORDER BY recall_1 DESC, mrr DESC, list_position(['bm25', 'tfidf', 'hybrid'], retriever) LIMIT 1",
         "eval_weakest": f"""{JUDGED}, a AS (SELECT retriever, category, avg((rank = 1)::INT) AS accuracy FROM jd WHERE expected_data_id >= 0 GROUP BY 1, 2)
@@ -222,8 +224,12 @@ j AS (SELECT data_id, string_agg(phrase, ' ' ORDER BY turn) AS t FROM d WHERE tu
 SELECT {decorate('t', 'data_id', "'partial'")} AS query, data_id AS expected_data_id, 'partial' AS category, '' AS note FROM j""",
         "testset_colloquial": f"""{PH}, c AS (SELECT *, {colloquial(terms)} AS casual FROM ph)
 SELECT {decorate('casual', 'data_id', 'pos', "'c'")} AS query, data_id AS expected_data_id, 'colloquial' AS category, 'from: ' || phrase AS note FROM c WHERE casual <> phrase""",
+        "testset_counts": f"""{PH}, t AS (SELECT data_id, count(*) AS k FROM ph GROUP BY 1),
+c AS (SELECT 'exact' AS category, count(*) AS n FROM rec WHERE {strip('cause')} <> '' UNION ALL SELECT 'single', sum(least(k, 3)) FROM t UNION ALL SELECT 'partial', count(*) FROM t WHERE k >= 3
+  UNION ALL SELECT 'colloquial', count(*) FROM ph WHERE {colloquial(COLLOQUIAL)} <> phrase UNION ALL SELECT 'typo', count(*) FROM t UNION ALL SELECT 'negative', {len(NEGATIVES)})
+SELECT category, n::BIGINT AS n FROM c WHERE n > 0""",
         "regression_check": f"{REGRESSION} SELECT *, passed AND margin < 0.05 AS fragile, passed AND top_score < 0.19 AS filtered FROM chk",
         "accuracy_summary": f"""{REGRESSION} SELECT count(*) FILTER (passed) AS passed, count(*) AS total, min(top_score) FILTER (passed) AS lowest, max(top_score) FILTER (passed) AS highest FROM chk""",
-        "noise_floor": f"{REGRESSION} SELECT max(hit.score) AS noise FROM hit JOIN lab ON case_id = query_id WHERE expected_data_id < 0 AND rank = 1",
+        "noise_floor": f"{REGRESSION} SELECT max(hit.score) AS noise, first(lab.query ORDER BY hit.score DESC, case_id) AS query FROM hit JOIN lab ON case_id = query_id WHERE expected_data_id < 0 AND rank = 1",
     }
 

@@ -6,10 +6,12 @@ Records are ``documents`` with data_id = doc_id + 1, the text as their symptom l
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.functions.scratch import ship_package
+from trawl.functions.scratch import scratch_root, ship_package
 from trawl.functions.text import split_phrases
 from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, testset
 from trawl.plans.oracles import oracle_sql
@@ -77,7 +79,17 @@ def dense_topk(spark, sf_dir):
 
 def search_hits(spark, sf_dir):
     hits = search.search_records(asked(spark, sf_dir), records(spark, sf_dir), 5, 0.0)
-    return hits.select("query_id", "rank", "data_id", "disease", "cause", "treatment", "score")
+    return hits.select("query_id", "rank", "data_id", "disease", "symptoms", "cause", "treatment", "score")
+
+
+def index_search(backend):
+    def run(spark, sf_dir):
+        """The stored index of all documents, searched without reading them again."""
+        path = f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
+        index.build_index(records(spark, sf_dir), path, backend)
+        return _ranked(search.index_search(asked(spark, sf_dir), path))
+
+    return run
 
 
 def search_hit_counts(spark, sf_dir):
@@ -122,8 +134,7 @@ def tfidf_vectors(spark, sf_dir):
 
 def labelled(spark, sf_dir) -> DataFrame:
     """Every benchmark passage, expected in the first record that holds it, or nowhere (-1)."""
-    items = F.broadcast(_read(spark, sf_dir, "benchmark"))  # the query table
-    found = records(spark, sf_dir).join(items, F.contains("cause", "text")).groupBy("item_id").agg(F.min("data_id").alias("data_id"))
+    found = evaluate.containing(records(spark, sf_dir), _read(spark, sf_dir, "benchmark"))
     return _read(spark, sf_dir, "benchmark").join(found, "item_id", "left").select(
         F.col("item_id").alias("case_id"),
         F.col("text").alias("query"),
@@ -150,7 +161,7 @@ def eval_metrics(spark, sf_dir):
 
 
 def eval_failures(spark, sf_dir):
-    return evaluate.failures(_judged(spark, sf_dir)).select("retriever", "category", "expected", "got", "rank")
+    return evaluate.failures(_judged(spark, sf_dir)).select("retriever", "category", "query", "expected", "got", "rank")
 
 
 def eval_by_category(spark, sf_dir):
@@ -251,7 +262,7 @@ def last_question(spark, sf_dir):
 
 
 def prompt_stats(spark, sf_dir):
-    return chat.prompt_stats(chat.batch_rag(turns(spark, sf_dir), records(spark, sf_dir), 2, 0.0)).select("session_id", "history_turns", "n_hits")
+    return chat.prompt_stats(chat.batch_rag(turns(spark, sf_dir), records(spark, sf_dir), 2, 0.0))
 
 
 def batch_prompts(spark, sf_dir):
@@ -270,6 +281,13 @@ def testset_colloquial(spark, sf_dir):
     return testset.cases_colloquial(records(spark, sf_dir), TERMS)
 
 
+def self_found(spark, sf_dir):
+    """Incoming records that find themselves first."""
+    rows, existing = _incoming(spark, sf_dir)
+    new = search.to_raw_names(ingest.assign_ids(ingest.preview(rows, existing)[0], 1000))
+    return ingest.verify_self_retrieval(new, new)
+
+
 def testset_counts(spark, sf_dir):
     return testset.category_counts(testset.make_testset(records(spark, sf_dir)))
 
@@ -291,7 +309,7 @@ def accuracy_summary(spark, sf_dir):
 
 def noise_floor(spark, sf_dir):
     off = labelled(spark, sf_dir).where("expected_data_id < 0").select(F.col("case_id").alias("query_id"), "query")
-    return evaluate.noise_floor(off, records(spark, sf_dir)).select("noise")
+    return evaluate.noise_floor(off, records(spark, sf_dir))
 
 
 QUERIES = {
@@ -300,6 +318,8 @@ QUERIES = {
     "tfidf_topk": tfidf_topk,
     "rrf_topk": rrf_topk,
     "dense_topk": dense_topk,
+    "index_search": index_search("tfidf"),
+    "index_search_bm25": index_search("bm25"),
     "search_hits": search_hits,
     "search_hit_counts": search_hit_counts,
     **{f"chunks_{s}": chunks(s) for s in chunking.strategies(SYNONYMS)},
@@ -335,6 +355,7 @@ QUERIES = {
     "testset_colloquial": testset_colloquial,
     "testset_typo": testset_cases(testset.cases_typo),
     "testset_counts": testset_counts,
+    "self_found": self_found,
     "regression_check": regression_check,
     "accuracy_summary": accuracy_summary,
     "noise_floor": noise_floor,
