@@ -166,8 +166,9 @@ def _meet(similarity: float, one_sided: bool):
                     linked = y[part] @ x[here].T >= similarity
                     linked |= guests[part][:, None] == homes[here]  # a vector meets itself whatever rounding does
                     counts[part] += linked @ home_copies[here]
-                    for k, hit in zip(part.tolist(), linked, strict=True):
-                        hits = np.flatnonzero(hit & (homes[here] != guests[k]))
+                    others = linked & (guests[part][:, None] != homes[here])
+                    for at in np.flatnonzero(others.any(axis=1)).tolist():
+                        k, hits = int(part[at]), np.flatnonzero(others[at])
                         if one_sided:
                             for h in here[hits].tolist():
                                 if spots[k] not in returned[h]:
@@ -176,8 +177,7 @@ def _meet(similarity: float, one_sided: bool):
                         for h in hits[one].tolist():
                             if forest.join(int(homes[here[h]]), int(guests[k])):
                                 edges.append((int(homes[here[h]]), int(guests[k])))
-                        if len(hits):
-                            roots[np.isin(roots, roots[hits])] = forest.root(int(guests[k]))
+                        roots[np.isin(roots, roots[hits])] = forest.root(int(guests[k]))
             more = np.flatnonzero(extra)
             rid = np.concatenate([guests, homes[more], np.array([a for a, _ in edges], np.int64)])
             other = np.concatenate([np.full(len(guests) + len(more), -1), np.array([b for _, b in edges], np.int64)])
