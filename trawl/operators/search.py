@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,6 +37,21 @@ def query_grams(queries: DataFrame, grams) -> DataFrame:
     return queries.select("query_id", F.explode(grams).alias("gram")).groupBy("query_id", "gram").agg(F.count(F.lit(1)).alias("qn"))
 
 
+def _any_ids(search):
+    """Searches whose tasks work on long query ids, for ids of any type: others are coded by 64 bits of hash on the way."""
+
+    @wraps(search)
+    def run(queries: DataFrame, *args, **options) -> DataFrame:
+        if dict(queries.dtypes)["query_id"] in ("bigint", "int"):
+            return search(queries, *args, **options)
+        names = queries.select(F.xxhash64("query_id").alias("coded"), "query_id").distinct()
+        hits = search(queries.withColumn("query_id", F.xxhash64("query_id")), *args, **options).withColumnRenamed("query_id", "coded")
+        return hits.join(names, "coded").select("query_id", "data_id", "rank", "score")
+
+    return run
+
+
+@_any_ids
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = K1, b: float = B, n: int = NGRAM) -> DataFrame:
     """Only records with a score above zero are listed. While the queries' grams fit a task, chunks are scored and cut to k where
     they are; beyond that, grams are joined."""
@@ -75,6 +91,7 @@ def pad_zeros(scores: DataFrame, queries: DataFrame, chunks: DataFrame, k: int)
     return scores.select("query_id", "data_id", "score").unionByName(spare.withColumn("score", F.lit(0.0)))
 
 
+@_any_ids
 def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """Lists of k records, those without any similarity last. While the vocabulary and the queries' grams fit a task, chunks are
     scored and cut to k where they are; beyond that, grams are joined."""
@@ -101,6 +118,7 @@ def query_vectors(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return raw.join(norms, "query_id").select("query_id", "code", (F.col("w") / F.col("norm")).alias("w"))
 
 
+@_any_ids
 def index_search(queries: DataFrame, path: str, k: int = 5, encoder: Callable[[list[str]], object] | None = None) -> DataFrame:
     """Lists of k records from what ``build_index`` wrote, whatever backend did; no record is read and nothing is fitted."""
     from trawl.operators.dense import dense_search
