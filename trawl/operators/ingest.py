@@ -65,7 +65,8 @@ def assign_ids(rows: DataFrame, high_water: int, column: str = "data_id", order:
     offsets = F.broadcast(sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__offset")))
     turn = F.row_number().over(Window.partitionBy("__part").orderBy(order))
     numbered = placed.withColumn("__turn", turn).join(offsets, "__part")
-    return numbered.select(*rows.columns, (F.lit(high_water) + F.col("__offset") + F.col("__turn")).alias(column))
+    others = [c for c in rows.columns if c != column]  # a column of that name is numbered anew
+    return numbered.select(*others, (F.lit(high_water) + F.col("__offset") + F.col("__turn")).alias(column))
 
 
 def preview(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
