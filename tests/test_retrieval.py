@@ -1,5 +1,6 @@
 """Retrieval operators against plain Python models, on small fixtures of the shape that the records have."""
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -274,11 +275,30 @@ def test_regression_and_noise(spark, records):
 
 
 def test_benchmark_matrix(spark, records):
+    letters = lambda texts: np.array([[1.0 + t.count(c) for c in "aeinorst"] for t in texts])
     cases = testset.cases_exact(records).where("query <> ''").withColumn("case_id", F.col("expected_data_id"))
     made = {s: chunking.build_chunks(records, s, SYNONYMS) for s in ("row_combined", "per_symptom")}
     results = evaluate.benchmark_results(cases, made)
     got = evaluate.metrics(evaluate.judged(results, cases)).collect()
     assert len(got) == 6 and all(r.recall_3 >= r.recall_1 >= 0.5 for r in got)
+    every = evaluate.benchmark_results(cases, {"row_combined": made["row_combined"]}, encoder=letters)
+    assert {r.retriever for r in every.select("retriever").distinct().collect()} == {"bm25", "tfidf", "hybrid(bm25+tfidf)", "dense", "hybrid(bm25+dense)"}
+    texts, queries = {r.data_id: r.text for r in made["row_combined"].collect()}, {r.case_id: r.query for r in cases.collect()}
+    unit = lambda t: letters([t])[0] / np.linalg.norm(letters([t])[0])
+    for case, q in queries.items():
+        want = rank({i: float(unit(t) @ unit(q)) for i, t in texts.items()}, 5)
+        rows = every.where(f"retriever = 'dense' and case_id = {case}").orderBy("rank").collect()
+        assert np.allclose([r.score for r in rows], [s for _, s in want], atol=1e-5)
+
+
+def model_typos(text, seed, rate=0.08):
+    for i in range(1, max(1, int(len(text) * rate)) + 1) if text else ():
+        digits = hashlib.md5(f"{seed}|{i}".encode()).hexdigest()
+        if len(text) >= 3:
+            at, kind = int(digits[:7], 16) % (len(text) - 1), int(digits[7:14], 16) % 3
+            a, b = text[at], text[at + 1]
+            text = text[:at] + (b, a + a + b, b + a)[kind] + text[at + 2 :]
+    return text
 
 
 def test_testset(spark, records):
@@ -288,7 +308,9 @@ def test_testset(spark, records):
     assert counts["single"] == sum(min(3, len(p)) for p in ps.values()) and counts["partial"] == sum(len(p) >= 3 for p in ps.values())
     assert counts["exact"] == 6 and counts["typo"] == sum(bool(p) for p in ps.values()) and counts["negative"] == 10
     assert sorted(map(str, cases.collect())) == sorted(map(str, testset.make_testset(records.repartition(1)).collect()))
-    assert testset.typo("ab", "s") == "ab" and testset.typo("abcdef", "s") == testset.typo("abcdef", "s") != "abcdef"
+    texts = ["ab", "", None, "abcdef", "é🎉xyz", "a long enough phrase for two edits " * 3]
+    seen = spark.createDataFrame([(t, "s") for t in texts], "t string, s string").select("t", testset.add_typos(F.col("t"), F.col("s")).alias("noisy")).collect()
+    assert {r.t: r.noisy for r in seen} == {t: model_typos(t, "s") for t in texts}
     terms = [("skin", ["hide"]), ("hide", ["coat"])]
     got = spark.createDataFrame([("skin hide",)], "t string").select(testset.colloquialise(F.col("t"), F.lit(1), terms=terms).alias("c")).first()
     assert got.c == "coat coat"
@@ -307,11 +329,17 @@ def test_health(spark, records):
         got = {(r.a, r.b): r.similarity for r in health.confusable_pairs(records, block_records=block).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     listed = health.self_lists(records).cache()
-    assert {(r.data_id, r.found) for r in health.self_retrieval_failures(listed).collect()} <= {(7, 4), (12, 1), (9, 1)}
+    own = [(r[0], 0, combined(r), "") for r in ROWS if combined(r)]
+    found = {r[0]: [i for i, _ in model_tfidf(own, r[2] or r[1], 3)] for r in ROWS if (r[2] or r[1]).strip()}
+    assert {(r.data_id, r.found) for r in health.self_retrieval_failures(listed).collect()} == {(i, f[0]) for i, f in found.items() if f[0] != i}
+    times = Counter(i for f in found.values() for i in f)
+    want = {(i, n) for i, n in times.items() if n > max(3, 0.25 * len(ROWS))}
+    assert want and {(r.data_id, r.n) for r in health.magnets(listed, records).collect()} == want
     report = health.health_report(records)
     n = Counter(r.check for r in report.collect())
     assert health.issue_total(report).first().issues == n["thin"] + n["confusable"] + n["self_retrieval"]
-    assert all(r.n > 3 for r in health.magnets(listed, records).collect())
+    chunks = {r.strategy: r.chunks for r in chunking.describe_chunks(records).collect()}
+    assert {r.check: r.value for r in report.where("check like 'chunks:%'").collect()} == {f"chunks:{k}": v for k, v in chunks.items()}
 
 
 def test_cache(spark):
@@ -393,6 +421,8 @@ def test_chat(spark, records):
     split = {r.session_id: r for r in chat.last_question(chat.split_roles(turns)).collect()}
     assert split["s"].system == "\nbe kind" and split["s"].question == " watery eyes " and split["s"].earlier == "hi\nhello" and split["s"].profiles == ['{"name":"Mia"}']
     assert split["t"].question == "" and split["t"].earlier == "q" and split["u"].question == "" and split["u"].system == "\nx\ny"
+    asked = {r.session_id: r for r in chat.questions(turns).collect()}
+    assert all((asked[k].system, asked[k].question, asked[k].profiles) == (r.system, r.question, r.profiles) for k, r in split.items()) and asked.keys() == split.keys()
     pairs = chat.pair_turns(turns)
     assert {(r.session_id, r.user_message, r.ai_response) for r in pairs.collect()} == {("s", "hi", "hello"), ("t", "q", "a")}
     many = spark.createDataFrame([(i, "s", f"u{i}", f"a{i}") for i in range(30)], "id long, session_id string, user_message string, ai_response string")

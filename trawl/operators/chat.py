@@ -69,6 +69,18 @@ def last_question(split: DataFrame) -> DataFrame:
     return split.withColumn("question", question).withColumn("earlier", earlier)
 
 
+def questions(turns: DataFrame) -> DataFrame:
+    """(session_id, system, question, profiles) as ``last_question`` has them, without a session's turns in a row: of what was spoken only
+    the last turn is kept, by a partial aggregate."""
+    said = F.when(F.col("role").isin("user", "assistant"), F.struct("turn", "role", "content"))
+    last = turns.groupBy("session_id").agg(F.max(said).alias("last"))
+    kept = split_roles(turns.where(~F.col("role").isin("user", "assistant"))).drop("spoken")
+    question = F.when(F.col("last.role") == "user", F.coalesce("last.content", F.lit(""))).otherwise(F.lit(""))
+    return last.select("session_id", question.alias("question")).join(kept, "session_id", "left").select(
+        "session_id", F.coalesce("system", F.lit("")).alias("system"), "question", F.coalesce("profiles", F.array().cast("array<string>")).alias("profiles")
+    )
+
+
 def build_context(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Adds context: the profiles' JSON, then all hits as one JSON array, a line each; and how many hits there are."""
     fields = F.struct("rank", "data_id", "disease", "symptoms", "cause", "treatment", "score")
@@ -113,6 +125,6 @@ def prompt_stats(prompts: DataFrame) -> DataFrame:
 
 def batch_rag(turns: DataFrame, records: DataFrame, k: int | None = None, min_similarity: float | None = None, limit: int = HISTORY) -> DataFrame:
     """The prompts of a whole table of sessions: question, search, context, history, messages. Answered turns are the history."""
-    asked = last_question(split_roles(turns))
+    asked = questions(turns)
     hits = search_records(asked.select(F.col("session_id").alias("query_id"), F.col("question").alias("query")), records, k, min_similarity)
     return build_prompts(build_context(asked, hits), recent_history(pair_turns(turns), limit))

@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.functions.scratch import materialise
+from trawl.operators.cache import Encoder, encode
+from trawl.operators.dense import dense_search
 from trawl.operators.search import bm25_search, rrf_depth, rrf_fuse, search_records, tfidf_search, to_honest_names
 
 CONFIG = ["chunking", "retriever"]
@@ -51,14 +54,21 @@ def failures(judgements: DataFrame) -> DataFrame:
     return missed.select(*CONFIG, "category", "query", F.col("expected_data_id").alias("expected"), "got", "rank")
 
 
-def benchmark_results(cases: DataFrame, chunkings: dict[str, DataFrame], k: int = 5) -> DataFrame:
-    """Ranked lists of every chunking with BM25, TF-IDF and their fusion. Lists are made once, at the depth the fusion needs."""
+def benchmark_results(cases: DataFrame, chunkings: dict[str, DataFrame], k: int = 5, encoder: Encoder | None = None) -> DataFrame:
+    """Ranked lists of every chunking with BM25, TF-IDF and their fusion, and with an encoder dense search and its fusion with BM25.
+
+    Lists are made once, at the depth the fusions need, and written: k rows a query and list."""
     queries = cases.select(F.col("case_id").alias("query_id"), "query")
-    every = None
+    depth, every = rrf_depth(k), None
     for name, chunks in chunkings.items():
-        lexical = bm25_search(queries, chunks, rrf_depth(k)).persist()
-        cosine = tfidf_search(queries, chunks, rrf_depth(k)).persist()
-        for retriever, ranked in (("bm25", lexical), ("tfidf", cosine), ("hybrid(bm25+tfidf)", rrf_fuse([lexical, cosine], top=k))):
+        lists = {"bm25": materialise(bm25_search(queries, chunks, depth)), "tfidf": materialise(tfidf_search(queries, chunks, depth))}
+        lists["hybrid(bm25+tfidf)"] = rrf_fuse([lists["bm25"], lists["tfidf"]], top=k)
+        if encoder:
+            vectors = encode(chunks.select("data_id", "text"), encoder).select("data_id", "vector")
+            asked = encode(queries.select("query_id", F.col("query").alias("text")), encoder).select("query_id", "vector")
+            lists["dense"] = materialise(dense_search(asked, vectors, depth))
+            lists["hybrid(bm25+dense)"] = rrf_fuse([lists["bm25"], lists["dense"]], top=k)
+        for retriever, ranked in lists.items():
             own = ranked.where(F.col("rank") <= k).select(
                 F.lit(name).alias("chunking"), F.lit(retriever).alias("retriever"), F.col("query_id").alias("case_id"), "data_id", "rank", "score"
             )

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawl.functions.scratch import materialise
 from trawl.functions.text import split_phrases, strip
-from trawl.operators.chunking import row_combined
+from trawl.operators.chunking import describe_chunks, row_combined
 from trawl.operators.index import encode_tfidf, fit_tfidf
 from trawl.operators.search import top_k
 
@@ -112,9 +113,10 @@ def magnets(lists: DataFrame, records: DataFrame) -> DataFrame:
     return seen.where(F.col("n") > F.greatest(F.lit(3.0), 0.25 * F.col("records"))).select("data_id", "n")
 
 
-def health_report(records: DataFrame) -> DataFrame:
-    """(check, data_id, other_id, value) of all checks; thin records, pairs and self-retrieval failures are issues."""
-    lists = self_lists(records).persist()
+def health_report(records: DataFrame, synonyms: list[tuple[str, list[str]]] = ()) -> DataFrame:
+    """(check, data_id, other_id, value) of all checks; thin records, pairs and self-retrieval failures are issues. The chunks that
+    each way of cutting makes are reported as ``chunks:`` and its name, without a record."""
+    lists = materialise(self_lists(records))
     none = F.lit(None).cast("long")
 
     def rows(df, check, data_id, other, value):
@@ -126,6 +128,7 @@ def health_report(records: DataFrame) -> DataFrame:
         rows(confusable_pairs(records), "confusable", F.col("a"), F.col("b"), F.col("similarity")),
         rows(self_retrieval_failures(lists), "self_retrieval", F.col("data_id"), F.col("found"), F.lit(1.0)),
         rows(magnets(lists, records), "magnet", F.col("data_id"), none, F.col("n")),
+        describe_chunks(records, synonyms).select(F.concat(F.lit("chunks:"), "strategy").alias("check"), none.alias("data_id"), none.alias("other_id"), F.col("chunks").cast("double").alias("value")),
     ]
     every = parts[0]
     for part in parts[1:]:

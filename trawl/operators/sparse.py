@@ -19,6 +19,8 @@ from trawl.functions.text import WHITE_SPACE, padded
 
 #: Code points that are cut into grams at once; grams of a vocabulary, and cells of a matrix of query weights, that a task may hold.
 SLICE_CHARS, HELD_GRAMS, HELD_CELLS = 50_000, 2_000_000, 16_000_000
+#: Cells of a matrix of chunks that are multiplied at once.
+SLICE_CELLS = 4_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -244,6 +246,20 @@ def _best(k: int, query: np.ndarray, data: np.ndarray, score: np.ndarray):
     return query[turn < k], data[turn < k], score[turn < k]
 
 
+def _products(row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int, weights: np.ndarray) -> np.ndarray:
+    """The product of a sparse matrix, its entries by row, and ``weights``: entry by entry while short texts leave nearly all of it empty,
+    else as a dense one."""
+    if len(row) * weights.shape[1] > SLICE_CELLS or 4 * len(row) > rows * len(weights):
+        matrix = np.zeros((rows, len(weights)))
+        matrix[row, column] = value
+        return matrix @ weights
+    scores = np.zeros((rows, weights.shape[1]))
+    if len(row):
+        heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        scores[row[heads]] = np.add.reduceat(weights[column] * value[:, None], heads, axis=0)
+    return scores
+
+
 def local_lists(encoded: DataFrame, asked: Asked, k: int) -> DataFrame:
     """(query_id, data_id, score): the best k records of each query in each task, scores above zero only."""
     ship_package(encoded.sparkSession)
@@ -255,14 +271,15 @@ def local_lists(encoded: DataFrame, asked: Asked, k: int) -> DataFrame:
         for batch in batches:
             data = batch.column("data_id").to_numpy()
             lists, values = batch.column("codes"), batch.column("values")
-            rows = max(1, 4_000_000 // max(len(queries.codes), len(queries.ids), 1))
+            rows = max(1, SLICE_CELLS // max(len(queries.codes), len(queries.ids), 1))
             for start in range(0, len(data), rows):
                 own, part = lists.slice(start, rows), data[start : start + rows]
                 at, known = _found(queries.codes, own.flatten().to_numpy())
                 row = np.repeat(np.arange(len(part)), own.value_lengths().to_numpy())
-                matrix = np.zeros((len(part), len(queries.codes)))
-                matrix[row[known], at[known]] = values.slice(start, rows).flatten().to_numpy()[known]
-                scores = matrix @ queries.weights
+                scores = _products(row[known], at[known], values.slice(start, rows).flatten().to_numpy()[known], len(part), queries.weights)
+                order = np.argsort(part, kind="stable")
+                heads = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+                part, scores = part[order][heads], np.maximum.reduceat(scores[order], heads, axis=0)  # a record at its best chunk
                 at, query = np.nonzero(scores > 0)
                 held = _best(k, *(np.concatenate(x) for x in zip(held, (query, part[at], scores[at, query]), strict=True)))
         columns = [pa.array(queries.ids[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.float64())]

@@ -5,9 +5,6 @@ Every draw is a function of md5(seed|record|position|tag), so cases do not depen
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,23 +105,22 @@ def cases_colloquial(records: DataFrame, terms: list[tuple[str, list[str]]] = CO
     return changed.select(*_case(text, F.col("data_id"), "colloquial", F.concat(F.lit("from: "), "phrase")))
 
 
-def typo(text: str, seed: str, rate: float = 0.08) -> str:
-    """Drops, doubles or swaps characters, at least one, as many as the rate asks for."""
-    rng, chars = random.Random(seed), list(text)
-    for _ in range(max(1, int(len(chars) * rate))):
-        if len(chars) < 3:
-            break
-        at, kind = rng.randrange(len(chars) - 1), rng.randrange(3)
-        chars[at : at + 2] = [[chars[at + 1]], [chars[at]] * 2 + [chars[at + 1]], [chars[at + 1], chars[at]]][kind]
-    return "".join(chars)
-
-
 def add_typos(text: Column, seed: Column, rate: float = 0.08) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([typo(t, s, rate) for t, s in zip(texts, seeds, strict=True)])
-
-    return run(text, seed)
+    """Drops, doubles or swaps characters, one edit after the other, at least one, as many as the rate asks for. Texts of fewer than
+    three characters stay. Place and kind of an edit are digits of md5(seed|its number)."""
+
+    def edit(t: Column, turn: Column) -> Column:
+        digits = F.md5(F.concat_ws("|", seed, turn.cast("string")))
+        number = lambda start: F.conv(F.substring(digits, start, 7), 16, 10).cast("long")
+        n = F.char_length(t)
+        at = (number(1) % F.greatest(n - 1, F.lit(1))).cast("int")
+        first, second = F.substr(t, at + 1, F.lit(1)), F.substr(t, at + 2, F.lit(1))
+        kind = number(8) % 3
+        middle = F.when(kind == 0, second).when(kind == 1, F.concat(first, first, second)).otherwise(F.concat(second, first))
+        return F.when(n < 3, t).otherwise(F.concat(F.substr(t, F.lit(1), at), middle, F.substr(t, at + 3)))
+
+    edits = F.greatest(F.lit(1), F.floor(F.char_length(text) * rate).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), edits), text, edit)
 
 
 def cases_typo(records: DataFrame, rate: float = 0.08, seed: int = SEED) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from trawl.operators.chat import DEFAULT_SYSTEM, HEADER, NO_MATCH
 from trawl.operators.testset import COLLOQUIAL, NEGATIVES, PREFIXES, SUFFIXES
 
-RECORDS = """
-rec AS (SELECT doc_id + 1 AS data_id, concat(lang, ' ', source, ' #', doc_id) AS symptoms, text AS cause, source AS diagnosis, lang AS treatment FROM documents),
+REC = """
+rec AS (SELECT doc_id + 1 AS data_id, concat(lang, ' ', source, ' #', doc_id) AS symptoms, text AS cause, source AS diagnosis, lang AS treatment FROM documents)"""
+RECORDS = f"""{REC},
 ask AS (SELECT item_id AS query_id, text AS query FROM benchmark)"""
 
 STRIP = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
@@ -106,17 +108,30 @@ LABELLED = """
 lab AS (SELECT item_id AS case_id, text AS query, coalesce(d, -1) AS expected_data_id,
         CASE WHEN d IS NULL THEN 'negative' WHEN item_id % 2 = 0 THEN 'exact' ELSE 'partial' END AS category
         FROM benchmark LEFT JOIN (SELECT item_id AS i, min(data_id) AS d FROM benchmark JOIN rec ON contains(cause, text) GROUP BY 1) ON i = item_id)"""
-JUDGED = f"""WITH {RECORDS}, {SYMPTOM_ONLY}, {bm25(20)}, {tfidf(20)}, {RRF}, {LABELLED},
-res AS (SELECT 'bm25' AS retriever, * FROM bm WHERE rank <= 5 UNION ALL SELECT 'tfidf', * FROM ti WHERE rank <= 5 UNION ALL SELECT 'hybrid', * FROM rr),
-jd AS (SELECT c.retriever, l.*, coalesce(min(CASE WHEN r.data_id = expected_data_id THEN rank END), 0) AS rank, max(CASE WHEN rank = 1 THEN r.data_id END) AS got, max(CASE WHEN rank = 1 THEN score END) AS top
-       FROM lab l CROSS JOIN (SELECT DISTINCT retriever FROM res) c LEFT JOIN res r ON r.query_id = l.case_id AND r.retriever = c.retriever GROUP BY ALL),
-met AS (SELECT 'row_symptom_only' AS chunking, retriever,
+
+
+def judged(results: str) -> str:
+    """From res(chunking, retriever, query_id, data_id, rank, score) to jd, a row a config and case, and met, a row a config."""
+    return f"""WITH {RECORDS}, {LABELLED},
+res AS ({results}),
+jd AS (SELECT c.chunking, c.retriever, l.*, coalesce(min(CASE WHEN r.data_id = expected_data_id THEN rank END), 0) AS rank, max(CASE WHEN rank = 1 THEN r.data_id END) AS got, max(CASE WHEN rank = 1 THEN score END) AS top
+       FROM lab l CROSS JOIN (SELECT DISTINCT chunking, retriever FROM res) c LEFT JOIN res r ON r.query_id = l.case_id AND r.retriever = c.retriever AND r.chunking = c.chunking GROUP BY ALL),
+met AS (SELECT chunking, retriever,
         round(count(*) FILTER (expected_data_id > 0 AND rank = 1) / greatest(count(*) FILTER (expected_data_id > 0), 1), 4) AS recall_1,
         round(count(*) FILTER (expected_data_id > 0 AND rank BETWEEN 1 AND 3) / greatest(count(*) FILTER (expected_data_id > 0), 1), 4) AS recall_3,
         round(coalesce(avg(CASE WHEN rank > 0 THEN 1 / rank ELSE 0 END) FILTER (expected_data_id >= 0), 0), 4) AS mrr,
         round(min(top) FILTER (expected_data_id >= 0 AND rank = 1) - max(top) FILTER (expected_data_id < 0), 4) AS noise_gap,
         round(coalesce(avg((rank = 1)::INT) FILTER (category = 'exact'), 0), 4) AS cat_exact, round(coalesce(avg((rank = 1)::INT) FILTER (category = 'partial'), 0), 4) AS cat_partial
-        FROM jd GROUP BY retriever)"""
+        FROM jd GROUP BY chunking, retriever)"""
+
+
+def retrieved(name: str, chunk: str, hybrid: str) -> str:
+    return f"""SELECT '{name}' AS chunking, * FROM (WITH {chunk}, {bm25(20)}, {tfidf(20)}, {RRF}
+SELECT 'bm25' AS retriever, * FROM bm WHERE rank <= 5 UNION ALL SELECT 'tfidf', * FROM ti WHERE rank <= 5 UNION ALL SELECT '{hybrid}', * FROM rr)"""
+
+
+FULL = strip(f"{strip('cause')} || ' ' || {strip('symptoms')} || ' ' || {strip('diagnosis')} || ' ' || {strip('treatment')}")
+JUDGED = judged(retrieved("row_symptom_only", SYMPTOM_ONLY, "hybrid"))
 SEARCH = f"""WITH {RECORDS}, {SEARCHED}, {tfidf(5)}"""
 REGRESSION = f"""WITH {RECORDS}, {SEARCHED}, {tfidf(2)}, {LABELLED},
 hit AS (SELECT query_id, rank, symptoms, round(score, 4) AS score FROM ti JOIN rec USING (data_id)),
@@ -147,6 +162,25 @@ def colloquial(terms) -> str:
     return text
 
 
+def prompted(split: str, question: str):
+    """For a least similarity, CTEs to pr(session_id, past, n_hits, ms, total_chars): every session's messages, two hits at most."""
+    fields = "{'data_id': data_id, 'disease': symptoms, 'symptoms': cause, 'cause': diagnosis, 'treatment': treatment, 'score': round(score, 4)}"
+    message = lambda role, content: f"{{'role': '{role}', 'content': {content}}}"
+
+    def run(least: float) -> str:
+        return f"""{split}, qs AS (SELECT session_id, system, coalesce({question}, '') AS question FROM s), {REC}, {SEARCHED},
+ask AS (SELECT session_id AS query_id, question AS query FROM qs WHERE {strip('question')} <> ''), {tfidf(2)},
+ht AS (SELECT query_id AS session_id, count(*) AS n, to_json(list({fields} ORDER BY rank))::VARCHAR AS js FROM ti JOIN rec USING (data_id) WHERE score >= {least} GROUP BY 1),
+pp AS (SELECT session_id, turn AS id, role, content AS u, lead(role) OVER w AS nr, lead(content) OVER w AS a FROM t WINDOW w AS (PARTITION BY session_id ORDER BY turn)),
+xx AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS back FROM pp WHERE role = 'user' AND nr = 'assistant'),
+hs AS (SELECT session_id, count(*) AS past, flatten(list([{message('user', 'u')}, {message('assistant', 'a')}] ORDER BY id)) AS said FROM xx WHERE back <= 20 GROUP BY 1),
+pm AS (SELECT session_id, coalesce(past, 0) AS past, coalesce(n, 0) AS n_hits, list_concat([{message('system', f"CASE WHEN system = '' THEN '{DEFAULT_SYSTEM}' ELSE system END || '{HEADER}' || coalesce(js, '{NO_MATCH}')")}],
+       coalesce(said, []), [{message('user', strip('question'))}]) AS ms FROM qs LEFT JOIN ht USING (session_id) LEFT JOIN hs USING (session_id)),
+pr AS (SELECT *, list_sum(list_transform(ms, lambda m: length(m.content)))::BIGINT AS total_chars FROM pm)"""
+
+    return run
+
+
 def oracle_sql(synonyms: list, terms: list) -> dict[str, str]:
     ranked = "SELECT query_id, data_id, rank, round(score, 4) AS score FROM"
     turns = "t AS (SELECT conv_id AS session_id, turn, role, text AS content FROM conversations)"
@@ -168,6 +202,31 @@ g AS (SELECT *, row_number() OVER (PARTITION BY disease ORDER BY pos) AS turn, d
             ("per_symptom_expanded", "SELECT text FROM chunk"),
         )
     )
+    every_chunking = {
+        "row_symptom_only": SYMPTOM_ONLY,
+        "row_combined": COMBINED_CHUNK,
+        "row_full": f"chunk AS ({whole(FULL, 'full')})",
+        "per_symptom": f"chunk AS ({listed(PHRASES)})",
+        "per_symptom_expanded": expanded_rows(synonyms),
+    }
+    matrix = judged(" UNION ALL ".join(retrieved(name, chunk, "hybrid(bm25+tfidf)") for name, chunk in every_chunking.items()))
+    config_order = f"list_position({list(every_chunking)}, chunking), list_position(['bm25', 'tfidf', 'hybrid(bm25+tfidf)'], retriever)"
+    edit = """CASE WHEN length(t) < 3 THEN t ELSE substring(t, 1, at) || CASE kind WHEN 0 THEN substring(t, at + 2, 1)
+  WHEN 1 THEN substring(t, at + 1, 1) || substring(t, at + 1, 2) ELSE substring(t, at + 2, 1) || substring(t, at + 1, 1) END || substring(t, at + 3) END"""
+    edit = edit.replace("at +", "(('0x' || substring(md5(seed || '|' || i), 1, 7))::BIGINT % greatest(length(t) - 1, 1)) +").replace(
+        "1, at)", "1, ('0x' || substring(md5(seed || '|' || i), 1, 7))::BIGINT % greatest(length(t) - 1, 1))"
+    ).replace("CASE kind", "CASE ('0x' || substring(md5(seed || '|' || i), 8, 7))::BIGINT % 3")
+    unit = """SELECT data_id, gram, w / nd AS w FROM wd JOIN (SELECT data_id, sqrt(sum(w * w)) AS nd FROM wd GROUP BY 1) USING (data_id)"""
+    plain = "chunk AS (SELECT data_id, 0 AS chunk_id, coalesce(cause, '') || ' ' || coalesce(symptoms, '') AS text FROM rec)"
+    weighed = "wd AS (SELECT data_id, gram, tf * idf AS w FROM wt JOIN voc USING (gram))"
+    confusable = f"""WITH {REC}, {plain}, {vocabulary()}, {weighed}, u AS ({unit}),
+pair AS (SELECT a.data_id AS a, b.data_id AS b, sum(a.w * b.w) AS similarity FROM u a JOIN u b USING (gram) WHERE a.data_id < b.data_id GROUP BY ALL HAVING sum(a.w * b.w) > 0.45)"""
+    own_text = "own AS (SELECT data_id, 0 AS chunk_id, CASE WHEN coalesce(cause, '') = '' THEN symptoms ELSE cause END AS text FROM rec)"
+    self_lists = f"""WITH {REC}, {COMBINED_CHUNK}, {vocabulary()}, {weighed}, d AS ({unit}), {own_text}, wo AS ({wb("own", "data_id, chunk_id", "text")}),
+q AS (SELECT data_id AS query_id, gram, tf * idf AS v FROM wo JOIN voc USING (gram)), nq AS (SELECT query_id, sqrt(sum(v * v)) AS nq FROM q GROUP BY 1),
+sc AS (SELECT query_id, data_id, any_value(dot) / any_value(nq) AS score FROM (SELECT query_id, data_id, sum(v * w) AS dot FROM q JOIN d USING (gram) GROUP BY ALL) JOIN nq USING (query_id) GROUP BY ALL),
+sl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, data_id) AS rank FROM sc) WHERE rank <= 3)"""
+    prompts = prompted(split, question)
     return {
         "bm25_topk": f"WITH {RECORDS}, {SYMPTOM_ONLY}, {bm25(5)} {ranked} bm",
         "bm25_phrases_topk": f"WITH {RECORDS}, {expanded_rows(synonyms)}, {bm25(5)} {ranked} bm",
@@ -200,11 +259,21 @@ FROM wd JOIN nd USING (data_id, chunk_id) GROUP BY 1""",
         "eval_metrics": f"{JUDGED} SELECT * FROM met",
         "eval_failures": f"{JUDGED} SELECT retriever, category, query, expected_data_id AS expected, got, rank FROM jd WHERE expected_data_id >= 0 AND rank <> 1",
         "eval_by_category": f"{JUDGED} SELECT retriever, category, round(avg((rank = 1)::INT), 6) AS accuracy FROM jd WHERE expected_data_id >= 0 GROUP BY 1, 2",
-        "eval_best": f"{JUDGED} SELECT retriever, recall_1, mrr FROM met ORDER BY recall_1 DESC, mrr DESC, list_position(['bm25', 'tfidf', 'hybrid'], retriever) LIMIT 1",
-        "eval_weakest": f"""{JUDGED}, a AS (SELECT retriever, category, avg((rank = 1)::INT) AS accuracy FROM jd WHERE expected_data_id >= 0 GROUP BY 1, 2)
+        "eval_matrix": f"{matrix} SELECT * FROM met",
+        "eval_best": f"{matrix} SELECT chunking, retriever, recall_1, mrr FROM met ORDER BY recall_1 DESC, mrr DESC, {config_order} LIMIT 1",
+        "eval_recommended": f"""{matrix}, base AS (SELECT recall_1 AS base_recall_1 FROM met WHERE chunking = 'row_combined' AND retriever = 'tfidf'),
+good AS (SELECT * FROM met WHERE noise_gap > 0 ORDER BY recall_1 DESC, mrr DESC, {config_order} LIMIT 1)
+SELECT chunking, retriever, recall_1, mrr, noise_gap, base_recall_1, round(recall_1 - base_recall_1, 4) AS gain FROM good LEFT JOIN base ON true""",
+        "eval_weakest": f"""{matrix}, a AS (SELECT chunking, retriever, category, avg((rank = 1)::INT) AS accuracy FROM jd WHERE expected_data_id >= 0 GROUP BY 1, 2, 3)
 SELECT category, round(min(accuracy), 6) AS worst, round(max(accuracy), 6) AS best, max(accuracy) < 0.8 AS flagged FROM a GROUP BY 1 ORDER BY min(accuracy), category LIMIT 1""",
         "thin_records": f"WITH {RECORDS} SELECT data_id, length({strip('cause')}) AS chars FROM rec WHERE length({strip('cause')}) < 20",
         "few_phrases": f"WITH {RECORDS} SELECT data_id, len({PHRASES}) AS phrases FROM rec WHERE len({PHRASES}) < 3",
+        "confusable_pairs": f"{confusable} SELECT a, b, round(similarity, 4) AS similarity FROM pair",
+        "self_retrieval": f"{self_lists} SELECT query_id AS data_id, data_id AS found FROM sl WHERE rank = 1 AND data_id <> query_id",
+        "magnets": f"{self_lists} SELECT data_id, count(*) AS n FROM sl GROUP BY 1 HAVING count(*) > greatest(3, 0.25 * (SELECT count(*) FROM rec))",
+        "prompt_stats": f"{prompts(0.0)} SELECT session_id, past AS history_turns, n_hits, total_chars FROM pr",
+        "batch_prompts": f"""{prompts(0.19)} SELECT session_id, (unnest(range(len(ms))))::INT AS index, unnest(list_transform(ms, lambda m: m.role)) AS role,
+  unnest(list_transform(ms, lambda m: length(m.content)))::INT AS chars, unnest(list_transform(ms, lambda m: m.content)) AS content FROM pr""",
         "cache_missing": f"WITH {cached} SELECT DISTINCT sha256(text) AS text_hash FROM documents WHERE sha256(text) NOT IN (SELECT text_hash FROM c)",
         "cache_counts": f"WITH {cached} SELECT count(c.text_hash) AS n_from_cache, count(*) - count(c.text_hash) AS n_embedded FROM documents d LEFT JOIN c ON c.text_hash = sha256(d.text)",
         "cache_lookup": f"WITH {cached} SELECT doc_id, sha256(text) AS text_hash, c.text_hash IS NOT NULL AS cached FROM documents d LEFT JOIN c ON c.text_hash = sha256(d.text)",
@@ -224,6 +293,10 @@ j AS (SELECT data_id, string_agg(phrase, ' ' ORDER BY turn) AS t FROM d WHERE tu
 SELECT {decorate('t', 'data_id', "'partial'")} AS query, data_id AS expected_data_id, 'partial' AS category, '' AS note FROM j""",
         "testset_colloquial": f"""{PH}, c AS (SELECT *, {colloquial(terms)} AS casual FROM ph)
 SELECT {decorate('casual', 'data_id', 'pos', "'c'")} AS query, data_id AS expected_data_id, 'colloquial' AS category, 'from: ' || phrase AS note FROM c WHERE casual <> phrase""",
+        "testset_typo": f"""{PH}, d AS (SELECT *, row_number() OVER (PARTITION BY data_id ORDER BY {draw('typo', 'data_id', 'pos')}, pos) AS turn FROM ph),
+one AS (SELECT *, {draw('noise', 'data_id', 'pos')} AS seed FROM d WHERE turn = 1),
+e AS (SELECT *, list_reduce(list_transform(range(1, greatest(1, floor(length(phrase) * 0.08::DOUBLE)::BIGINT) + 1), lambda i: i::VARCHAR), lambda t, i: {edit}, phrase) AS noisy FROM one)
+SELECT {decorate('noisy', 'data_id', 'pos', "'t'")} AS query, data_id AS expected_data_id, 'typo' AS category, phrase AS note FROM e""",
         "testset_counts": f"""{PH}, t AS (SELECT data_id, count(*) AS k FROM ph GROUP BY 1),
 c AS (SELECT 'exact' AS category, count(*) AS n FROM rec WHERE {strip('cause')} <> '' UNION ALL SELECT 'single', sum(least(k, 3)) FROM t UNION ALL SELECT 'partial', count(*) FROM t WHERE k >= 3
   UNION ALL SELECT 'colloquial', count(*) FROM ph WHERE {colloquial(COLLOQUIAL)} <> phrase UNION ALL SELECT 'typo', count(*) FROM t UNION ALL SELECT 'negative', {len(NEGATIVES)})

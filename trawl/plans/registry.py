@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.functions.scratch import scratch_root, ship_package
+from trawl.functions.scratch import materialise, scratch_root, ship_package
 from trawl.functions.text import split_phrases
 from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, testset
 from trawl.plans.oracles import oracle_sql
@@ -63,7 +63,7 @@ def tfidf_topk(spark, sf_dir):
 def _lists(spark, sf_dir) -> list[DataFrame]:
     chunks, queries = chunking.row_symptom_only(records(spark, sf_dir)), asked(spark, sf_dir)
     depth = search.rrf_depth(5)
-    return [search.bm25_search(queries, chunks, depth).persist(), search.tfidf_search(queries, chunks, depth).persist()]
+    return [materialise(search.bm25_search(queries, chunks, depth)), materialise(search.tfidf_search(queries, chunks, depth))]
 
 
 def rrf_topk(spark, sf_dir):
@@ -168,13 +168,33 @@ def eval_by_category(spark, sf_dir):
     return evaluate.category_accuracy(_judged(spark, sf_dir)).select("retriever", "category", F.round("accuracy", 6).alias("accuracy"))
 
 
+def _matrix(spark, sf_dir) -> DataFrame:
+    """Every passage judged on all five chunkings with all lexical retrievers."""
+    rows, cases = records(spark, sf_dir), materialise(labelled(spark, sf_dir))
+    made = {name: chunking.build_chunks(rows, name, SYNONYMS) for name in chunking.strategies(SYNONYMS)}
+    return evaluate.judged(evaluate.benchmark_results(cases, made), cases)
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in chunking.strategies(SYNONYMS)])
+    retrievers = F.array(*[F.lit(n) for n in ("bm25", "tfidf", "hybrid(bm25+tfidf)")])
+    return rows.withColumn("config_ord", F.array_position(names, F.col("chunking")) * 10 + F.array_position(retrievers, F.col("retriever")))
+
+
+def eval_matrix(spark, sf_dir):
+    return evaluate.metrics(_matrix(spark, sf_dir), ("exact", "partial", "negative"))
+
+
 def eval_best(spark, sf_dir):
-    rows = eval_metrics(spark, sf_dir).withColumn("config_ord", F.expr("array_position(array('bm25','tfidf','hybrid'), retriever)"))
-    return evaluate.best_by_recall(rows).select("retriever", "recall_1", "mrr")
+    return evaluate.best_by_recall(_ordered(eval_matrix(spark, sf_dir))).select("chunking", "retriever", "recall_1", "mrr")
+
+
+def eval_recommended(spark, sf_dir):
+    return evaluate.recommended(_ordered(materialise(eval_matrix(spark, sf_dir)))).select("chunking", "retriever", "recall_1", "mrr", "noise_gap", "base_recall_1", "gain")
 
 
 def eval_weakest(spark, sf_dir):
-    found = evaluate.weakest_category(evaluate.category_accuracy(_judged(spark, sf_dir)))
+    found = evaluate.weakest_category(evaluate.category_accuracy(_matrix(spark, sf_dir)))
     return found.select("category", F.round("worst", 6).alias("worst"), F.round("best", 6).alias("best"), "flagged")
 
 
@@ -331,7 +351,9 @@ QUERIES = {
     "eval_metrics": eval_metrics,
     "eval_failures": eval_failures,
     "eval_by_category": eval_by_category,
+    "eval_matrix": eval_matrix,
     "eval_best": eval_best,
+    "eval_recommended": eval_recommended,
     "eval_weakest": eval_weakest,
     "thin_records": thin_records,
     "few_phrases": few_phrases,
