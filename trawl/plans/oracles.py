@@ -227,14 +227,15 @@ q AS (SELECT data_id AS query_id, gram, tf * idf AS v FROM wo JOIN voc USING (gr
 sc AS (SELECT query_id, data_id, any_value(dot) / any_value(nq) AS score FROM (SELECT query_id, data_id, sum(v * w) AS dot FROM q JOIN d USING (gram) GROUP BY ALL) JOIN nq USING (query_id) GROUP BY ALL),
 sl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, data_id) AS rank FROM sc) WHERE rank <= 3)"""
     prompts = prompted(split, question)
-    return {
+    dense_topk = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS data_id, list_dot_product(q.e, d.e) AS score FROM v q, v d WHERE q.vec_id % 50 = 0)
+SELECT query_id, data_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, data_id) AS rank FROM s) WHERE rank <= 5"""
+    found = {
         "bm25_topk": f"WITH {RECORDS}, {SYMPTOM_ONLY}, {bm25(5)} {ranked} bm",
         "bm25_phrases_topk": f"WITH {RECORDS}, {expanded_rows(synonyms)}, {bm25(5)} {ranked} bm",
         "tfidf_topk": f"WITH {RECORDS}, {COMBINED_CHUNK}, {tfidf(5)} {ranked} ti",
         "rrf_topk": f"WITH {RECORDS}, {SYMPTOM_ONLY}, {bm25(20)}, {tfidf(20)}, {RRF} SELECT query_id, data_id, rank, round(score, 6) AS score FROM rr",
-        "dense_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, d.vec_id AS data_id, list_dot_product(q.e, d.e) AS score FROM v q, v d WHERE q.vec_id % 50 = 0)
-SELECT query_id, data_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, data_id) AS rank FROM s) WHERE rank <= 5""",
+        "dense_topk": dense_topk,
         "index_search": f"{SEARCH} {ranked} ti",
         "index_search_bm25": f"WITH {RECORDS}, {SEARCHED}, {bm25(5)} {ranked} bm",
         "search_hits": f"{SEARCH} SELECT query_id, rank, data_id, symptoms AS disease, cause AS symptoms, diagnosis AS cause, treatment, round(score, 4) AS score FROM ti JOIN rec USING (data_id) WHERE score >= 0",
@@ -282,6 +283,13 @@ SELECT 'm1' AS model, 1 AS dim, count(*) AS n FROM c WHERE text_hash NOT IN (SEL
         "assign_ids": "SELECT 5000 + row_number() OVER (ORDER BY doc_id DESC) AS data_id, doc_id, lang, source, md5(text) AS text_md5 FROM documents",
         "ingest_new": f"{incoming} SELECT 1000 + row_number() OVER (ORDER BY pos) AS data_id, pos, disease, symptoms, cause, treatment FROM g WHERE turn = 1 AND NOT known",
         "ingest_skipped": f"{incoming} SELECT pos, disease FROM g WHERE turn > 1 OR known",
+        "ingest_rejected": f"""SELECT * FROM (SELECT p_partkey AS pos, CASE WHEN p_partkey % 7 <> 0 THEN {strip('p_name')} WHEN p_partkey % 11 = 0 THEN '' ELSE {strip('p_type')} END AS disease,
+  CASE WHEN p_partkey % 7 = 0 THEN {strip('p_brand')} WHEN p_partkey % 11 = 0 THEN '' ELSE {strip('p_type')} END AS symptoms FROM part WHERE p_partkey >= 20) WHERE disease = '' OR symptoms = ''""",
+        "dangling_hits": f"SELECT query_id, data_id, rank FROM ({dense_topk}) WHERE data_id NOT IN (SELECT doc_id + 1 FROM documents WHERE source <> 'web')",
+        "unit_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(list_dot_product(e, e) / list_dot_product(e, e), 6) AS norm FROM v""",
+        "cache_stats": f"WITH {cached} SELECT 'm1' AS model, count(*) AS n FROM c",
+        "exchanges_appended": f"{paired} SELECT 100 + row_number() OVER (ORDER BY session_id, id) AS id, session_id, u AS user_message, a AS ai_response FROM x",
         "recent_history": f"{paired} SELECT session_id, count(*) AS turns, string_agg(u || ' => ' || a, chr(10) ORDER BY id) AS history FROM x WHERE back <= 2 GROUP BY 1",
         "last_question": f"""{split} SELECT session_id, system, coalesce({question}, '') AS question,
   coalesce(array_to_string(list_transform(spoken[1:len(spoken) - 1], lambda x: coalesce(x.c, '')), chr(10)), '') AS earlier FROM s""",
@@ -305,4 +313,14 @@ SELECT category, n::BIGINT AS n FROM c WHERE n > 0""",
         "accuracy_summary": f"""{REGRESSION} SELECT count(*) FILTER (passed) AS passed, count(*) AS total, min(top_score) FILTER (passed) AS lowest, max(top_score) FILTER (passed) AS highest FROM chk""",
         "noise_floor": f"{REGRESSION} SELECT max(hit.score) AS noise, first(lab.query ORDER BY hit.score DESC, case_id) AS query FROM hit JOIN lab ON case_id = query_id WHERE expected_data_id < 0 AND rank = 1",
     }
-
+    report = {
+        "'thin'": f"SELECT chars AS value FROM ({found['thin_records']})",
+        "'few_phrases'": f"SELECT phrases AS value FROM ({found['few_phrases']})",
+        "'confusable'": f"{confusable} SELECT similarity AS value FROM pair",
+        "'self_retrieval'": f"SELECT 1 AS value FROM ({found['self_retrieval']})",
+        "'magnet'": f"SELECT n AS value FROM ({found['magnets']})",
+        "'chunks:' || strategy": f"SELECT strategy, chunks AS value FROM ({found['chunk_describe']})",
+    }
+    every = " UNION ALL ".join(f"SELECT {check} AS check_, value::DOUBLE AS value FROM ({sql})" for check, sql in report.items())
+    found["health_report"] = f'SELECT check_ AS "check", count(*) AS n, round(sum(value), 3) AS total FROM ({every}) GROUP BY 1'
+    return found

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.scratch import materialise, scratch_root, ship_package
-from trawl.functions.text import split_phrases
+from trawl.functions.text import l2_normalize, split_phrases
 from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, testset
 from trawl.plans.oracles import oracle_sql
 
@@ -301,6 +301,42 @@ def testset_colloquial(spark, sf_dir):
     return testset.cases_colloquial(records(spark, sf_dir), TERMS)
 
 
+def ingest_rejected(spark, sf_dir):
+    """Incoming records without a required field: every eleventh has blank symptoms, every seventh has no name and is thus read under stored names."""
+    rows, _ = _incoming(spark, sf_dir)
+    rows = rows.withColumn("disease", F.when(F.col("pos") % 7 != 0, F.col("disease"))).withColumn("symptoms", F.when(F.col("pos") % 11 == 0, F.lit(" \t")).otherwise(F.col("symptoms")))
+    return ingest.split_invalid(ingest.normalize_records(rows))[1].select("pos", "disease", "symptoms")
+
+
+def dangling_hits(spark, sf_dir):
+    """Hits in a list of vectors that no document has the number of."""
+    hits = dense_topk(spark, sf_dir)
+    return search.dangling_hits(hits, records(spark, sf_dir).where("diagnosis <> 'web'")).select("query_id", "data_id", "rank")
+
+
+def unit_vectors(spark, sf_dir):
+    unit = _read(spark, sf_dir, "embeddings").select("vec_id", l2_normalize(F.col("embedding")).alias("u"))
+    norm = F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)
+    return unit.select("vec_id", F.round(F.element_at("u", 1), 6).alias("first"), F.round(norm, 6).alias("norm"))
+
+
+def cache_stats(spark, sf_dir):
+    cached, _ = _cache(spark, sf_dir)
+    return cache.cache_stats(cached)
+
+
+def exchanges_appended(spark, sf_dir):
+    """The answered turns of all sessions, numbered in one log."""
+    new = chat.pair_turns(turns(spark, sf_dir)).withColumn("pos", F.struct("session_id", "id")).drop("id")
+    log = new.limit(0).select(F.lit(0).cast("long").alias("id"), "session_id", "user_message", "ai_response", F.current_timestamp().alias("timestamp"))
+    return chat.append_exchanges(log, new, 100).select("id", "session_id", "user_message", "ai_response")
+
+
+def health_report(spark, sf_dir):
+    found = health.health_report(records(spark, sf_dir), SYNONYMS)
+    return found.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
 def self_found(spark, sf_dir):
     """Incoming records that find themselves first."""
     rows, existing = _incoming(spark, sf_dir)
@@ -377,6 +413,12 @@ QUERIES = {
     "testset_colloquial": testset_colloquial,
     "testset_typo": testset_cases(testset.cases_typo),
     "testset_counts": testset_counts,
+    "cache_stats": cache_stats,
+    "ingest_rejected": ingest_rejected,
+    "dangling_hits": dangling_hits,
+    "unit_vectors": unit_vectors,
+    "exchanges_appended": exchanges_appended,
+    "health_report": health_report,
     "self_found": self_found,
     "regression_check": regression_check,
     "accuracy_summary": accuracy_summary,
