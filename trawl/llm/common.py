@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,17 @@ def joined_batches(batches, rows: int = 20_000):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def text_slices(batch, chars: int):
+    """(rows, texts) of an Arrow batch with a column ``text``, in slices of about ``chars`` bytes of text, a longer text alone."""
+    lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < batch.num_rows:
+        within = int(np.searchsorted(np.cumsum(lengths[start : start + chars]), chars, side="right"))
+        part = batch.slice(start, max(1, within))
+        yield part, part.column("text").to_pylist()
+        start += part.num_rows
+
+
 class Forest:
     """Union-find over hashable ids."""
 
