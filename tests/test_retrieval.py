@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
-from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, sparse, testset
+from trawl.functions import versions
+from trawl.operators import cache, chat, chunking, dense, evaluate, health, ingest, pairs, search, sparse, stored, testset
 from trawl.sources import io
 
 RECORD = "data_id long, symptoms string, cause string, diagnosis string, treatment string"
@@ -28,6 +29,11 @@ SYNONYMS = [("itching", ["scratchy", "itchy"]), ("skin", ["hide"]), ("none", [])
 STRIP = lambda s: (s or "").strip()
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(stored, "BUCKETS", 8)
+
+
 @pytest.fixture(scope="module")
 def records(spark):
     return spark.createDataFrame(ROWS, RECORD).repartition(3)
@@ -190,41 +196,136 @@ def test_service_search(spark, records, queries):
     assert [r.data_id for r in search.dangling_hits(ghost, records).collect()] == [999]
 
 
+def flat(df):
+    return {(r.query_id, r["rank"]): (r.data_id, round(r.score, 6)) for r in df.collect()}
+
+
 def test_index_on_disk(spark, records, tmp_path):
     path = str(tmp_path / "index")
-    assert index.index_info(spark, path) is None and index.is_index_stale(spark, path, "tfidf")
-    assert index.build_index(records.limit(0), path) == 0 and index.index_info(spark, path) is None
-    assert index.build_index(records, path) == len(ROWS)
-    info = index.index_info(spark, path)
-    assert info.records == len(ROWS) and info.dim > 0 and not index.is_index_stale(spark, path, "tfidf") and index.is_index_stale(spark, path, "dense")
-    norms = spark.read.parquet(f"{path}/vectors").select(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x).alias("n")).collect()
-    assert all(abs(r.n - 1) < 1e-9 for r in norms)
+    assert stored.index_info(spark, path) is None and stored.is_index_stale(spark, path, "tfidf")
+    assert stored.build_index(records.limit(0), path) == 0 and stored.index_info(spark, path) is None
+    assert stored.build_index(records, path) == len(ROWS)
+    info = stored.index_info(spark, path)
+    assert info.records == len(ROWS) and info.dim > 0 and not stored.is_index_stale(spark, path, "tfidf") and stored.is_index_stale(spark, path, "dense")
+    with pytest.raises(ValueError):
+        stored.build_index(records, path, "unknown")
+    own = {(r.code, d): n for r in stored.postings(spark, path, info).collect() for d, n in zip(r.docs, r.counts, strict=True)}
+    idf = {r.code: r.idf for r in stored.stored(spark, path, "vocabulary").collect()}
+    for r in stored.stored(spark, path, "documents").collect():
+        grams = Counter(wb(f"{dict((x[0], x) for x in ROWS)[r.data_id][2] or ''} {dict((x[0], x) for x in ROWS)[r.data_id][1] or ''}"))
+        assert sorted(n for (_, d), n in own.items() if d == r.uid) == sorted(grams.values()) and r.length == sum(grams.values())
+        assert abs(r.norm - math.sqrt(sum((n * idf[c]) ** 2 for (c, d), n in own.items() if d == r.uid))) < 1e-9
 
 
 def test_search_of_a_stored_index(spark, records, queries, tmp_path, monkeypatch):
     chunks = search.record_chunks(records)
-    flat = lambda df: {(r.query_id, r.rank): (r.data_id, round(r.score, 6)) for r in df.collect()}
     for backend, whole in (("tfidf", search.tfidf_search), ("bm25", search.bm25_search)):
         path = str(tmp_path / backend)
-        index.build_index(records, path, backend)
+        stored.build_index(records, path, backend)
         want = flat(whole(queries, chunks, 4))
         assert flat(search.index_search(queries, path, 4)) == want
+        for limit in ({"HELD_CELLS": 3}, {"HELD_ENTRIES": 4}, {"HELD_GRAMS": 3}):
+            with monkeypatch.context() as m:
+                m.setattr(sparse, *limit.popitem())
+                assert flat(search.index_search(queries, path, 4)) == want == flat(whole(queries, chunks, 4))
         with monkeypatch.context() as m:
-            m.setattr(sparse, "HELD_CELLS", 0)
+            m.setattr(stored, "FILTER_GRAMS", 2)
             assert flat(search.index_search(queries, path, 4)) == want
-    path = str(tmp_path / "wide")
-    with monkeypatch.context() as m:
-        m.setattr(sparse, "HELD_GRAMS", 3)
-        index.build_index(records, path)
-    assert flat(search.index_search(queries, path, 4)) == flat(search.tfidf_search(queries, chunks, 4))
     encoder = lambda texts: [[len(t), t.count("i") + 1.0, t.count("s")] for t in texts]
     path = str(tmp_path / "dense")
-    index.build_index(records, path, "dense", encoder)
+    stored.build_index(records, path, "dense", encoder)
     hits = search.search_records(queries, records, 3, index=path, encoder=encoder).collect()
-    assert hits and all(0.35 <= r.score <= 1 for r in hits) and index.index_info(spark, path).dim == 3
+    assert hits and all(0.35 <= r.score <= 1 for r in hits) and stored.index_info(spark, path).dim == 3
     assert [r.data_id for r in search.search_records(queries, records, 2, 0.0, index=str(tmp_path / "tfidf")).where("query_id = 2").orderBy("rank").collect()] == [4, 7]
 
 
+def test_index_reads_only_the_buckets_of_its_grams(spark, records, tmp_path):
+    path = str(tmp_path / "index")
+    stored.build_index(records, path, "bm25")
+    found = stored.wanted_postings(stored.postings(spark, path, stored.index_info(spark, path)), spark.createDataFrame([(1,), (2,)], "code long"))
+    plan = found.groupBy("code").count()._jdf.queryExecution().toString()
+    read = re.search(r"SelectedBucketsCount: (\d+) out of (\d+)", plan)
+    assert read and int(read[1]) <= 2 and int(read[2]) == stored.BUCKETS
+
+
+@pytest.mark.parametrize("backend", ["tfidf", "bm25"])
+def test_index_deltas(spark, records, queries, tmp_path, monkeypatch, backend):
+    monkeypatch.setattr(stored, "SEGMENT_DOCS", 2)
+    path, anew = str(tmp_path / "index"), str(tmp_path / "anew")
+    stored.build_index(records, path, backend)
+    assert stored.update_index(records, path) == (0, 0) and not stored.is_index_stale(spark, path, backend, records)
+    assert not stored.is_index_stale(spark, path, backend, records.repartition(1))
+    for keep, add in (("data_id <> 4", [(20, "New", "watery eyes itching", None, None)]), ("data_id not in (1, 20, 7)", [(7, "Cold copy", "sneezing, itching skin again", None, None), (30, "Last", "a", "", "")])):
+        records = spark.createDataFrame(records.where(keep).collect() + [tuple(r) for r in add], RECORD)
+        assert stored.is_index_stale(spark, path, backend, records)
+        assert stored.update_index(records, path)[0] == len(add)
+        assert not stored.is_index_stale(spark, path, backend, records)
+        stored.build_index(records, anew, backend)
+        assert flat(search.index_search(queries, path, 4)) == flat(search.index_search(queries, anew, 4))
+        for name, columns in (("vocabulary", ["code", "df", "idf"]), ("documents", ["data_id", "length"])):
+            assert sorted(stored.stored(spark, path, name).select(*columns).collect()) == sorted(stored.stored(spark, anew, name).select(*columns).collect())
+    assert len(stored.index_info(spark, path).postings) == 3
+
+
+def test_versions(spark, tmp_path):
+    root = str(tmp_path / "store")
+    assert versions.current(spark, root) == (0, None)
+    assert versions.commit(spark, root, 0, "a") == 1 and versions.commit(spark, root, 1, "b") == 2
+    with pytest.raises(versions.ConcurrentCommit):
+        versions.commit(spark, root, 1, "c")
+    open(f"{root}/_log/000000000003", "w").close()  # a commit that broke off
+    assert versions.current(spark, root) == (2, "b")
+
+
+def test_ids_of_any_kind(spark, records, queries):
+    chunks = search.record_chunks(records)
+    named = chunks.withColumn("data_id", F.concat(F.lit("r"), F.lpad("data_id", 3, "0")))
+    odd = named.unionByName(spark.createDataFrame([(None, 0, "itching skin")], named.schema))
+    asked = queries.withColumn("query_id", F.concat(F.lit("q"), "query_id")).unionByName(spark.createDataFrame([(None, "itching"), ("q7", None)], "query_id string, query string"))
+    for run in (search.bm25_search, search.tfidf_search):
+        want = {(f"q{q}", r): (f"r{i:03}", s) for (q, r), (i, s) in flat(run(queries, chunks, 3)).items()}
+        got = flat(run(asked, odd, 3))
+        assert {k: v for k, v in got.items() if k[0] != "q7"} == want
+        assert {v for k, v in got.items() if k[0] == "q7"} <= {("r001", 0.0), ("r002", 0.0), ("r004", 0.0)}
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), (None, [1.0, 0.0]), ("c", [0.5, 0.5])], "data_id string, vector array<double>")
+    found = dense.dense_search(vectors.withColumnRenamed("data_id", "query_id"), vectors, 3)
+    assert {(r.query_id, r["rank"]): r.data_id for r in found.collect()} == {("a", 1): "a", ("a", 2): "c", ("c", 1): "a", ("c", 2): "c"}
+
+
+def test_many_queries(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(90)]
+    chunks = spark.createDataFrame([(i // 2, i, t) for i, t in enumerate(texts)], "data_id long, chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, " ".join(rng.choice(words, 3))) for i in range(300)], "query_id long, query string")
+    for run in (search.bm25_search, search.tfidf_search):
+        want = flat(run(queries, chunks, 5))
+        assert len(want) > 1000
+        monkeypatch.setattr(sparse, "HELD_CELLS", 900)
+        monkeypatch.setattr(sparse, "HELD_ENTRIES", 1500)
+        monkeypatch.setattr(sparse, "SLICE_CELLS", 1000)
+        assert flat(run(queries, chunks, 5)) == want
+        monkeypatch.undo()
+
+
+def test_pairs_and_nearest(spark):
+    rng = np.random.default_rng(3)
+    topics = [["".join(rng.choice(list("abcdefghijkl"), 4)) for _ in range(12)] for _ in range(6)]
+    texts = [" ".join(rng.choice(topics[i % 6], 9)) for i in range(70)] + ["", "  ", texts_twice := "abcd efgh ijkl", texts_twice]
+    rows = [(i * 3, 0, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "data_id long, chunk_id long, text string").repartition(4)
+    model = {i: dict(model_tfidf([(*r, "") for r in rows], t, 99)) for i, _, t in rows}
+    for cut, block in ((0.45, 7), (0.45, 500), (0.9, 10), (0.1, 25)):
+        got = {(r.a, r.b): r.similarity for r in pairs.similar_pairs(df, cut, block).collect()}
+        want = {(a, b): s for a, own in model.items() for b, s in own.items() if a < b and s > cut}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for k, block in ((1, 8), (3, 8), (5, 500)):
+        got = lists(search.top_k(search.max_pool(pairs.nearest(df, df, k, block)), k))
+        for i, own in model.items():
+            assert [d for d, _ in got[i]] == [d for d, s in rank(own, k) if s > 0]
+    assert pairs.similar_pairs(df.limit(0), 0.5).count() == 0 and pairs.nearest(df.limit(0), df, 2).count() == 0
+
+
 def test_containing(spark):
     rows = [(3, "a b c d e f g h i"), (1, "x a b c d e f g hh"), (2, "  one two\n three four five six seven, eight"), (4, None), (5, "short")]
     items = [(1, "b c d e f g h"), (2, "two\n three four five six seven, e"), (3, "hor"), (4, "b c d e f g i"), (5, "a b c d e f g h i j"), (6, "a b c")]
@@ -328,10 +429,11 @@ def test_health(spark, records):
     for block in (2, 100):
         got = {(r.a, r.b): r.similarity for r in health.confusable_pairs(records, block_records=block).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    listed = health.self_lists(records).cache()
+    blank = (30, None, " ", None, None)  # finds nothing of its own, and is reported
+    listed = health.self_lists(records.unionByName(spark.createDataFrame([blank], RECORD))).cache()
     own = [(r[0], 0, combined(r), "") for r in ROWS if combined(r)]
-    found = {r[0]: [i for i, _ in model_tfidf(own, r[2] or r[1], 3)] for r in ROWS if (r[2] or r[1]).strip()}
-    assert {(r.data_id, r.found) for r in health.self_retrieval_failures(listed).collect()} == {(i, f[0]) for i, f in found.items() if f[0] != i}
+    found = {r[0]: [i for i, _ in model_tfidf(own, r[2] or r[1] or "", 3)] for r in [*ROWS, blank]}
+    assert {(r.data_id, r.found) for r in health.self_retrieval_failures(listed).collect()} == {(i, f[0]) for i, f in found.items() if f[0] != i} >= {(30, 1)}
     times = Counter(i for f in found.values() for i in f)
     want = {(i, n) for i, n in times.items() if n > max(3, 0.25 * len(ROWS))}
     assert want and {(r.data_id, r.n) for r in health.magnets(listed, records).collect()} == want
@@ -408,13 +510,6 @@ def test_sparse_grams_are_those_of_the_columns(spark):
         assert len(set(code.tolist())) == len({g for r in df.select(column(F.col("text")).alias("g")).collect() for g in r.g})
 
 
-def test_search_beyond_a_task_is_the_same(spark, records, queries, monkeypatch):
-    chunks = chunking.per_symptom(records)
-    near = [{(r.query_id, r.rank): (r.data_id, round(r.score, 6)) for r in run(queries, chunks, 4).collect()} for run in (search.bm25_search, search.tfidf_search)]
-    monkeypatch.setattr(sparse, "HELD_CELLS", 0)
-    assert near == [{(r.query_id, r.rank): (r.data_id, round(r.score, 6)) for r in run(queries, chunks, 4).collect()} for run in (search.bm25_search, search.tfidf_search)]
-
-
 def test_chat(spark, records):
     rows = [("s", 1, "system", "be kind"), ("s", 2, "user", "hi"), ("s", 3, "assistant", "hello"), ("s", 4, "tool", "x"), ("s", 5, "user", " watery eyes "), ("t", 1, "user", "q"), ("t", 2, "assistant", "a"), ("u", 1, "system", "x"), ("u", 2, "system", "y")]
     turns = spark.createDataFrame([(*r, {"k": "v"} if r[2] == "system" else None) for r in rows] + [("s", 0, "userprofile", None, {"name": "Mia"})], "session_id string, turn int, role string, content string, detail map<string,string>")

@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.operators.search import top_k
+from trawl.functions.scratch import ship_package
+from trawl.operators.search import any_ids, top_k
 
 BLOCK_QUERIES, PART_ROWS = 2_048, 20_000
 
@@ -41,8 +42,12 @@ def _scores(k: int):
     return run
 
 
+@any_ids
 def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Exact inner products of queries (query_id, vector) and chunks (data_id, vector), all of one length, pooled to records."""
+    """Exact inner products of queries (query_id, vector) and chunks (data_id, vector), all of one length, pooled to records. Rows without
+    a vector are left out on both sides."""
+    ship_package(queries.sparkSession)
+    queries, chunks = (df.where("vector is not null").toDF(*df.columns) for df in (queries, chunks))  # both may come from one table
     n_queries, n_chunks = queries.count(), chunks.count()
     blocks, parts = max(1, -(-n_queries // BLOCK_QUERIES)), max(1, -(-n_chunks // PART_ROWS), min(8, n_chunks // 64))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

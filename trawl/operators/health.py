@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.scratch import materialise
 from trawl.functions.text import split_phrases, strip
 from trawl.operators.chunking import describe_chunks, row_combined
-from trawl.operators.index import encode_tfidf, fit_tfidf
-from trawl.operators.search import top_k
+from trawl.operators.pairs import BLOCK_ROWS, nearest, similar_pairs
+from trawl.operators.search import max_pool, pad_zeros, top_k
 
 THIN_CHARS, FEW_PHRASES, CONFUSABLE = 20, 3, 0.45
-BLOCK_RECORDS = 256
 
 
 def thin_records(records: DataFrame) -> DataFrame:
@@ -32,77 +29,29 @@ def plain_chunks(records: DataFrame) -> DataFrame:
     return records.select("data_id", F.lit(0).cast("long").alias("chunk_id"), text.alias("text"))
 
 
-def _matrices(rows: pd.DataFrame):
-    """The sparse vectors of a pair of blocks as dense matrices over the grams that they have: (ids, matrix) of both."""
-    gram, names = pd.factorize(rows["gram"])
-    ids, w, is_left = rows["data_id"].to_numpy(), rows["w"].to_numpy(), rows["is_left"].to_numpy()
-    out = []
-    for side in (is_left, ~is_left):
-        own, place = np.unique(ids[side], return_inverse=True)
-        m = np.zeros((len(own), len(names)))
-        m[place, gram[side]] = w[side]
-        out += [own, m]
-    return out
-
-
-def _paired(left: DataFrame, right: DataFrame):
-    columns = ["i", "j", "data_id", F.xxhash64("gram").alias("gram"), "w"]
-    both = left.select(*columns, F.lit(True).alias("is_left")).unionByName(right.select(*columns, F.lit(False).alias("is_left")))
-    return both.groupBy("i", "j")
-
-
-def _pairs(cut: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, x, b, y = _matrices(rows)
-        cosine = x @ y.T
-        i, j = np.nonzero((cosine > cut) & ((a[:, None] < b) if key[0] == key[1] else (a[:, None] != b)))
-        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": cosine[i, j]})
-
-    return run
-
-
-def _best(k: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, x, b, y = _matrices(rows)
-        cosine, n = x @ y.T, min(k, len(b))
-        best = np.lexsort((np.broadcast_to(b, cosine.shape), -np.round(cosine, 6)), axis=1)[:, :n]
-        return pd.DataFrame({"query_id": np.repeat(a, n), "data_id": b[best].reshape(-1), "score": np.take_along_axis(cosine, best, 1).reshape(-1)})
-
-    return run
-
-
-def confusable_pairs(records: DataFrame, cut: float = CONFUSABLE, block_records: int = BLOCK_RECORDS) -> DataFrame:
+def confusable_pairs(records: DataFrame, cut: float = CONFUSABLE, block_records: int = BLOCK_ROWS) -> DataFrame:
     """All pairs of records with a TF-IDF cosine above ``cut``: (a, b, similarity), a < b.
 
-    Records are put into blocks; every pair of blocks is one matrix product over the grams that it has. A vector
-    travels once for each block it meets, and no pairs are shuffled."""
-    chunks = plain_chunks(records)
-    vectors = encode_tfidf(chunks, fit_tfidf(chunks)).select("data_id", "gram", "w")
-    blocks = max(1, -(-records.count() // block_records))
-    own = F.pmod(F.xxhash64("data_id"), F.lit(blocks)).cast("int")
-    left = vectors.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
-    right = vectors.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
-    return _paired(left, right).applyInPandas(_pairs(cut), "a long, b long, similarity double")
+    Records meet where they share a gram of their prefixes (see ``pairs``). Records without an id are left out; rows that repeat an id
+    are compared one by one and not with each other."""
+    return similar_pairs(plain_chunks(records.where("data_id is not null")), cut, block_records)
 
 
-def self_lists(records: DataFrame, k: int = 3, block_records: int = BLOCK_RECORDS) -> DataFrame:
+def self_lists(records: DataFrame, k: int = 3, block_records: int = BLOCK_ROWS) -> DataFrame:
     """Top lists of every record's own text as a query: its symptoms, or its name if it has none.
 
-    With as many queries as records, lists come from blocks of both, as for confusable pairs: a task cuts its
-    queries to its best k, and only those are ranked together."""
+    What a record finds in its own block bounds where else it has to look (see ``pairs``). Lists are filled up to k with records of no
+    similarity, the lowest data_id first, so a blank record has a list, too. Records without an id are left out; ids must be distinct."""
+    known = records.where("data_id is not null")
     text = F.when(F.coalesce("cause", F.lit("")) == "", F.col("symptoms")).otherwise(F.col("cause"))
-    corpus = row_combined(records)
-    vocabulary = fit_tfidf(corpus)
-    asked = records.select("data_id", F.lit(0).cast("long").alias("chunk_id"), text.alias("text"))
-    blocks = max(1, -(-records.count() // block_records))
-    own = F.pmod(F.xxhash64("data_id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = encode_tfidf(asked, vocabulary).select("data_id", "gram", "w", own.alias("i"), every.alias("j"))
-    right = encode_tfidf(corpus, vocabulary).select("data_id", "gram", "w", own.alias("j"), every.alias("i"))
-    return top_k(_paired(left, right).applyInPandas(_best(k), "query_id long, data_id long, score double"), k)
+    asked = known.select("data_id", F.lit(0).cast("long").alias("chunk_id"), F.coalesce(text, F.lit("")).alias("text"))
+    corpus = row_combined(known)
+    found = materialise(nearest(asked, corpus, k, block_records))
+    return top_k(max_pool(pad_zeros(found, asked.select(F.col("data_id").alias("query_id")), corpus, k)), k)
 
 
 def self_retrieval_failures(lists: DataFrame) -> DataFrame:
+    """Records that do not come first in their own list."""
     return lists.where("rank = 1 and data_id <> query_id").select(F.col("query_id").alias("data_id"), F.col("data_id").alias("found"))
 
 

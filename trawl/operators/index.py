@@ -6,18 +6,12 @@ postings of its own grams, so searches pass them in as ``only``: the grams of a
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.text import char_ngrams, char_wb_ngrams, ngram_count, search_text
+from trawl.functions.text import char_ngrams, char_wb_ngrams, ngram_count
 from trawl.operators import sparse
-from trawl.operators.cache import encode
 
 K1, B, NGRAM = 1.5, 0.75, 3
 #: Grams of a table of queries are broadcast up to this many; beyond, the join is shuffled.
@@ -104,84 +98,7 @@ def tfidf_weights(vocabulary: DataFrame) -> sparse.Weights | None:
     return sparse.Weights(*held) if held else None
 
 
-def bm25_weights(chunks: DataFrame, grams: sparse.Grams, codes: np.ndarray | None, stats, k1: float = K1, b: float = B) -> sparse.Weights | None:
-    """Weights of the grams with these sorted codes, or of all grams; None if a task could not hold them."""
-    seen = sparse.gram_frequencies(chunks, grams, codes)
-    held = _held(seen.select("code", bm25_idf(F.lit(stats["n"]), F.col("df")).alias("idf")))
-    return sparse.Weights(*held, bm25=(k1, b, float(stats["avg_len"]))) if held else None
-
-
-@dataclass(frozen=True)
-class IndexMeta:
-    backend: str
-    embedder: str
-    dim: int
-    records: int
-
-
-def build_index(records: DataFrame, path: str, backend: str = "tfidf", encoder: Callable[[list[str]], np.ndarray] | None = None) -> int:
-    """Index the records' search texts under ``path``, to be searched by ``search.index_search`` without them: for "tfidf" and "bm25" the
-    vocabulary and one sparse vector a record, for "dense" the encoder's unit vectors; and the metadata. Returns the number of
-    records; an empty table builds nothing."""
-    spark = records.sparkSession
-    chunks = records.select("data_id", F.lit(0).cast("long").alias("chunk_id"), search_text(F.col("cause"), F.col("symptoms")).alias("text"))
-    n, name = chunks.count(), {"tfidf": "char_wb(2,4)", "bm25": f"char({NGRAM})"}.get(backend, "encoder")
-    if not n:
-        return 0
-    if backend == "dense":
-        encode(chunks, encoder).select("data_id", "chunk_id", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
-        dim = spark.read.parquet(f"{path}/vectors").select(F.size("vector").alias("n")).first()["n"]
-    elif backend == "bm25":
-        weights = bm25_weights(chunks, sparse.text_grams(NGRAM), None, corpus_stats(chunks).first())
-        if weights is None:
-            raise ValueError("the vocabulary of three-grams is larger than a task may hold")
-        _write_index(path, sparse.encode(chunks, sparse.text_grams(NGRAM), weights), _vocabulary(spark, weights))
-        dim = len(weights.codes)
-    elif backend == "tfidf":
-        tfidf_vocabulary(chunks).select("code", "idf").write.mode("overwrite").parquet(f"{path}/vocabulary")
-        vocabulary = spark.read.parquet(f"{path}/vocabulary")
-        weights = tfidf_weights(vocabulary)
-        vectors = sparse.encode_joined(chunks, sparse.WORD_GRAMS, vocabulary) if weights is None else sparse.encode(chunks, sparse.WORD_GRAMS, weights)
-        _write_index(path, vectors, None)
-        dim = vocabulary.count()
-    else:
-        raise ValueError(f"no backend {backend}")
-    meta = [(backend, name, dim, n)]
-    spark.createDataFrame(meta, "backend string, embedder string, dim long, records long").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
-    return n
-
-
-def _vocabulary(spark: SparkSession, weights: sparse.Weights) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame({"code": weights.codes, "idf": weights.idf}), "code long, idf double")
-
-
-def _write_index(path: str, vectors: DataFrame, vocabulary: DataFrame | None) -> None:
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    if vocabulary is not None:
-        vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-
-
-def index_info(spark: SparkSession, path: str) -> IndexMeta | None:
-    """The metadata, or None if there is no index."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        row = spark.read.schema("backend string, embedder string, dim long, records long").json(f"{path}/meta").first()
-    except AnalysisException:
-        return None
-    return IndexMeta(**json.loads(json.dumps(row.asDict()))) if row else None
-
-
-def is_index_stale(spark: SparkSession, path: str, backend: str) -> bool:
-    """If the index is missing, was built by another backend, or lacks a table that its metadata promises."""
-    info = index_info(spark, path)
-    if info is None or info.backend != backend:
-        return True
-    from pyspark.errors import AnalysisException
-
-    try:
-        for part in ("vectors",) if backend == "dense" else ("vectors", "vocabulary"):
-            spark.read.parquet(f"{path}/{part}")
-    except AnalysisException:
-        return True
-    return False
+def bm25_weights(chunks: DataFrame, grams: sparse.Grams, codes: np.ndarray, stats, k1: float = K1, b: float = B) -> sparse.Weights:
+    """Weights of the grams with these sorted codes."""
+    found = sparse.gram_frequencies(chunks, grams, codes).select("code", bm25_idf(F.lit(stats["n"]), F.col("df")).alias("idf")).toPandas().sort_values("code")
+    return sparse.Weights(found["code"].to_numpy(np.int64), found["idf"].to_numpy(float), bm25=(k1, b, float(stats["avg_len"])))

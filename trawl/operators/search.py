@@ -10,14 +10,17 @@ from collections.abc import Callable, Sequence
 from dataclasses import replace
 from functools import wraps
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.functions.text import char_ngrams, char_wb_ngrams, is_blank, search_text
-from trawl.operators import sparse
+from trawl.functions.ids import id_numbers, is_long
+from trawl.functions.scratch import materialise
+from trawl.functions.text import is_blank, search_text
+from trawl.operators import sparse, stored
 from trawl.operators.cache import encode
-from trawl.operators.index import K1, NGRAM, B, bm25_weights, corpus_stats, fit_bm25, fit_tfidf, index_info, tfidf_vocabulary, tfidf_weights, wb_frequencies
+from trawl.operators.index import K1, NGRAM, B, bm25_weights, corpus_stats, tfidf_vocabulary, tfidf_weights
 
 RRF_K = 60
 TOP_K, MIN_SIMILARITY = 2, {"tfidf": 0.19, "dense": 0.35}
@@ -33,118 +36,119 @@ def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "data_id", "rank", "score")
 
 
-def query_grams(queries: DataFrame, grams) -> DataFrame:
-    return queries.select("query_id", F.explode(grams).alias("gram")).groupBy("query_id", "gram").agg(F.count(F.lit(1)).alias("qn"))
+def any_ids(search):
+    """Searches work on long ids. Here ids of other types are numbered in their order on the way in and named again on the way out,
+    and rows without a query_id or a data_id are left out."""
 
-
-def _any_ids(search):
-    """Searches whose tasks work on long query ids, for ids of any type: others are coded by 64 bits of hash on the way."""
+    def coded(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame | None]:
+        rows = rows.where(F.col(column).isNotNull())
+        if is_long(rows, column):
+            return rows, None
+        names = id_numbers(rows, column)
+        return rows.join(names, rows[column] == names["id"]).drop(column, "id").withColumnRenamed("number", column), names
 
     @wraps(search)
-    def run(queries: DataFrame, *args, **options) -> DataFrame:
-        if dict(queries.dtypes)["query_id"] in ("bigint", "int"):
-            return search(queries, *args, **options)
-        names = queries.select(F.xxhash64("query_id").alias("coded"), "query_id").distinct()
-        hits = search(queries.withColumn("query_id", F.xxhash64("query_id")), *args, **options).withColumnRenamed("query_id", "coded")
-        return hits.join(names, "coded").select("query_id", "data_id", "rank", "score")
+    def run(queries: DataFrame, chunks, *args, **options) -> DataFrame:
+        queries, query_names = coded(queries, "query_id")
+        chunks, data_names = coded(chunks, "data_id") if isinstance(chunks, DataFrame) else (chunks, None)
+        hits = search(queries, chunks, *args, **options)
+        for column, names in (("query_id", query_names), ("data_id", data_names)):
+            if names is not None:
+                hits = hits.join(names, hits[column] == names["number"]).drop(column, "number").withColumnRenamed("id", column)
+        return hits.select("query_id", "data_id", "rank", "score")
 
     return run
 
 
-@_any_ids
+@any_ids
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = K1, b: float = B, n: int = NGRAM) -> DataFrame:
-    """Only records with a score above zero are listed. While the queries' grams fit a task, chunks are scored and cut to k where
-    they are; beyond that, grams are joined."""
+    """Only records with a score above zero are listed. Chunks are scored and cut to k where they are, for as many queries at a time
+    as a task can hold; a null text or query is an empty one."""
     grams = sparse.text_grams(n)
-    asked = sparse.held_queries(sparse.query_grams(queries, grams).withColumnRenamed("qn", "w"))
-    if asked is None:
-        return top_k(max_pool(bm25_scores(queries, chunks, k1, b, n)), k)
     stats = corpus_stats(chunks, n).first()  # one row
-    return top_k(max_pool(sparse.local_lists(sparse.encode(chunks, grams, bm25_weights(chunks, grams, asked.codes, stats, k1, b)), asked, k)), k)
-
-
-def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B, n: int = NGRAM) -> DataFrame:
-    """Scores above zero of all queries and chunks that share a gram: (query_id, data_id, chunk_id, score)."""
-    wanted = query_grams(queries, char_ngrams(F.col("query"), n))
-    index = fit_bm25(chunks, k1, b, n, only=wanted.select("gram").distinct())
-    scores = index.join(wanted, "gram").groupBy("query_id", "data_id", "chunk_id").agg(F.sum(F.col("impact") * F.col("qn")).alias("score"))
-    return scores.where("score > 0")
-
-
-def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Cosines of all queries and chunks that share a gram: (query_id, data_id, chunk_id, score)."""
-    vocabulary = fit_tfidf(chunks)
-    q = query_grams(queries, char_wb_ngrams(F.col("query"))).join(vocabulary, "gram").select("query_id", "gram", (F.col("qn") * F.col("idf")).alias("w"))
-    q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
-    d = wb_frequencies(chunks).join(vocabulary, "gram").select("data_id", "chunk_id", "gram", (F.col("tf") * F.col("idf")).alias("v"))
-    d_norm = d.groupBy("data_id", "chunk_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("d_norm"))
-    dots = d.join(q, "gram").groupBy("query_id", "data_id", "chunk_id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    return dots.join(d_norm, ["data_id", "chunk_id"]).join(q_norm, "query_id").select(
-        "query_id", "data_id", "chunk_id", (F.col("dot") / (F.col("q_norm") * F.col("d_norm"))).alias("score")
-    )
+    weighed = materialise(sparse.query_grams(queries, grams).withColumnRenamed("qn", "w"))
+    parts = [sparse.local_lists(sparse.encode(chunks, grams, bm25_weights(chunks, grams, np.unique(asked.codes), stats, k1, b)), asked, k) for asked in sparse.query_passes(weighed)]
+    return top_k(max_pool(_all(parts, queries)), k)
+
+
+def _all(parts: list[DataFrame], queries: DataFrame) -> DataFrame:
+    """The lists of all passes."""
+    every = queries.sparkSession.createDataFrame([], "query_id long, data_id long, score double")
+    for part in parts:
+        every = every.unionByName(part)
+    return every
 
 
 def pad_zeros(scores: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Records without any similarity still fill a list up to k, lowest data_id first: only the k lowest can."""
-    first = F.broadcast(chunks.select("data_id").distinct().orderBy("data_id").limit(k))  # k rows
+    first = F.broadcast(chunks.where("data_id is not null").select("data_id").distinct().orderBy("data_id").limit(k))  # k rows
     spare = queries.select("query_id").crossJoin(first).join(scores, ["query_id", "data_id"], "left_anti")
     return scores.select("query_id", "data_id", "score").unionByName(spare.withColumn("score", F.lit(0.0)))
 
 
-@_any_ids
+@any_ids
 def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Lists of k records, those without any similarity last. While the vocabulary and the queries' grams fit a task, chunks are
-    scored and cut to k where they are; beyond that, grams are joined."""
-    weights = tfidf_weights(tfidf_vocabulary(chunks))
-    asked = tfidf_queries(queries, weights) if weights else None
-    if asked is None:
-        pooled = max_pool(tfidf_scores(queries, chunks))
-    else:
-        pooled = sparse.local_lists(sparse.encode(chunks, sparse.WORD_GRAMS, replace(weights, keep=asked.codes)), asked, k)
-    return top_k(max_pool(pad_zeros(pooled, queries, chunks, k)), k)
-
-
-def tfidf_queries(queries: DataFrame, weights: sparse.Weights) -> sparse.Asked | None:
-    """The queries as unit vectors over the vocabulary, if a task can hold them."""
-    known = queries.sparkSession.createDataFrame(pd.DataFrame({"code": weights.codes, "idf": weights.idf}), "code long, idf double")
-    return sparse.held_queries(query_vectors(queries, F.broadcast(known)))  # HELD_GRAMS at most
+    """Lists of k records, those without any similarity last. Chunks are scored and cut to k where they are, for as many queries at
+    a time as a task can hold. If no task can hold the vocabulary, it is joined to the chunks' counts once, for their norms; scoring then needs the
+    queries' grams alone. A null text or query is an empty one."""
+    vocabulary = materialise(tfidf_vocabulary(chunks))
+    weights = tfidf_weights(vocabulary)
+    weighed = materialise(query_vectors(queries, vocabulary))
+    normed = sparse.with_norms(chunks, sparse.WORD_GRAMS, vocabulary) if weights is None else None
+    parts = []
+    for asked in sparse.query_passes(weighed):
+        names = np.unique(asked.codes)
+        if weights is None:
+            own = idf_of(vocabulary, names)
+            parts.append(sparse.local_lists(sparse.encode(normed, sparse.WORD_GRAMS, own, norm="norm"), asked, k))
+        else:
+            parts.append(sparse.local_lists(sparse.encode(chunks, sparse.WORD_GRAMS, replace(weights, keep=names)), asked, k))
+    return top_k(max_pool(pad_zeros(max_pool(_all(parts, queries)), queries.select("query_id").distinct(), chunks, k)), k)
+
+
+def idf_of(vocabulary: DataFrame, codes: np.ndarray) -> sparse.Weights:
+    """The weights of these codes, of which a part of the queries has no more than a task can hold."""
+    spark = vocabulary.sparkSession
+    wanted = spark.createDataFrame(pd.DataFrame({"code": codes}), "code long")
+    found = vocabulary.join(wanted, "code", "left_semi").select("code", "idf").toPandas().sort_values("code")
+    return sparse.Weights(found["code"].to_numpy(np.int64), found["idf"].to_numpy(float))
 
 
 def query_vectors(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Queries as unit vectors (query_id, code, w) over a vocabulary (code, idf)."""
-    raw = sparse.query_grams(queries, sparse.WORD_GRAMS).join(vocabulary, "code")
+    raw = sparse.query_grams(queries, sparse.WORD_GRAMS).join(vocabulary.select("code", "idf"), "code")
     raw = raw.select("query_id", "code", (F.col("qn") * F.col("idf")).alias("w"))
     norms = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, "query_id").select("query_id", "code", (F.col("w") / F.col("norm")).alias("w"))
 
 
-@_any_ids
+@any_ids
 def index_search(queries: DataFrame, path: str, k: int = 5, encoder: Callable[[list[str]], object] | None = None) -> DataFrame:
-    """Lists of k records from what ``build_index`` wrote, whatever backend did; no record is read and nothing is fitted."""
+    """Lists of k records from what ``stored.build_index`` wrote, whatever backend did; no record is read and nothing is fitted. Of a lexical
+    index only the buckets of the queries' grams are read."""
     from trawl.operators.dense import dense_search
 
     spark = queries.sparkSession
-    info = index_info(spark, path)
+    info = stored.index_info(spark, path)
     if info is None:
         raise ValueError(f"no index under {path}")
-    vectors = spark.read.parquet(f"{path}/vectors")
     if info.backend == "dense":
         asked = encode(queries.select("query_id", F.col("query").alias("text")), encoder)
-        return dense_search(asked.select("query_id", "vector"), vectors.select("data_id", "vector"), k)
-    vocabulary = spark.read.parquet(f"{path}/vocabulary")
-    if info.backend == "bm25":
-        weighed = sparse.query_grams(queries, sparse.text_grams(NGRAM)).withColumnRenamed("qn", "w").join(vocabulary.select("code"), "code", "left_semi")
-    else:
-        weighed = query_vectors(queries, vocabulary.select("code", "idf"))
-    asked = sparse.held_queries(weighed)
-    if asked is None:
-        entries = vectors.select("data_id", "chunk_id", F.explode(F.arrays_zip("codes", "values")).alias("e"))
-        entries = entries.select("data_id", "chunk_id", F.col("e.codes").alias("code"), F.col("e.values").alias("v"))
-        scores = entries.join(weighed, "code").groupBy("query_id", "data_id", "chunk_id").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
+        hits = dense_search(asked.select("query_id", "vector"), stored.stored(spark, path, "vectors").select("data_id", "vector"), k)
     else:
-        scores = sparse.local_lists(vectors, asked, k)
-    pooled = max_pool(scores)
-    return top_k(max_pool(pad_zeros(pooled, queries, vectors, k)) if info.backend == "tfidf" else pooled, k)
+        vocabulary = stored.stored(spark, path, "vocabulary")
+        if info.backend == "bm25":
+            weighed = sparse.query_grams(queries, sparse.text_grams(NGRAM)).join(vocabulary, "code").select("query_id", "code", (F.col("qn") * F.col("idf")).alias("w"))
+        else:
+            weighed = query_vectors(queries, vocabulary).join(vocabulary.select("code", "idf"), "code").select("query_id", "code", (F.col("w") * F.col("idf")).alias("w"))
+        pooled = max_pool(_all(stored.stored_lists(spark, path, materialise(weighed), k), queries))
+        if info.backend == "tfidf":
+            pooled = max_pool(pad_zeros(pooled, queries.select("query_id").distinct(), stored.stored(spark, path, "documents"), k))
+        hits = top_k(pooled, k)
+    names = stored.data_names(spark, path)
+    if names is None:
+        return hits
+    return hits.join(names, hits["data_id"] == names["number"]).select("query_id", F.col("id").alias("data_id"), "rank", "score")
 
 
 def rrf_depth(k: int) -> int:
@@ -207,7 +211,7 @@ def search_records(queries: DataFrame, records: DataFrame, k: int | None = None,
         backend, hits = "tfidf", tfidf_search(asked, record_chunks(records), k or TOP_K)
     else:
         hits = index_search(asked, index, k or TOP_K, encoder)
-        backend = index_info(queries.sparkSession, index).backend
+        backend = stored.index_info(queries.sparkSession, index).backend
     return attach_records(threshold(hits, MIN_SIMILARITY.get(backend, 0.0) if min_similarity is None else min_similarity), records)
 
 

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.scratch import ship_package, spread_small
+from trawl.functions.scratch import materialise, ship_package, spread_small
 from trawl.functions.text import WHITE_SPACE, padded
 
-#: Code points that are cut into grams at once; grams of a vocabulary, and cells of a matrix of query weights, that a task may hold.
-SLICE_CHARS, HELD_GRAMS, HELD_CELLS = 50_000, 2_000_000, 16_000_000
+#: Code points that are cut into grams at once; grams of a vocabulary, entries of queries, and cells of a matrix of some of these, that a task may hold.
+SLICE_CHARS, HELD_GRAMS, HELD_ENTRIES, HELD_CELLS = 50_000, 2_000_000, 4_000_000, 4_000_000
 #: Cells of a matrix of chunks that are multiplied at once.
 SLICE_CELLS = 4_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -147,7 +147,8 @@ class Weights:
     keep: np.ndarray | None = None
     bm25: tuple[float, float, float] | None = None  # k1, b, average length
 
-    def values(self, owner, code, count, n):
+    def values(self, owner, code, count, n, norms=None):
+        """Without ``norms``, ``codes`` must be the whole vocabulary for unit vectors to be some."""
         at, known = _found(self.codes, code)
         lengths = np.bincount(owner, count, minlength=n)
         owner, code, count, at = owner[known], code[known], count[known], at[known]
@@ -157,7 +158,7 @@ class Weights:
             value = self.idf[at] * count * (k1 + 1) / damp
         else:
             value = count * self.idf[at]
-            norm = np.sqrt(np.bincount(owner, value * value, minlength=n))
+            norm = np.sqrt(np.bincount(owner, value * value, minlength=n)) if norms is None else norms
             value = value / norm[owner]
         if self.keep is not None:
             held = _found(self.keep, code)[1]
@@ -168,69 +169,102 @@ class Weights:
 _ENCODED = "data_id long, chunk_id long, codes array<long>, `values` array<double>"
 
 
-def encode(chunks: DataFrame, grams: Grams, weights: Weights) -> DataFrame:
-    """Sparse vectors (data_id, chunk_id, codes, values) of the chunks."""
+def encode(chunks: DataFrame, grams: Grams, weights: Weights, rare_first: bool = False, norm: str | None = None) -> DataFrame:
+    """Sparse vectors (data_id, chunk_id, codes, values) of the chunks, by code, or by falling idf and then by code. ``norm`` names a column
+    with the chunks' norms, where ``weights`` is a part of the vocabulary only."""
     ship_package(chunks.sparkSession)
     held = chunks.sparkSession.sparkContext.broadcast(weights)
+    keys = ["data_id", "chunk_id", *([norm] if norm else [])]
 
     def run(batches):
-        for (data, chunk), texts in _slices(batches, "data_id", "chunk_id"):
-            owner, code, value = held.value.values(*counted_grams(texts, grams), len(texts))
+        for (data, chunk, *norms), texts in _slices(batches, *keys):
+            owner, code, value = held.value.values(*counted_grams(texts, grams), len(texts), *norms)
+            if rare_first:
+                order = np.lexsort((code, -held.value.idf[_found(held.value.codes, code)[0]], owner))
+                owner, code, value = owner[order], code[order], value[order]
             offsets = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
             columns = [pa.array(data, pa.int64()), pa.array(chunk, pa.int64())]
             columns += [pa.ListArray.from_arrays(offsets, pa.array(code, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(value, pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["data_id", "chunk_id", "codes", "values"])
 
-    return grams.prepared(chunks, "text", "data_id", "chunk_id").mapInArrow(run, _ENCODED)
+    return grams.prepared(chunks, "text", *keys).mapInArrow(run, _ENCODED)
 
 
-def encode_joined(chunks: DataFrame, grams: Grams, vocabulary: DataFrame) -> DataFrame:
-    """The unit vectors of ``encode`` for a vocabulary (code, idf) that no task can hold: counts meet it in a join."""
+def counts(chunks: DataFrame, grams: Grams, *keys: str) -> DataFrame:
+    """(*keys, code, n) of the chunks' grams; keys are longs."""
     ship_package(chunks.sparkSession)
 
     def run(batches):
-        for (data, chunk), texts in _slices(batches, "data_id", "chunk_id"):
+        for columns, texts in _slices(batches, *keys):
             owner, code, count = counted_grams(texts, grams)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (data[owner], chunk[owner], code, count)], ["data_id", "chunk_id", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*(c[owner] for c in columns), code, count)], [*keys, "code", "n"])
+
+    return grams.prepared(chunks, "text", *keys).mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "code", "n")))
+
 
-    counts = grams.prepared(chunks, "text", "data_id", "chunk_id").mapInArrow(run, "data_id long, chunk_id long, code long, n long")
-    raw = counts.join(vocabulary, "code").select("data_id", "chunk_id", "code", (F.col("n") * F.col("idf")).alias("w"))
-    found = raw.groupBy("data_id", "chunk_id").agg(F.collect_list(F.struct("code", "w")).alias("found"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def encode_joined(chunks: DataFrame, grams: Grams, vocabulary: DataFrame) -> DataFrame:
+    """The unit vectors of ``encode``, rare grams first, for a vocabulary (code, idf) that no task can hold: counts meet it in a join."""
+    raw = counts(chunks, grams, "data_id", "chunk_id").join(vocabulary.select("code", "idf"), "code")
+    raw = raw.select("data_id", "chunk_id", "code", (-F.col("idf")).alias("rank"), (F.col("n") * F.col("idf")).alias("w"))
+    found = raw.groupBy("data_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("rank", "code", "w"))).alias("found"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return found.select("data_id", "chunk_id", F.col("found.code").alias("codes"), F.transform("found.w", lambda w: w / F.col("norm")).alias("values"))
 
 
+def with_norms(chunks: DataFrame, grams: Grams, vocabulary: DataFrame) -> DataFrame:
+    """Chunks, written, with the norm of their tf * idf, for a vocabulary (code, idf) that no task can hold. Chunks without a gram go."""
+    chunks = materialise(chunks.select("data_id", "chunk_id", "text").withColumn("uid", F.monotonically_increasing_id()))
+    raw = counts(chunks, grams, "uid").join(vocabulary.select("code", "idf"), "code").withColumn("w", F.col("n") * F.col("idf"))
+    return materialise(chunks.join(raw.groupBy("uid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "uid").drop("uid"))
+
+
 @dataclass(frozen=True)
 class Asked:
-    """Queries as a matrix: ``weights`` has a row for each of the sorted ``codes`` and a column for each of ``ids``."""
+    """Queries by row: those of ``ids[i]`` are ``codes`` and ``weights`` from ``starts[i]`` to ``starts[i + 1]``."""
 
     ids: np.ndarray
+    starts: np.ndarray
     codes: np.ndarray
     weights: np.ndarray
 
+    def blocks(self) -> list[tuple[int, int, np.ndarray]]:
+        """(start, end, codes) of consecutive queries whose matrix over the codes that they have takes HELD_CELLS cells at most, or one column."""
+        out, start, n = [], 0, len(self.ids)
+        while start < n:
+            own = lambda end, start=start: np.unique(self.codes[self.starts[start] : self.starts[end]])
+            low, high = start + 1, n  # the cells grow with the end
+            while low < high:
+                end = (low + high + 1) // 2
+                low, high = (end, high) if len(own(end)) * (end - start) <= HELD_CELLS else (low, end - 1)
+            out.append((start, low, own(low)))
+            start = low
+        return out
+
+    def matrix(self, start: int, end: int, names: np.ndarray) -> np.ndarray:
+        """A row for each of the codes ``names``, a column for each query from start to end."""
+        entries = slice(self.starts[start], self.starts[end])
+        out = np.zeros((len(names), end - start))
+        column = np.repeat(np.arange(end - start), np.diff(self.starts[start : end + 1]))
+        out[np.searchsorted(names, self.codes[entries]), column] = self.weights[entries]
+        return out
 
-def query_grams(queries: DataFrame, grams: Grams) -> DataFrame:
-    """(query_id, code, qn)."""
-    ship_package(queries.sparkSession)
 
-    def run(batches):
-        for (ids,), texts in _slices(batches, "query_id"):
-            owner, code, count = counted_grams(texts, grams)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner], pa.int64()), pa.array(code, pa.int64()), pa.array(count, pa.int64())], ["query_id", "code", "qn"])
-
-    return grams.prepared(queries, "query", "query_id").mapInArrow(run, "query_id long, code long, qn long")
+def query_grams(queries: DataFrame, grams: Grams) -> DataFrame:
+    """(query_id, code, qn); rows that repeat a query_id are one query of all their grams."""
+    found = counts(queries.select("query_id", F.col("query").alias("text")), grams, "query_id")
+    return found.groupBy("query_id", "code").agg(F.sum("n").alias("qn"))
 
 
-def held_queries(weighed: DataFrame) -> Asked | None:
-    """The queries' weights (query_id, code, w) as a matrix, or None if a task could not hold it."""
-    size = weighed.agg(F.count_distinct("query_id").alias("ids"), F.count_distinct("code").alias("codes")).first()
-    if size["ids"] * size["codes"] > HELD_CELLS:
-        return None
-    rows = weighed.toPandas()  # HELD_CELLS at most
-    ids, column = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
-    codes, row = np.unique(rows["code"].to_numpy(np.int64), return_inverse=True)
-    weights = np.zeros((len(codes), len(ids)))
-    weights[row, column] = rows["w"].to_numpy(float)
-    return Asked(ids, codes, weights)
+def query_passes(weighed: DataFrame):
+    """The queries' weights (query_id, code, w) in parts of about HELD_ENTRIES, one at a time; the table is read once a part."""
+    parts = max(1, -(-weighed.count() // HELD_ENTRIES))
+    for part in range(parts):
+        own = weighed if parts == 1 else weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        rows = own.select("query_id", "code", "w").toPandas()  # HELD_ENTRIES or little more
+        order = np.lexsort((rows["code"].to_numpy(), rows["query_id"].to_numpy()))
+        query, code, w = (rows[c].to_numpy()[order] for c in ("query_id", "code", "w"))
+        ids, starts = np.unique(query, return_index=True)
+        if len(ids):
+            yield Asked(ids.astype(np.int64), np.append(starts, len(query)), code.astype(np.int64), w.astype(float))
 
 
 def _best(k: int, query: np.ndarray, data: np.ndarray, score: np.ndarray):
@@ -260,29 +294,60 @@ def _products(row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int,
     return scores
 
 
+class Lists:
+    """The best k records of each query among the chunks that are scored one after the other."""
+
+    def __init__(self, queries: Asked, k: int):
+        self.queries, self.k, self.blocks = queries, k, queries.blocks()
+        self.held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        self.kth = np.zeros(len(queries.ids))
+        self.only = queries.matrix(*self.blocks[0]) if len(self.blocks) == 1 else None
+
+    def score(self, data: np.ndarray, row: np.ndarray, code: np.ndarray, value: np.ndarray) -> None:
+        """Chunks of the records ``data`` by their entries, which stand by row."""
+        for start, end, names in self.blocks:
+            at, known = _found(names, code)
+            own_row, own_at, own_value = row[known], at[known], value[known]
+            matrix = self.queries.matrix(start, end, names) if self.only is None else self.only
+            rows = max(1, SLICE_CELLS // max(matrix.shape))
+            for first in range(0, len(data), rows):
+                part = data[first : first + rows]
+                a, b = np.searchsorted(own_row, [first, first + rows])
+                scores = _products(own_row[a:b] - first, own_at[a:b], own_value[a:b], len(part), matrix)
+                order = np.argsort(part, kind="stable")
+                heads = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+                self._keep(start, part[order][heads], np.maximum.reduceat(scores[order], heads, axis=0))  # a record at its best chunk
+
+    def _keep(self, start: int, part: np.ndarray, scores: np.ndarray) -> None:
+        least = self.kth[start : start + scores.shape[1]]
+        if len(part) > self.k:
+            least = np.maximum(least, np.partition(scores, len(part) - self.k, axis=0)[len(part) - self.k])
+        at, query = np.nonzero((scores > 0) & (scores >= least - 2e-6))  # ranks go by six digits
+        if not len(at):
+            return
+        self.held = list(_best(self.k, *(np.concatenate(x) for x in zip(self.held, (query + start, part[at], scores[at, query]), strict=True))))
+        query, _, score = self.held
+        heads = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        full = np.diff(np.append(heads, len(query))) >= self.k
+        self.kth[query[heads][full]] = np.minimum.reduceat(score, heads)[full]
+
+    def found(self) -> pa.RecordBatch:
+        query, data, score = self.held
+        columns = [pa.array(self.queries.ids[query], pa.int64()), pa.array(data, pa.int64()), pa.array(score, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "data_id", "score"])
+
+
 def local_lists(encoded: DataFrame, asked: Asked, k: int) -> DataFrame:
     """(query_id, data_id, score): the best k records of each query in each task, scores above zero only."""
     ship_package(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches):
-        queries = shared.value
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        lists = Lists(shared.value, k)
         for batch in batches:
-            data = batch.column("data_id").to_numpy()
-            lists, values = batch.column("codes"), batch.column("values")
-            rows = max(1, SLICE_CELLS // max(len(queries.codes), len(queries.ids), 1))
-            for start in range(0, len(data), rows):
-                own, part = lists.slice(start, rows), data[start : start + rows]
-                at, known = _found(queries.codes, own.flatten().to_numpy())
-                row = np.repeat(np.arange(len(part)), own.value_lengths().to_numpy())
-                scores = _products(row[known], at[known], values.slice(start, rows).flatten().to_numpy()[known], len(part), queries.weights)
-                order = np.argsort(part, kind="stable")
-                heads = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
-                part, scores = part[order][heads], np.maximum.reduceat(scores[order], heads, axis=0)  # a record at its best chunk
-                at, query = np.nonzero(scores > 0)
-                held = _best(k, *(np.concatenate(x) for x in zip(held, (query, part[at], scores[at, query]), strict=True)))
-        columns = [pa.array(queries.ids[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.float64())]
-        yield pa.RecordBatch.from_arrays(columns, ["query_id", "data_id", "score"])
+            codes = batch.column("codes")
+            row = np.repeat(np.arange(batch.num_rows), codes.value_lengths().to_numpy())
+            lists.score(batch.column("data_id").to_numpy(), row, codes.flatten().to_numpy(), batch.column("values").flatten().to_numpy())
+        yield lists.found()
 
     return encoded.mapInArrow(run, "query_id long, data_id long, score double")

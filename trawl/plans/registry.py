@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.scratch import materialise, scratch_root, ship_package
 from trawl.functions.text import l2_normalize, split_phrases
-from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, testset
+from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, stored, testset
 from trawl.plans.oracles import oracle_sql
 
 # Rewordings and owners' words over what the given texts hold.
@@ -86,7 +86,7 @@ def index_search(backend):
     def run(spark, sf_dir):
         """The stored index of all documents, searched without reading them again."""
         path = f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
-        index.build_index(records(spark, sf_dir), path, backend)
+        stored.build_index(records(spark, sf_dir), path, backend)
         return _ranked(search.index_search(asked(spark, sf_dir), path))
 
     return run
