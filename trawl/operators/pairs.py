@@ -20,7 +20,7 @@ from trawl.functions.scratch import materialise, ship_package
 from trawl.operators import sparse
 from trawl.operators.index import tfidf_vocabulary, tfidf_weights
 
-BLOCK_ROWS, SLICE_VISITORS = 512, 1_024
+BLOCK_ROWS, SLICE_VISITORS = 512, 512
 #: Cells of a dense matrix that a task multiplies at once.
 CELLS = 4_000_000
 #: What sums of products may be off by.
