@@ -43,6 +43,27 @@ def test_stages(spark, rows):
     assert Counter(r.decoded for r in seen["sentencepiece"]) == times
 
 
+def test_reruns_agree(spark):
+    """Rows that repeat a doc_id, a text or both, and differ in other columns: what stays and what is taken depends on no partitioning."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices(SYLLABLES, k=3)) for _ in range(n))
+    texts = [text(30) for _ in range(40)]
+    rows = [(rng.choice([None, 1, 2, i]), rng.choice(texts) if i % 3 else text(30), "en", rng.choice(["a", "b", None]), i, f"k{i}", i % 5, None, i % 3, "c", 2, i % 2 == 0, "r") for i in range(260)]
+    rows += [(7, texts[0], "en", "a", i, f"m{i}", i, "x", 1, "c", 2, None, "r") for i in range(9)]
+    seen = []
+    for parts in (1, 3, 7):
+        mixed = rows[:]
+        rng.shuffle(mixed)
+        docs, kept = spark.createDataFrame(mixed, SCHEMA).repartition(parts), []
+        for name, stage in corpus_pipeline.STAGES[1:4]:
+            own = spark.createDataFrame(mixed, SCHEMA).repartition(parts) if name == "mixing" else docs
+            docs = stage(spark, own, "").cache()
+            kept.append(sorted(map(repr, docs.collect())))
+        seen.append(kept)
+    assert seen[0] == seen[1] == seen[2]
+    assert all(0 < len(own) < len(rows) for own in seen[0][:2]) and len(set(seen[0][2])) > 100
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table, text_slices
+from trawl.llm.common import ship_package, table, text_slices
 
 #: Characters of text that are encoded at once; pre-tokens and pairs of tokens that a worker remembers, and the longest such pre-token.
 SLICE_CHARS, HELD_WORDS, HELD_PAIRS, HELD_WORD_CHARS = 2_000_000, 200_000, 1_000_000, 64
@@ -221,6 +221,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     of any length, one after the other (a pre-token of n bytes takes time in proportion to n); repeated rows are coded one by one;
     there are no ties, an encoding being unique; an empty table gives an empty result. No shuffle.
     """
+    ship_package(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         spec = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))  # a vocabulary file, a MB
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

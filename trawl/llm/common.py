@@ -22,7 +22,8 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decided`` (doc_id, text_sha256, kept; a row for each of docs) keeps, with all their columns.
 
     Texts are shuffled once, unsorted, to the keys of the rows that go. Rows that repeat both doc_id and text, of which one
-    stays, are the only ones that are grouped whole."""
+    stays, are the only ones that are grouped whole; each task puts forward one of them, and of all the one with the smallest hash of its
+    columns stays, so that reruns agree."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
@@ -38,10 +39,16 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     marked = plain.join(marks.hint("shuffle_hash"), "row_key", "left")
     found = marked.where("stay is null").drop("stay")
     if not marks.where("stay > 0").isEmpty():
-        found = found.unionByName(marked.where("stay > 0").drop("stay").dropDuplicates(["row_key"]))
+        repeated = marked.where("stay > 0").groupBy("row_key").agg(F.min_by(F.struct(*names), row_hash(names)).alias("one"))
+        found = found.select(*names).unionByName(repeated.select("one.*"))
     return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
+def row_hash(names: list[str]):
+    """A hash of whole rows, by the columns in ``names``; ``to_json`` takes columns of all types."""
+    return F.xxhash64(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import Forest, connected_components, dealt, joined_batches, materialise, numpy_groups, release, table
+from trawl.functions.ids import is_long
+from trawl.llm.common import Forest, connected_components, dealt, joined_batches, materialise, numpy_groups, release, ship_package, table
 
 SIMILARITY = 0.98
 RECALL = 1.0
@@ -190,7 +191,7 @@ def _meet(similarity: float, one_sided: bool):
 def near_vectors(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per row of ``rows`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    Vectors link when their labels are equal and not null, their lengths are equal, and their cosine in double
+    Vectors link when their labels are equal and not null, their lengths are equal (labels that are no integers by 64 bits of hash), and their cosine in double
     precision is ``similarity`` or more. A vector that is null, empty, zero or holds a null or a non-finite
     component links with nothing, and is its own component. component_id is the smallest vec_id that links reach;
     rows that repeat a vector link with each other. With a ``recall`` of 1 no link is missed. The codebooks come from about ``sample``
@@ -198,7 +199,9 @@ def near_vectors(rows: DataFrame, similarity: float = SIMILARITY, recall: float
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = rows.sparkSession
-    known = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
+    ship_package(spark)
+    label = F.col("label").cast("long") if is_long(rows, "label") else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    known = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", label.alias("label"))
     able = known.where("label is not null and embedding is not null")
     size = able.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     n = size["n"]

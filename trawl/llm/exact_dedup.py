@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import keep_rows, materialise, release, table
+from trawl.llm.common import keep_rows, materialise, release, ship_package, table
 
 BLOCK_CHARS = 16_384
 HELD_CHARS = 48_000_000
@@ -63,8 +63,9 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, held_chars: int
 
     Uses only ``doc_id`` and ``text``; other columns are ignored. A null text counts as empty. Of equal
     texts the row with the largest doc_id stays (a null doc_id ranks lowest; of repeated rows with the
-    same doc_id just one stays). An empty table gives an empty result.
+    same doc_id just one stays). Very long texts are cut into blocks, which no task holds together. An empty table gives an empty result.
     """
+    ship_package(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"),

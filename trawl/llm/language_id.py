@@ -5,8 +5,9 @@ A lookup ANDs the masks of an n-gram's slots, which gives all languages of a tab
 counted per language, the hits that the filter's known fill lets through by chance are taken off, and
 the language with most is predicted.
 
-Training reads a bounded sample of labelled rows (``per_language`` rows of each language in
-expectation, drawn by a hash); prediction reads every row and whole texts.
+Training reads a bounded sample of labelled rows (``per_language`` rows of each of the ``languages`` commonest in
+expectation, drawn by a hash), and every n-gram of it goes into the filter, which tasks fill: what reaches the driver are slots, not
+n-grams. Prediction reads every row and whole texts.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table
+from trawl.llm.common import materialise, release, ship_package, table
 
 GRAMS = (2, 3, 4)
 SLOTS = 1 << 20
 HASHES = 3
 PER_LANGUAGE = 2_000
-TOP_GRAMS = 20_000
+LANGUAGES = 1_024
+#: Slots for each n-gram that the fullest language contains.
+SLOTS_PER_GRAM = 4
 #: A language contains an n-gram if its share of the language's n-grams is at least this part of the largest share.
 KEEP_SHARE = 0.35
 WORD_BITS = 64
@@ -111,26 +114,41 @@ def _count_grams(batches):
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(values), pa.string()), "gram": values, "n": counts})
 
 
+def places(codes: np.ndarray, slots: int) -> list[np.ndarray]:
+    """The slots of each n-gram, by hash."""
+    step = (codes >> np.uint64(40)) | np.uint64(1)
+    return [((codes + np.uint64(k) * step) % np.uint64(slots)).astype(np.int64) for k in range(HASHES)]
+
+
+def _fill(slots: int):
+    """(slot, word, mask) of n-grams and the languages that contain them."""
+
+    def run(batches):
+        for batch in batches:
+            codes, bits = batch.column("gram").to_numpy().view(np.uint64), batch.column("bit").to_numpy().astype(np.int64)
+            mask = (np.uint64(1) << (bits % WORD_BITS).astype(np.uint64)).view(np.int64)
+            for at in places(codes, slots):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits // WORD_BITS), pa.array(mask)], ["slot", "word", "mask"])
+
+    return run
+
+
 class LanguageFilter:
     """The bit-sliced Bloom filter and the shares of false positives."""
 
-    def __init__(self, langs: list[str], grams: np.ndarray, masks: np.ndarray, slots: int = SLOTS):
+    def __init__(self, langs: list[str], grams: np.ndarray, masks: np.ndarray, slots: int = SLOTS, tables: list[np.ndarray] | None = None):
         self.langs, self.slots = langs, slots
         masks = masks[:, None] if masks.ndim == 1 else masks  # a column for every WORD_BITS languages
-        self.tables = [np.zeros(slots, np.uint64) for _ in range(-(-len(langs) // WORD_BITS))]
-        for at in self._places(grams.view(np.uint64)):
+        self.tables = tables or [np.zeros(slots, np.uint64) for _ in range(-(-len(langs) // WORD_BITS))]
+        for at in places(grams.view(np.uint64), slots):
             for table, column in zip(self.tables, masks.T, strict=True):
                 np.bitwise_or.at(table, at, column)
         full = [(self.tables[i // WORD_BITS] >> np.uint64(i % WORD_BITS) & np.uint64(1)).mean() for i in range(len(langs))]
         self.false = np.array(full) ** HASHES
 
-    def _places(self, codes: np.ndarray):
-        step = (codes >> np.uint64(40)) | np.uint64(1)
-        return [((codes + np.uint64(k) * step) % np.uint64(self.slots)).astype(np.int64) for k in range(HASHES)]
-
     def languages(self, codes: np.ndarray, word: int = 0) -> np.ndarray:
         """The bitmask of the languages that contain each n-gram, of those in table ``word``."""
-        first, *more = self._places(codes)
+        first, *more = places(codes, self.slots)
         mask = self.tables[word][first]
         for at in more:
             mask &= self.tables[word][at]
@@ -154,33 +172,38 @@ class LanguageFilter:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, top_grams: int = TOP_GRAMS) -> LanguageFilter | None:
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageFilter | None:
     """A filter from rows (key, lang, text); ``key`` only draws the sample. None if no row has a language.
 
-    Any number of languages is learnt; what reaches the driver is bounded by languages * top_grams."""
+    Of more than ``languages`` different values of lang the commonest are learnt, ties by code point. The driver and every task hold
+    a table for each 64 of them."""
+    ship_package(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
-    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not totals:
         return None
     spark = labelled.sparkSession
-    langs = [lang for lang, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))]  # ties of scores go to the commoner
-    known = spark.createDataFrame([(lang, i, per_language / totals[lang]) for i, lang in enumerate(langs)], "lang string, bit int, share double")
+    langs = [r["lang"] for r in totals]  # ties of scores go to the commoner
+    known = spark.createDataFrame([(r["lang"], i, per_language / r["n"]) for i, r in enumerate(totals)], "lang string, bit int, share double")
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "key"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(F.broadcast(known), "lang").where(draw < F.col("share")).select("lang", "text")
-    counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    sums = spark.createDataFrame([(lang, i, float(sums.get(lang) or 1)) for i, lang in enumerate(langs)], "lang string, bit int, total double")
-    counts = counts.join(F.broadcast(sums), "lang").select("gram", "n", F.struct((F.col("n") / F.col("total")).alias("share"), "bit").alias("of"))
-    grams = counts.groupBy("gram").agg(F.sum("n").alias("seen"), F.max("of.share").alias("most"), F.collect_list("of").alias("of"))
+    counts = materialise(sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
+    sums = counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total"))
+    sized = counts.join(F.broadcast(sums), "lang").join(F.broadcast(known.select("lang", "bit")), "lang")  # a row a language, both
+    of = F.collect_list(F.struct((F.col("n") / F.col("total")).alias("share"), "bit"))
+    grams = sized.groupBy("gram").agg(of.alias("of")).withColumn("most", F.array_max("of.share"))
     has = F.transform(F.filter("of", lambda x: x["share"] >= F.col("most") * KEEP_SHARE), lambda x: x["bit"])
-    top = grams.where("seen >= 3").select("gram", has.alias("bits"), "most").orderBy(F.desc("most"), "gram").limit(top_grams * len(langs))
-    top = top.select("gram", "bits").toArrow().combine_chunks()
-    gram, bits = top["gram"].to_numpy(), top["bits"].combine_chunks()
-    row = np.repeat(np.arange(len(gram)), np.diff(bits.offsets.to_numpy())) if len(gram) else np.zeros(0, np.int64)
-    bit = bits.flatten().to_numpy().astype(np.int64)
-    masks = np.zeros((len(gram), -(-len(langs) // WORD_BITS)), np.uint64)
-    np.bitwise_or.at(masks, (row, bit // WORD_BITS), np.uint64(1) << (bit % WORD_BITS).astype(np.uint64))
-    return LanguageFilter(langs, gram.astype(np.int64), masks)
+    contained = materialise(grams.select("gram", F.explode(has).alias("bit")))
+    fullest = contained.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    slots = max(SLOTS, 1 << (SLOTS_PER_GRAM * fullest - 1).bit_length()) if fullest else SLOTS
+    filled = contained.mapInArrow(_fill(slots), "slot long, word long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    filled = filled.toArrow()
+    word, slot, mask = (filled[c].to_numpy() for c in ("word", "slot", "mask"))
+    tables = [np.zeros(slots, np.uint64) for _ in range(-(-len(langs) // WORD_BITS))]
+    for i, one in enumerate(tables):
+        one[slot[word == i]] = mask[word == i].view(np.uint64)
+    release(counts, contained)
+    return LanguageFilter(langs, np.zeros(0, np.int64), np.zeros((0, len(tables)), np.uint64), slots, tables)
 
 
 def _predictor(model):
@@ -197,6 +220,7 @@ def predict(rows: DataFrame, model: LanguageFilter | None) -> DataFrame:
     """Adds lang_pred and score to (key columns, trawl_text). Without a model every row is ``und``, score 0."""
     kept = [f for f in rows.schema.fields if f.name != "trawl_text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    ship_package(rows.sparkSession)
     if model is None:
         return rows.drop("trawl_text").withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     shared = rows.sparkSession.sparkContext.broadcast(model)  # SLOTS words of 8 bytes for every 64 languages
@@ -213,7 +237,8 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     Rows whose crc32(doc_id) mod 4 is 2 are held out; the filter learns from the others' text and lang,
     where both are there. A prediction sees the text alone. A null text and one without a letter are
     ``und`` with score 0; so is everything if no row has a language. The score is the corrected share
-    of n-grams that the language contains. Repeated rows are predicted one by one; an empty
+    of n-grams that the language contains; of languages with equal scores the one with more labelled rows is predicted, then the first by code
+    point. Very long texts are read whole, one at a time. Repeated rows are predicted one by one; an empty
     table gives an empty result.
     """
     key = F.col("doc_id").cast("long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table
+from trawl.llm.common import ship_package, table
 from trawl.llm.words import LETTERS_DIGITS, LOWER, MULTIPLIER, mix, word_hashes
 
 WORDS = 5
@@ -247,6 +247,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     window begins, n_windows how many windows hold it. A null or empty text has none, nor has one shorter than every template. Whole texts are read;
     repeated rows are scanned one by one; other columns are ignored; an empty table gives an empty result. No shuffle.
     """
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(_scan(dict(templates)), "doc_id long, license string, containment double, first_word long, n_windows long")
 

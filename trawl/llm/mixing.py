@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import materialise, salts, table
+from trawl.llm.common import materialise, row_hash, salts, ship_package, table
 from trawl.operators.ingest import assign_ids
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -159,8 +159,8 @@ def mix(
 
     size is the number of words (a null text has none). Sources are taken in code-point order, null
     last, and weigh ``weights`` in turn. ``times`` says how often the mix takes the row (at most
-    ``max_epochs``) and ``taken`` is times * size. Empty rows are never taken. The draw depends on the seed
-    and doc_id alone; rows that repeat a doc_id are drawn one by one. Only doc_id, source and text are read, whatever other columns
+    ``max_epochs``) and ``taken`` is times * size. Empty rows are never taken. The draw depends on the seed,
+    doc_id and text alone, so reruns agree; rows that repeat a doc_id are drawn one by one, and those that repeat its text, too, are alike. Only doc_id, source and text are read, whatever other columns
     are called; very long texts are rows like others. An empty table gives an empty result.
     """
     return _mixed(docs, weights, max_epochs, seed, knapsack).select("doc_id", "size", "source_size", "target", "times", "taken")
@@ -168,7 +168,8 @@ def mix(
 
 def _mixed(docs, weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed="mix-1", knapsack=KNAPSACK_WORDS) -> DataFrame:
     """The rows of ``mix`` with their source and the hash of their text."""
-    rows = materialise(word_sizes(docs).withColumn("draw", F.xxhash64(F.lit(seed), F.col("doc_id"))))
+    ship_package(docs.sparkSession)
+    rows = materialise(word_sizes(docs).withColumn("draw", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("mark"))))
     stats = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     by_source = stats.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
     goals = shared_targets(by_source, weights, max_epochs)
@@ -191,7 +192,7 @@ def _mixed(docs, weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed="mix-1", knapsack=
     before = F.sum("n").over(Window.partitionBy("sid", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.withColumn("before", F.coalesce(before, F.lit(0))).join(quotas, ["sid", "size"])
     cells = cells.select("sid", "size", "salt", (F.col("quota") - F.col("before")).alias("left")).where("left > 0")
-    place = F.row_number().over(Window.partitionBy("sid", "size", "salt").orderBy("draw", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("sid", "size", "salt").orderBy("draw", "doc_id", "mark"))
     more = (F.col("place") <= F.coalesce("left", F.lit(0))).cast("int")
     return (
         tagged.withColumn("place", place)
@@ -205,7 +206,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every taken row as often as it is taken, with the columns of ``docs``, whatever they are called.
 
     Rows are told apart by doc_id, source and text; rows that repeat all three share what the mix takes of them, each as often as
-    the next or once more. An empty table gives an empty one.
+    the next or once more, by the hash of all their columns. An empty table gives an empty one.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = {c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "source", "text")}
@@ -221,7 +222,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     found = plain.join(times.hint("shuffle_hash"), "row_key")
     out = found.where("over = 0").withColumn("copies", F.col("each"))
     if not times.where("over > 0").isEmpty():
-        turn = F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1)))
+        turn = F.row_number().over(Window.partitionBy("row_key").orderBy(row_hash(names)))
         out = out.unionByName(found.where("over > 0").withColumn("copies", F.col("each") + (turn <= F.col("over")).cast("int")))
     out = out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import Forest, connected_components, dealt, joined_batches, keep_rows, materialise, numpy_groups, release, table
+from trawl.llm.common import Forest, connected_components, dealt, joined_batches, keep_rows, materialise, numpy_groups, release, ship_package, table
 from trawl.llm.words import MULTIPLIER as _P
 from trawl.llm.words import mix as _mix
 from trawl.llm.words import word_hashes
@@ -414,7 +414,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block_docs:
 
     Rows are linked when the weighted Jaccard similarity of their multisets of five-word shingles is
     ``similarity`` or more (words are runs of anything but ASCII white space, taken as they are); a group is what links reach.
-    group_id is the group's smallest doc_id (null only if it has no other); of its rows one with that doc_id is kept.
+    group_id is the group's smallest doc_id (null only if it has no other); of its rows one with that doc_id is kept, that with the first sha256 of
+    its text if several texts have it.
     Texts of fewer words are one shingle; a text without words (null, empty, blank) is linked only to rows with
     exactly its text, null counting as empty. Very long texts are taken whole, at eight bytes a word where they are compared. Rows may
     repeat a doc_id. Other columns are ignored, whatever their names; an empty table gives an empty result.
@@ -422,10 +423,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block_docs:
     At a similarity of 0.8 a pair shares no bucket with probability (1 - 0.8**5)**24 = 7.3e-5, and has more than 42 of 120 components
     apart with probability 3.7e-5, so that a link at the threshold itself is missed with a probability of 1.1e-4; others less.
     """
+    ship_package(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("sha"))
     signed = materialise(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_sign, _SIGNED))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256", "rid")).alias("head")
     classes = signed.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes.select("text_sha256", "head.rid", "head.doc_id", "copies"))
     # one document a text from here on; its number is that of its class's first row

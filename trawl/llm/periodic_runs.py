@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table, text_slices
+from trawl.llm.common import ship_package, table, text_slices
 from trawl.llm.words import mix
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -290,6 +290,7 @@ def periodic_runs(docs: DataFrame, least: int = LEAST_WORDS, exponent: int = LEA
     """
     if exponent < 2:
         raise ValueError("runs repeat twice at least")
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(_finder(least, exponent), "doc_id long, n_words long, runs array<struct<start:bigint,length:bigint,period:bigint>>, collapsed string")
 

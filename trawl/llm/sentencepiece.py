@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table
+from trawl.llm.common import ship_package, table
 
 SPACE = "▁"
 BYTE_TYPE, NORMAL_TYPE = 6, 1
@@ -300,6 +300,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     pieces. Whole texts of any length are read; repeated rows are coded one by one; other columns are ignored; an
     empty table gives an empty result. No shuffle.
     """
+    ship_package(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # a model file, under a MB
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

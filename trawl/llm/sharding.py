@@ -68,7 +68,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, vnodes: int = VNODES, ticks: i
     Law ``rows``: shards differ by one row at most; ``slot`` counts each shard's rows from 0 without
     gaps. size is the text's UTF-8 bytes plus 8; a null text has size 8 and the checksum of an empty text.
     Equal texts share a home and stay there while it has room; ties and repeated rows take slots of
-    their own. Only ``doc_id`` and ``text`` are read; an empty table gives an empty result.
+    their own. Very long texts are hashed where they are
+    and never travel. Only ``doc_id`` and ``text`` are read; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -79,7 +80,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, vnodes: int = VNODES, ticks: i
     )
     rows = materialise(rows)
     n = rows.count()
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(salts(n))).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("salt")), F.lit(salts(n))).cast("int"))
     slices = materialise(rows.groupBy("tick", "salt").agg(F.count(F.lit(1)).alias("n")))
     counts = {r["tick"]: r["n"] for r in slices.groupBy("tick").agg(F.sum("n").alias("n")).collect()}  # at most `ticks` rows
     capacity = [n // shards + (s < n % shards) for s in range(shards)]

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table
+from trawl.llm.common import ship_package, table
 
 # Character classes. STMD, R, V, L, E are the letters that contractions need.
 END, SPACE, WHITE, LETTER, NUMBER, OTHER, APOS, STMD, R, V, L, E = range(12)
@@ -363,6 +363,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     tokens. Whole texts are read, of any length; repeated rows are counted one by one; other columns are
     ignored; an empty table gives an empty result. No shuffle.
     """
+    ship_package(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, a few MB
     text = F.coalesce(F.col("text"), F.lit(""))
