@@ -10,6 +10,7 @@ that is told from the order of merges along the border, and remembered. An encod
 from __future__ import annotations
 
 import base64
+import struct
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from trawl.llm.common import ship_package, table, text_slices
 
 #: Characters of text that are encoded at once; pre-tokens and pairs of tokens that a worker remembers, and the longest such pre-token.
-SLICE_CHARS, HELD_WORDS, HELD_PAIRS, HELD_WORD_CHARS = 2_000_000, 200_000, 1_000_000, 64
+SLICE_CHARS, HELD_WORDS, HELD_PAIRS, HELD_WORD_CHARS = 2_000_000, 400_000, 1_000_000, 64
 #: Not in Latin-1: no token crosses it.
 _BORDER = "Ā"
 
@@ -42,16 +43,10 @@ class Splitter:
         library = tiktoken.Encoding("bytes", pat_str=r"[\p{L}\p{N}]+", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
         newer = set(ours).difference(library.decode_bytes(library.encode_ordinary(ours)).decode())
         self.plain = dict.fromkeys(map(ord, newer), "\ue000")  # for private use: no letter, digit or space
-        runs, codes = [], sorted(self.plain)
-        for c in codes:
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-        self.has_newer = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]").search if runs else lambda text: None
+        self.newer = frozenset(newer)
 
     def split(self, text: str) -> list[str]:
-        if self.has_newer(text) is None:
+        if text.isascii() or self.newer.isdisjoint(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.plain))]
 
@@ -170,7 +165,8 @@ class Vocabulary:
         mapped = [w.encode().decode("latin-1") for w in left]
         longest, at = self._longest(_BORDER.join(mapped)), 0
         for word, m in zip(left, mapped, strict=True):
-            out[word] = b"".join([t.to_bytes(4, "little") for t in self._walk(longest, at, at + len(m))])
+            ids = self._walk(longest, at, at + len(m))
+            out[word] = struct.pack(f"<{len(ids)}I", *ids)
             at += len(m) + 1
         return out
 
@@ -178,14 +174,12 @@ class Vocabulary:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.split(t) for t in texts]
         new = list({w for words in cut for w in words if w not in self.words})
-        found = self._learn(new)
-        if len(self.words) + len(found) > HELD_WORDS:
-            found = {w: self.words.get(w) or found[w] for words in cut for w in words}
-            self.words = {}
-            known = found
+        known = self.words | self._learn(new) if new else self.words
+        if len(known) > HELD_WORDS:  # what is common comes again with the next texts
+            held = {w: known[w] for words in cut for w in words if len(w) <= HELD_WORD_CHARS}
+            self.words = held if len(held) <= HELD_WORDS else {}
         else:
-            self.words.update((w, ids) for w, ids in found.items() if len(w) <= HELD_WORD_CHARS)
-            known = self.words if all(len(w) <= HELD_WORD_CHARS for w in new) else self.words | found
+            self.words.update((w, known[w]) for w in new if len(w) <= HELD_WORD_CHARS)
         return [b"".join([known[w] for w in words]) for words in cut]
 
     def decode(self, packed: bytes) -> bytes:
