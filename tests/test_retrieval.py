@@ -1,5 +1,6 @@
 """Retrieval operators against plain Python models, on small fixtures of the shape that the records have."""
 
+import datetime
 import hashlib
 import math
 import re
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import text as T
 from trawl.functions import versions
-from trawl.operators import cache, chat, chunking, dense, evaluate, health, ingest, pairs, search, sparse, stored, testset
+from trawl.operators import cache, chat, chunking, dense, encoders, evaluate, health, ingest, pairs, search, sparse, stored, testset
 from trawl.sources import io
 
 RECORD = "data_id long, symptoms string, cause string, diagnosis string, treatment string"
@@ -32,6 +33,7 @@ STRIP = lambda s: (s or "").strip()
 @pytest.fixture(autouse=True)
 def few_buckets(monkeypatch):
     monkeypatch.setattr(stored, "BUCKETS", 8)
+    monkeypatch.setitem(cache.EMPTY, "buckets", 4)
 
 
 @pytest.fixture(scope="module")
@@ -463,6 +465,107 @@ def test_cache(spark):
     assert cache.latest(stored.union(stored)).count() == 3
 
 
+def cache_rows(spark, rows):
+    return spark.createDataFrame([(m, h, d, [float(d)], datetime.datetime(2020, 1, day)) for m, h, d, day in rows], cache.CACHE)
+
+
+def test_stored_cache(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "cache")
+    seen = lambda: sorted((r.model, r.text_hash, r.dim) for r in cache.stored_cache(spark, root).collect())
+    assert seen() == []
+    assert cache.upsert_stored(root, cache_rows(spark, [("m", "a", 1, 1), ("m", "a", 2, 3), ("m", "a", 3, 2), ("n", "a", 4, 1), ("m", "b", 5, 1), ("m", "b", 6, 1)]), 4) == 1
+    assert seen() == [("m", "a", 2), ("m", "b", 6), ("n", "a", 4)]
+    cache.upsert_stored(root, cache_rows(spark, [("m", "b", 7, 1), ("m", "c", 8, 1)]))
+    assert seen() == [("m", "a", 2), ("m", "b", 7), ("m", "c", 8), ("n", "a", 4)]
+    before = versions.current(spark, root)
+    with monkeypatch.context() as m:  # a write that fails after its files leaves what was there
+        m.setattr(versions, "commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            cache.upsert_stored(root, cache_rows(spark, [("m", "a", 9, 9)]))
+    assert versions.current(spark, root) == before and len(seen()) == 4
+    commit, other = versions.commit, []
+
+    def overtaken(session, path, after, folder):
+        if not other:
+            other.append(1)
+            cache.upsert_stored(root, cache_rows(spark, [("n", "z", 1, 1)]))
+        return commit(session, path, after, folder)
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "commit", overtaken)
+        cache.upsert_stored(root, cache_rows(spark, [("m", "a", 9, 9)]))
+    assert seen() == [("m", "a", 9), ("m", "b", 7), ("m", "c", 8), ("n", "a", 4), ("n", "z", 1)]
+    plan = cache.stored_cache(spark, root)._jdf.queryExecution().toString()
+    assert "parquet" in plan and cache.clear_stored(spark, root, "n") == 2 and len(seen()) == 3 and cache.clear_stored(spark, root) == 3 and seen() == []
+    empty = cache_rows(spark, [])
+    assert cache.cache_upsert(empty, cache_rows(spark, [("m", "a", 1, 1), ("m", "a", 2, 2)])).count() == 1
+
+
+def test_stored_ids(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "records")
+    rows = lambda *names: spark.createDataFrame([(i, n, "s", "", "") for i, n in enumerate(names)], "pos long, disease string, symptoms string, cause string, treatment string")
+    seen = lambda: sorted((r.data_id, r.symptoms) for r in ingest.stored_records(spark, root).collect())
+    assert seen() == [] and sorted(r.data_id for r in ingest.load_records(root, rows("a", "b", "b", "c")).collect()) == [1, 2, 3]
+    ingest.delete_records(root, spark.createDataFrame([(3,)], "data_id long"))
+    assert seen() == [(1, "a"), (2, "b")]
+    assert [r.data_id for r in ingest.load_records(root, rows("a", "c")).collect()] == [4]  # 3 is not given again
+    commit, other = versions.commit, []
+
+    def overtaken(session, path, after, folder):
+        if not other:
+            other.append(1)
+            ingest.load_records(root, rows("d"))
+        return commit(session, path, after, folder)
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "commit", overtaken)
+        assert [(r.data_id, r.symptoms) for r in ingest.load_records(root, rows("d", "e")).collect()] == [(6, "e")]
+        other.clear()
+        with pytest.raises(versions.ConcurrentCommit):
+            ingest.load_records(root, rows("f", "g"), tries=1)
+    assert seen() == [(1, "a"), (2, "b"), (4, "c"), (5, "d"), (6, "e")]
+
+
+def test_encoders(spark, records):
+    corpus = chunking.row_combined(records)
+    got = {(r.data_id, r.gram): r.w for r in encoders.fit_encode(encoders.TFIDF, corpus).collect()}
+    from trawl.operators import index
+
+    want = {(r.data_id, r.gram): r.w for r in index.encode_tfidf(corpus, index.fit_tfidf(corpus)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    empty, texts = cache_rows(spark, []), spark.createDataFrame([("abc",), ("abc",), (" ",)], "text string")
+    with pytest.raises(ValueError):
+        encoders.encode_cached(encoders.TFIDF, empty, texts)
+    plain = encoders.of_texts("projected", encoders.projection)
+    assert not plain.corpus_coupled and encoders.TFIDF.corpus_coupled
+    filled, new = encoders.encode_cached(plain, empty, texts)
+    assert new.count() == 2 and {r.text: len(r.vector) for r in filled.collect()} == {"abc": 32, " ": 32}
+    vector = np.zeros(32)
+    for gram in (" ab", "abc", "bc "):
+        vector += [2 * int(d, 16) - 15 for d in hashlib.md5(gram.encode()).hexdigest()]
+    assert (encoders.projection(["abc"])[0] == vector).all()
+
+
+def test_timed_results(spark, records):
+    cases = testset.cases_exact(records).where("query <> ''").withColumn("case_id", F.col("expected_data_id"))
+    results, timed = evaluate.timed_results(cases, {"row_combined": chunking.row_combined(records)}, 2, encoders.projection, rounds=2)
+    assert results.select("retriever").distinct().count() == 5 and timed.count() == 10
+    median = {r.retriever: r.median_ms for r in evaluate.median_latency(timed).collect()}
+    assert all(ms > 0 for ms in median.values()) and median["hybrid(bm25+dense)"] > median["bm25"]
+
+
+def test_jdbc_in_ranges(spark):
+    url, rows = "jdbc:derby:memory:records;create=true", [(i, f"n{i}", "c", "d", "t") for i in (3, 10, 11, 40, 41, 97)]
+    spark.createDataFrame(rows, ingest.RECORDS).write.jdbc(url, "vet_doc")
+    found = io.read_records_jdbc(spark, url, parts=4)
+    assert found.rdd.getNumPartitions() == 4 and sorted(map(tuple, found.collect())) == rows
+    assert sum(n > 0 for n in found.rdd.glom().map(len).collect()) >= 3
+    some = found.where("data_id > 40")
+    assert some.count() == 2 and re.search(r"PushedFilters: \[.*GreaterThan\(data_id,40", some._jdf.queryExecution().toString().replace("*", ""))
+    spark.createDataFrame([], ingest.RECORDS).write.jdbc(url, "none_doc")
+    assert io.read_records_jdbc(spark, url, table="none_doc").count() == 0
+
+
 def test_ingestion(spark, records):
     raw = spark.createDataFrame([(0, None, "Mange", " hair loss ", "mites", None), (1, "Cold", " s ", "c", None, "t"), (2, "New", "sym", None, None, None), (3, "New", "again", None, None, None), (4, "Bad", " ", None, None, None)],
                                 "pos long, disease string, symptoms string, cause string, diagnosis string, treatment string")
@@ -550,6 +653,7 @@ def test_sources(spark, records, tmp_path):
     assert [(r.query, r.expected_data_id) for r in back] == [('q, "x"', 1)]
     io.write_results(cases, cases, str(tmp_path / "out"), "r1")
     io.write_results(cases, cases, str(tmp_path / "out"), "r2")
+    io.write_results(cases, cases, str(tmp_path / "out"), "r2")  # a rerun takes the place of its rows
     assert spark.read.parquet(str(tmp_path / "out/latest_results")).count() == 2 and spark.read.parquet(str(tmp_path / "out/failures")).count() == 4
     seed = records.withColumn("pos", F.col("data_id"))
     assert [r.data_id for r in io.seed_if_empty(None, seed).orderBy("data_id").collect()] == list(range(1, len(ROWS) + 1))

@@ -6,6 +6,7 @@ writers that started from one version, the second fails and may try again from w
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import SparkSession
@@ -53,3 +54,25 @@ def commit(spark: SparkSession, root: str, after: int, folder: str) -> int:
     stream.write(bytearray(f"{folder}\n".encode()))
     stream.close()
     return after + 1
+
+
+def state(spark: SparkSession, root: str, empty: dict) -> tuple[int, dict]:
+    """The number of the last commit and what its version says of itself, or ``empty``."""
+    number, folder = current(spark, root)
+    return number, json.loads(spark.read.text(f"{root}/{folder}/state").first()["value"]) if folder else empty
+
+
+def commit_state(spark: SparkSession, root: str, after: int, folder: str, held: dict) -> int:
+    """Write what a version says of itself, and make it current."""
+    spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.text(f"{root}/{folder}/state")
+    return commit(spark, root, after, folder)
+
+
+def retried(write, tries: int = 3):
+    """What ``write`` returns, called again while somebody else commits first."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return write()
+        except ConcurrentCommit:
+            if not left:
+                raise

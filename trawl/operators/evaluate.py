@@ -5,6 +5,7 @@ Results are (chunking, retriever, case_id, data_id, rank, score); cases are (cas
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -55,25 +56,48 @@ def failures(judgements: DataFrame) -> DataFrame:
 
 
 def benchmark_results(cases: DataFrame, chunkings: dict[str, DataFrame], k: int = 5, encoder: Encoder | None = None) -> DataFrame:
-    """Ranked lists of every chunking with BM25, TF-IDF and their fusion, and with an encoder dense search and its fusion with BM25.
+    """Ranked lists of every chunking with BM25, TF-IDF and their fusion, and with an encoder dense search and its fusion with BM25."""
+    return timed_results(cases, chunkings, k, encoder, 0)[0]
+
+
+def timed_results(cases: DataFrame, chunkings: dict[str, DataFrame], k: int = 5, encoder: Encoder | None = None, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(lists, timings): the lists of ``benchmark_results`` and the milliseconds a query that making each of them took, (chunking,
+    retriever, latency_ms) for every round.
+
+    Lists are made once a round, at the depth the fusions need, and written: k rows a query and list. A fused list counts what its
+    parts took, too. Chunks and queries are encoded before, as an index is built before it is searched. With no rounds nothing is timed, and
+    fusions are left to the query that reads them."""
+    queries = materialise(cases.select(F.col("case_id").alias("query_id"), "query"))
+    n, depth, every, timings = max(queries.count(), 1), rrf_depth(k), None, []
+
+    def timed(make, written=True):
+        if not rounds:
+            return (materialise(make()) if written else make()), []
+        found, took = None, []
+        for _ in range(rounds):
+            began = time.perf_counter()
+            found = materialise(make())
+            took.append(1000 * (time.perf_counter() - began) / n)
+        return found, took
 
-    Lists are made once, at the depth the fusions need, and written: k rows a query and list."""
-    queries = cases.select(F.col("case_id").alias("query_id"), "query")
-    depth, every = rrf_depth(k), None
     for name, chunks in chunkings.items():
-        lists = {"bm25": materialise(bm25_search(queries, chunks, depth)), "tfidf": materialise(tfidf_search(queries, chunks, depth))}
-        lists["hybrid(bm25+tfidf)"] = rrf_fuse([lists["bm25"], lists["tfidf"]], top=k)
+        lists = {"bm25": timed(lambda: bm25_search(queries, chunks, depth)), "tfidf": timed(lambda: tfidf_search(queries, chunks, depth))}
+        fused = {"hybrid(bm25+tfidf)": ("bm25", "tfidf")}
         if encoder:
-            vectors = encode(chunks.select("data_id", "text"), encoder).select("data_id", "vector")
-            asked = encode(queries.select("query_id", F.col("query").alias("text")), encoder).select("query_id", "vector")
-            lists["dense"] = materialise(dense_search(asked, vectors, depth))
-            lists["hybrid(bm25+dense)"] = rrf_fuse([lists["bm25"], lists["dense"]], top=k)
-        for retriever, ranked in lists.items():
+            vectors = materialise(encode(chunks.select("data_id", "text"), encoder).select("data_id", "vector"))
+            asked = materialise(encode(queries.select("query_id", F.col("query").alias("text")), encoder).select("query_id", "vector"))
+            lists["dense"] = timed(lambda: dense_search(asked, vectors, depth))
+            fused["hybrid(bm25+dense)"] = ("bm25", "dense")
+        for retriever, parts in fused.items():
+            found, took = timed(lambda: rrf_fuse([lists[p][0] for p in parts], top=k), written=False)
+            lists[retriever] = found, [sum(all_) for all_ in zip(took, *[lists[p][1] for p in parts], strict=True)]
+        for retriever, (ranked, took) in lists.items():
+            timings += [(name, retriever, ms) for ms in took]
             own = ranked.where(F.col("rank") <= k).select(
                 F.lit(name).alias("chunking"), F.lit(retriever).alias("retriever"), F.col("query_id").alias("case_id"), "data_id", "rank", "score"
             )
             every = own if every is None else every.unionByName(own)
-    return every
+    return every, cases.sparkSession.createDataFrame(timings, "chunking string, retriever string, latency_ms double")
 
 
 def containing(records: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:

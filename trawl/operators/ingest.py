@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trawl.functions import versions
 from trawl.functions.ids import assign_ids as assign_ids
+from trawl.functions.scratch import materialise
 from trawl.functions.text import strip
-from trawl.operators.search import record_chunks, tfidf_search, to_honest_names
+from trawl.operators.search import record_chunks, tfidf_search, to_honest_names, to_raw_names
 
 FIELDS = ("disease", "symptoms", "cause", "treatment")
 REQUIRED = ("disease", "symptoms")
+RECORDS = "data_id long, symptoms string, cause string, diagnosis string, treatment string"
+NOTHING = {"high_water": 0, "folders": [], "deleted": []}
 
 
 def normalize_records(rows: DataFrame) -> DataFrame:
@@ -59,6 +63,54 @@ def preview(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]
     return dedupe_new(valid, existing)
 
 
+def _live(spark: SparkSession, root: str, held: dict) -> DataFrame:
+    every = spark.createDataFrame([], RECORDS)
+    for folder in held["folders"]:
+        every = every.unionByName(spark.read.schema(RECORDS).parquet(f"{root}/{folder}"))
+    for folder in held["deleted"]:
+        every = every.join(spark.read.schema("data_id long").parquet(f"{root}/{folder}"), "data_id", "left_anti")
+    return every
+
+
+def stored_records(spark: SparkSession, root: str) -> DataFrame:
+    """The records of the store under ``root``, under stored names, as its last version has them."""
+    return _live(spark, root, versions.state(spark, root, NOTHING)[1])
+
+
+def load_records(root: str, rows: DataFrame, allow_duplicates: bool = False, tries: int = 3) -> DataFrame:
+    """Put valid, normalised rows with ``pos`` into the store; returns what was added, under stored names.
+
+    Ids go on from the highest that was ever given, which is kept with the table, so the id of a record that was deleted is not given again. A
+    load that another one overtakes is numbered anew behind it; what it wrote before is in no version."""
+    spark = rows.sparkSession
+    rows = materialise(rows)
+
+    def write() -> DataFrame:
+        after, held = versions.state(spark, root, NOTHING)
+        new, _ = dedupe_new(rows, _live(spark, root, held), allow_duplicates)
+        target = versions.new_folder()
+        to_raw_names(assign_ids(new, held["high_water"])).write.parquet(f"{root}/{target}/records")
+        added = spark.read.schema(RECORDS).parquet(f"{root}/{target}/records")
+        highest = added.agg(F.max("data_id")).first()[0] or held["high_water"]
+        versions.commit_state(spark, root, after, target, held | {"high_water": highest, "folders": [*held["folders"], f"{target}/records"]})
+        return added
+
+    return versions.retried(write, tries)
+
+
+def delete_records(root: str, ids: DataFrame, tries: int = 3) -> None:
+    """Take records (data_id) out of the store; their ids stay used."""
+    spark = ids.sparkSession
+
+    def write() -> None:
+        after, held = versions.state(spark, root, NOTHING)
+        target = versions.new_folder()
+        ids.select(F.col("data_id").cast("long")).distinct().write.parquet(f"{root}/{target}/deleted")
+        versions.commit_state(spark, root, after, target, held | {"deleted": [*held["deleted"], f"{target}/deleted"]})
+
+    versions.retried(write, tries)
+
+
 def verify_self_retrieval(new: DataFrame, records: DataFrame) -> DataFrame:
     """(data_id, passed): each new record's own symptoms must find its disease first."""
     own = to_honest_names(new)

@@ -97,13 +97,35 @@ tp AS (SELECT * FROM ts UNION ALL SELECT query_id, data_id, 0 FROM ask, (SELECT
 ti AS (SELECT * FROM (SELECT query_id, data_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, data_id) AS rank, score FROM tp) WHERE rank <= {k})"""
 
 
+def projected(table: str, key: str, count: str) -> str:
+    """Unit vectors of projected grams."""
+    sums = ", ".join(f"sum({count} * v[{i}])::DOUBLE" for i in range(1, 33))
+    return f"""SELECT {key}, list_transform(e, lambda x: (x / CASE WHEN nn = 0 THEN 1 ELSE nn END)::FLOAT::DOUBLE) AS e
+FROM (SELECT {key}, e, sqrt(list_dot_product(e, e)) AS nn FROM (SELECT {key}, [{sums}] AS e FROM {table} JOIN gv USING (gram) GROUP BY ALL))"""
+
+
+def dense(k: int) -> str:
+    """CTEs from those of bm25 to dn(query_id, data_id, rank, score)."""
+    return f"""
+gv AS (SELECT gram, list_transform(range(1, 33), lambda i: 2 * (position(substring(m, i, 1) IN '0123456789abcdef') - 1) - 15) AS v FROM (SELECT gram, md5(gram) AS m FROM (SELECT gram FROM df UNION SELECT gram FROM qg))),
+cv AS ({projected("tf", "data_id, chunk_id", "tf")}),
+qv AS ({projected("qg", "query_id", "qn")}),
+dp AS (SELECT query_id, data_id, max(list_dot_product(qv.e, cv.e)) AS score FROM qv, cv GROUP BY ALL),
+dn AS (SELECT * FROM (SELECT query_id, data_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, data_id) AS rank, score FROM dp) WHERE rank <= {k})"""
+
+
 SYMPTOM_ONLY = f"chunk AS ({whole(strip('cause'), 'symptom_only')})"
 COMBINED_CHUNK = f"chunk AS ({whole(COMBINED, 'combined')})"
 SEARCHED = f"""chunk AS (SELECT data_id, 0 AS chunk_id, {strip("coalesce(cause, '') || ' ' || coalesce(symptoms, '')")} AS text FROM rec)"""
-RRF = """
-parts AS (SELECT query_id, data_id, 0 AS src, rank, 1.0 / (60 + rank) AS part FROM bm UNION ALL SELECT query_id, data_id, 1, rank, 1.0 / (60 + rank) FROM ti),
-fu AS (SELECT query_id, data_id, sum(part) AS score, min((src, rank)) AS seen FROM parts GROUP BY ALL),
-rr AS (SELECT * FROM (SELECT query_id, data_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS rank, score FROM fu) WHERE rank <= 5)"""
+def rrf(first: str, second: str, out: str) -> str:
+    """The fusion of two lists to five."""
+    return f"""
+{out}p AS (SELECT query_id, data_id, 0 AS src, rank, 1.0 / (60 + rank) AS part FROM {first} UNION ALL SELECT query_id, data_id, 1, rank, 1.0 / (60 + rank) FROM {second}),
+{out}f AS (SELECT query_id, data_id, sum(part) AS score, min((src, rank)) AS seen FROM {out}p GROUP BY ALL),
+{out} AS (SELECT * FROM (SELECT query_id, data_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS rank, score FROM {out}f) WHERE rank <= 5)"""
+
+
+RRF = rrf("bm", "ti", "rr")
 LABELLED = """
 lab AS (SELECT item_id AS case_id, text AS query, coalesce(d, -1) AS expected_data_id,
         CASE WHEN d IS NULL THEN 'negative' WHEN item_id % 2 = 0 THEN 'exact' ELSE 'partial' END AS category
@@ -125,9 +147,13 @@ met AS (SELECT chunking, retriever,
         FROM jd GROUP BY chunking, retriever)"""
 
 
-def retrieved(name: str, chunk: str, hybrid: str) -> str:
-    return f"""SELECT '{name}' AS chunking, * FROM (WITH {chunk}, {bm25(20)}, {tfidf(20)}, {RRF}
-SELECT 'bm25' AS retriever, * FROM bm WHERE rank <= 5 UNION ALL SELECT 'tfidf', * FROM ti WHERE rank <= 5 UNION ALL SELECT '{hybrid}', * FROM rr)"""
+def retrieved(name: str, chunk: str, hybrid: str, with_dense: bool = False) -> str:
+    more, lists = "", ""
+    if with_dense:
+        more = f", {dense(20)}, {rrf('bm', 'dn', 'rd')}"
+        lists = " UNION ALL SELECT 'dense', * FROM dn WHERE rank <= 5 UNION ALL SELECT 'hybrid(bm25+dense)', * FROM rd"
+    return f"""SELECT '{name}' AS chunking, * FROM (WITH {chunk}, {bm25(20)}, {tfidf(20)}, {RRF}{more}
+SELECT 'bm25' AS retriever, * FROM bm WHERE rank <= 5 UNION ALL SELECT 'tfidf', * FROM ti WHERE rank <= 5 UNION ALL SELECT '{hybrid}', * FROM rr{lists})"""
 
 
 FULL = strip(f"{strip('cause')} || ' ' || {strip('symptoms')} || ' ' || {strip('diagnosis')} || ' ' || {strip('treatment')}")
@@ -209,8 +235,8 @@ g AS (SELECT *, row_number() OVER (PARTITION BY disease ORDER BY pos) AS turn, d
         "per_symptom": f"chunk AS ({listed(PHRASES)})",
         "per_symptom_expanded": expanded_rows(synonyms),
     }
-    matrix = judged(" UNION ALL ".join(retrieved(name, chunk, "hybrid(bm25+tfidf)") for name, chunk in every_chunking.items()))
-    config_order = f"list_position({list(every_chunking)}, chunking), list_position(['bm25', 'tfidf', 'hybrid(bm25+tfidf)'], retriever)"
+    matrix = judged(" UNION ALL ".join(retrieved(name, chunk, "hybrid(bm25+tfidf)", True) for name, chunk in every_chunking.items()))
+    config_order = f"list_position({list(every_chunking)}, chunking), list_position(['bm25', 'tfidf', 'hybrid(bm25+tfidf)', 'dense', 'hybrid(bm25+dense)'], retriever)"
     edit = """CASE WHEN length(t) < 3 THEN t ELSE substring(t, 1, at) || CASE kind WHEN 0 THEN substring(t, at + 2, 1)
   WHEN 1 THEN substring(t, at + 1, 1) || substring(t, at + 1, 2) ELSE substring(t, at + 2, 1) || substring(t, at + 1, 1) END || substring(t, at + 3) END"""
     edit = edit.replace("at +", "(('0x' || substring(md5(seed || '|' || i), 1, 7))::BIGINT % greatest(length(t) - 1, 1)) +").replace(
@@ -261,6 +287,7 @@ FROM wd JOIN nd USING (data_id, chunk_id) GROUP BY 1""",
         "eval_failures": f"{JUDGED} SELECT retriever, category, query, expected_data_id AS expected, got, rank FROM jd WHERE expected_data_id >= 0 AND rank <> 1",
         "eval_by_category": f"{JUDGED} SELECT retriever, category, round(avg((rank = 1)::INT), 6) AS accuracy FROM jd WHERE expected_data_id >= 0 GROUP BY 1, 2",
         "eval_matrix": f"{matrix} SELECT * FROM met",
+        "eval_latency": "SELECT 'row_combined' AS chunking, unnest(['bm25', 'tfidf', 'hybrid(bm25+tfidf)', 'dense', 'hybrid(bm25+dense)']) AS retriever, true AS measured",
         "eval_best": f"{matrix} SELECT chunking, retriever, recall_1, mrr FROM met ORDER BY recall_1 DESC, mrr DESC, {config_order} LIMIT 1",
         "eval_recommended": f"""{matrix}, base AS (SELECT recall_1 AS base_recall_1 FROM met WHERE chunking = 'row_combined' AND retriever = 'tfidf'),
 good AS (SELECT * FROM met WHERE noise_gap > 0 ORDER BY recall_1 DESC, mrr DESC, {config_order} LIMIT 1)

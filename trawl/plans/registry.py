@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.scratch import materialise, scratch_root, ship_package
 from trawl.functions.text import l2_normalize, split_phrases
-from trawl.operators import cache, chat, chunking, dense, evaluate, health, index, ingest, search, stored, testset
+from trawl.operators import cache, chat, chunking, dense, encoders, evaluate, health, index, ingest, search, stored, testset
 from trawl.plans.oracles import oracle_sql
 
 # Rewordings and owners' words over what the given texts hold.
@@ -168,16 +168,32 @@ def eval_by_category(spark, sf_dir):
     return evaluate.category_accuracy(_judged(spark, sf_dir)).select("retriever", "category", F.round("accuracy", 6).alias("accuracy"))
 
 
+_judged_matrices: dict[tuple[str, str], DataFrame] = {}
+
+
 def _matrix(spark, sf_dir) -> DataFrame:
-    """Every passage judged on all five chunkings with all lexical retrievers."""
-    rows, cases = records(spark, sf_dir), materialise(labelled(spark, sf_dir))
-    made = {name: chunking.build_chunks(rows, name, SYNONYMS) for name in chunking.strategies(SYNONYMS)}
-    return evaluate.judged(evaluate.benchmark_results(cases, made), cases)
+    """Every passage judged on all five chunkings with all retrievers; dense vectors are projected grams. Four queries read it, which an
+    application makes once for each folder of tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _judged_matrices:
+        rows, cases = materialise(records(spark, sf_dir)), materialise(labelled(spark, sf_dir))
+        made = {name: chunking.build_chunks(rows, name, SYNONYMS) for name in chunking.strategies(SYNONYMS)}
+        _judged_matrices[key] = materialise(evaluate.judged(evaluate.benchmark_results(cases, made, encoder=encoders.projection), cases))
+    return _judged_matrices[key]
+
+
+def eval_latency(spark, sf_dir):
+    """Which configs of one chunking have a median latency, measured over three rounds; the milliseconds differ from run to run."""
+    cases = materialise(labelled(spark, sf_dir))
+    made = {"row_combined": chunking.row_combined(records(spark, sf_dir))}
+    _, timed = evaluate.timed_results(cases, made, encoder=encoders.projection, rounds=3)
+    median = evaluate.median_latency(timed)
+    return median.select("chunking", "retriever", (F.col("median_ms") > 0).alias("measured"))
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(n) for n in chunking.strategies(SYNONYMS)])
-    retrievers = F.array(*[F.lit(n) for n in ("bm25", "tfidf", "hybrid(bm25+tfidf)")])
+    retrievers = F.array(*[F.lit(n) for n in ("bm25", "tfidf", "hybrid(bm25+tfidf)", "dense", "hybrid(bm25+dense)")])
     return rows.withColumn("config_ord", F.array_position(names, F.col("chunking")) * 10 + F.array_position(retrievers, F.col("retriever")))
 
 
@@ -388,6 +404,7 @@ QUERIES = {
     "eval_failures": eval_failures,
     "eval_by_category": eval_by_category,
     "eval_matrix": eval_matrix,
+    "eval_latency": eval_latency,
     "eval_best": eval_best,
     "eval_recommended": eval_recommended,
     "eval_weakest": eval_weakest,

@@ -30,9 +30,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("data_id long, symptoms string, cause string, diagnosis string, treatment string").parquet(path)
 
 
-def read_records_jdbc(spark: SparkSession, url: str, lower: int, upper: int, parts: int, table: str = "vet_doc") -> DataFrame:
-    """Records of a database, read in ranges of their key."""
-    return spark.read.jdbc(url, table, column="data_id", lowerBound=lower, upperBound=upper, numPartitions=parts)
+def read_records_jdbc(spark: SparkSession, url: str, lower: int | None = None, upper: int | None = None, parts: int = 8, table: str = "vet_doc", properties: dict[str, str] | None = None) -> DataFrame:
+    """Records of a database, read in ranges of their key; conditions on columns are put to the database. Bounds that are not given are asked for
+    there, one row, and only set where the ranges are cut: no record is left out. A table without records is one range."""
+    options = properties or {}
+    if lower is None or upper is None:
+        key = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier("data_id")
+        ends = spark.read.jdbc(url, f"(SELECT min({key}) AS low, max({key}) AS high FROM {table}) ends", properties=options).first()
+        found = {k.lower(): v for k, v in ends.asDict().items()}
+        lower, upper = (given if given is not None else end for given, end in ((lower, found["low"]), (upper, found["high"])))
+    if lower is None or lower == upper:
+        return spark.read.jdbc(url, table, properties=options)
+    return spark.read.jdbc(url, table, column="data_id", lowerBound=int(lower), upperBound=int(upper) + 1, numPartitions=parts, properties=options)
 
 
 def read_testset_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -70,10 +79,11 @@ def write_testset(cases: DataFrame, path: str) -> None:
 
 
 def write_results(results: DataFrame, failures: DataFrame, path: str, run_id: str) -> None:
-    """The latest results and failures, and a copy of each under its run."""
+    """The latest results and failures, and a copy of each under its run, in the place of what the run has written before."""
     for name, rows in (("results", results), ("failures", failures)):
         rows.write.mode("overwrite").parquet(f"{path}/latest_{name}")
-        rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+        own = rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        own.partitionBy("run_id").parquet(f"{path}/{name}")
 
 
 def append_seed(records: DataFrame, path: str) -> None:
