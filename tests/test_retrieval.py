@@ -32,7 +32,6 @@ STRIP = lambda s: (s or "").strip()
 
 @pytest.fixture(autouse=True)
 def few_buckets(monkeypatch):
-    monkeypatch.setattr(stored, "BUCKETS", 8)
     monkeypatch.setitem(cache.EMPTY, "buckets", 4)
 
 
@@ -247,7 +246,7 @@ def test_index_reads_only_the_buckets_of_its_grams(spark, records, tmp_path):
     found = stored.wanted_postings(stored.postings(spark, path, stored.index_info(spark, path)), spark.createDataFrame([(1,), (2,)], "code long"))
     plan = found.groupBy("code").count()._jdf.queryExecution().toString()
     read = re.search(r"SelectedBucketsCount: (\d+) out of (\d+)", plan)
-    assert read and int(read[1]) <= 2 and int(read[2]) == stored.BUCKETS
+    assert read and int(read[1]) <= 2 and int(read[2]) == stored.LEAST_BUCKETS
 
 
 @pytest.mark.parametrize("backend", ["tfidf", "bm25"])

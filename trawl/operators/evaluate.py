@@ -170,9 +170,10 @@ def accuracy_summary(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total"), F.min(good).alias("lowest"), F.max(good).alias("highest"))
 
 
-def tune_threshold(lowest_correct: float, highest_noise: float) -> tuple[float, bool]:
-    """(threshold, whether hits and noise are apart): between them, or just above the noise."""
-    if lowest_correct > highest_noise:
+def tune_threshold(lowest_correct: float | None, highest_noise: float | None) -> tuple[float, bool]:
+    """(threshold, whether hits and noise are apart): between them, or just above the noise. Without noise it is 0, without right hits they are not apart."""
+    highest_noise = highest_noise or 0.0
+    if lowest_correct is not None and lowest_correct > highest_noise:
         return round((lowest_correct + highest_noise) / 2, 2), True
     return round(highest_noise + 0.01, 2), False
 

@@ -248,10 +248,16 @@ g AS (SELECT *, row_number() OVER (PARTITION BY disease ORDER BY pos) AS turn, d
     confusable = f"""WITH {REC}, {plain}, {vocabulary()}, {weighed}, u AS ({unit}),
 pair AS (SELECT a.data_id AS a, b.data_id AS b, sum(a.w * b.w) AS similarity FROM u a JOIN u b USING (gram) WHERE a.data_id < b.data_id GROUP BY ALL HAVING sum(a.w * b.w) > 0.45)"""
     own_text = "own AS (SELECT data_id, 0 AS chunk_id, CASE WHEN coalesce(cause, '') = '' THEN symptoms ELSE cause END AS text FROM rec)"
-    self_lists = f"""WITH {REC}, {COMBINED_CHUNK}, {vocabulary()}, {weighed}, d AS ({unit}), {own_text}, wo AS ({wb("own", "data_id, chunk_id", "text")}),
+    def self_lists(rec: str) -> str:
+        return f"""WITH {rec}, {COMBINED_CHUNK}, {vocabulary()}, {weighed}, d AS ({unit}), {own_text}, wo AS ({wb("own", "data_id, chunk_id", "text")}),
 q AS (SELECT data_id AS query_id, gram, tf * idf AS v FROM wo JOIN voc USING (gram)), nq AS (SELECT query_id, sqrt(sum(v * v)) AS nq FROM q GROUP BY 1),
 sc AS (SELECT query_id, data_id, any_value(dot) / any_value(nq) AS score FROM (SELECT query_id, data_id, sum(v * w) AS dot FROM q JOIN d USING (gram) GROUP BY ALL) JOIN nq USING (query_id) GROUP BY ALL),
-sl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, data_id) AS rank FROM sc) WHERE rank <= 3)"""
+pd AS (SELECT own.data_id AS query_id, c.data_id, 0.0::DOUBLE AS score FROM own, (SELECT data_id FROM chunk ORDER BY data_id LIMIT 3) c ANTI JOIN sc ON sc.query_id = own.data_id AND sc.data_id = c.data_id),
+sl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, data_id) AS rank FROM (SELECT * FROM sc UNION ALL SELECT * FROM pd)) WHERE rank <= 3)"""
+
+    half_blank = """
+rec AS (SELECT doc_id + 1 AS data_id, CASE WHEN doc_id % 2 = 0 THEN concat(lang, ' ', source, ' #', doc_id) END AS symptoms, CASE WHEN doc_id % 2 = 0 THEN text END AS cause FROM documents)"""
+    magnets = "SELECT data_id, count(*) AS n FROM sl GROUP BY 1 HAVING count(*) > greatest(3, 0.25 * (SELECT count(*) FROM rec))"
     prompts = prompted(split, question)
     dense_topk = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, d.vec_id AS data_id, list_dot_product(q.e, d.e) AS score FROM v q, v d WHERE q.vec_id % 50 = 0)
@@ -297,8 +303,36 @@ SELECT category, round(min(accuracy), 6) AS worst, round(max(accuracy), 6) AS be
         "thin_records": f"WITH {RECORDS} SELECT data_id, length({strip('cause')}) AS chars FROM rec WHERE length({strip('cause')}) < 20",
         "few_phrases": f"WITH {RECORDS} SELECT data_id, len({PHRASES}) AS phrases FROM rec WHERE len({PHRASES}) < 3",
         "confusable_pairs": f"{confusable} SELECT a, b, round(similarity, 4) AS similarity FROM pair",
-        "self_retrieval": f"{self_lists} SELECT query_id AS data_id, data_id AS found FROM sl WHERE rank = 1 AND data_id <> query_id",
-        "magnets": f"{self_lists} SELECT data_id, count(*) AS n FROM sl GROUP BY 1 HAVING count(*) > greatest(3, 0.25 * (SELECT count(*) FROM rec))",
+        "self_retrieval": f"{self_lists(REC)} SELECT query_id AS data_id, data_id AS found FROM sl WHERE rank = 1 AND data_id <> query_id",
+        "magnets": f"{self_lists(REC)} {magnets}",
+        "magnets_padded": f"{self_lists(half_blank)} {magnets}",
+        "issue_total": f"""SELECT (SELECT count(*) FROM ({confusable} SELECT a FROM pair)) + (SELECT count(*) FROM ({self_lists(REC)} SELECT query_id FROM sl WHERE rank = 1 AND data_id <> query_id))
+  + (SELECT count(*) FROM (WITH {REC} SELECT data_id FROM rec WHERE length({strip('cause')}) < 20)) AS issues""",
+        "threshold_tuned": f"""{REGRESSION}, e AS (SELECT (SELECT min(top_score) FROM chk WHERE passed) AS low, coalesce((SELECT max(hit.score) FROM hit JOIN lab ON case_id = query_id WHERE expected_data_id < 0 AND rank = 1), 0) AS noise)
+SELECT CASE WHEN low > noise THEN round((low + noise) / 2, 2) ELSE round(noise + 0.01, 2) END AS least, coalesce(low > noise, false) AS apart FROM e""",
+        "index_search_updated": f"{SEARCH} {ranked} ti",
+        "index_search_dense": f"WITH {RECORDS}, {SEARCHED}, {bm25(5)}, {dense(5)} {ranked} dn",
+        "index_staleness": """SELECT c AS check, c <> 'same' AND (c <> 'fewer' OR (SELECT count(*) FROM documents WHERE lang = 'en') < (SELECT count(*) FROM documents)) AS stale,
+  (SELECT count(*) FROM documents) AS records FROM (SELECT unnest(['missing', 'same', 'fewer', 'backend']) AS c)""",
+        "names_kept": f"WITH {REC} SELECT data_id, symptoms, md5(cause) AS cause_md5, diagnosis, treatment FROM rec",
+        "encodable_texts": f"WITH {turns} SELECT session_id, turn, CASE WHEN turn % 3 = 0 OR {strip('content')} = '' THEN 1 ELSE length(content) END AS chars FROM t",
+        "testset_read": f"WITH {RECORDS} SELECT {strip('cause')} AS query, data_id AS expected_data_id, 'exact' AS category FROM rec WHERE {strip('cause')} <> ''",
+        "regression_read": f"SELECT {strip('text')} AS query, '#' || item_id AS expected_disease_contains, 'from benchmark' AS note FROM benchmark WHERE {strip('text')} <> ''",
+        "records_csv_read": "SELECT p_name AS disease, p_type AS symptoms, p_brand AS cause FROM part WHERE p_partkey >= 20",
+        "records_json_read": "SELECT p_name AS disease, p_type AS symptoms, p_brand AS cause FROM part WHERE p_partkey >= 20",
+        "records_stored": f"""WITH r AS (SELECT p_partkey AS pos, {strip('p_name')} AS disease FROM part WHERE p_partkey >= 20 AND {strip('p_name')} <> '' AND {strip('p_type')} <> ''),
+a AS (SELECT row_number() OVER (ORDER BY min(pos)) AS data_id, disease FROM r WHERE pos % 2 = 0 GROUP BY disease), kept AS (SELECT * FROM a WHERE data_id < (SELECT max(data_id) FROM a)),
+b AS (SELECT (SELECT max(data_id) FROM a) + row_number() OVER (ORDER BY min(pos)) AS data_id, disease FROM r WHERE pos % 2 = 1 AND disease NOT IN (SELECT disease FROM kept) GROUP BY disease)
+SELECT * FROM kept UNION ALL SELECT * FROM b""",
+        "seeded": f"WITH {REC} SELECT row_number() OVER (ORDER BY symptoms) AS data_id, symptoms, diagnosis, treatment FROM rec",
+        "run_results": f"""WITH {RECORDS}, f AS (SELECT len({PHRASES}) AS phrases FROM rec WHERE len({PHRASES}) < 3), r AS (SELECT unnest(['r1', 'r2']) AS run_id)
+SELECT 'results' AS kind, run_id, count(*) AS n FROM f, r GROUP BY 2 UNION ALL SELECT 'failures', run_id, count(*) FROM f, r WHERE phrases = 0 GROUP BY 2""",
+        "cache_stored": f"""WITH {cached}, n AS (SELECT DISTINCT sha256(text) AS text_hash FROM documents WHERE doc_id % 3 = 0),
+m AS (SELECT 'm1' AS model, 1 AS dim, count(*) AS n FROM c WHERE text_hash NOT IN (SELECT text_hash FROM n) UNION ALL SELECT 'm1', 2, count(*) FROM n)
+SELECT *, false AS cleared FROM m UNION ALL SELECT 'm2', 1, count(*), false FROM c UNION ALL SELECT *, true FROM m""",
+        "self_found": f"""{incoming}, rec AS (SELECT 1000 + row_number() OVER (ORDER BY pos) AS data_id, disease AS symptoms, symptoms AS cause FROM g WHERE turn = 1 AND NOT known), {SEARCHED},
+ask AS (SELECT data_id AS query_id, cause AS query FROM rec), {tfidf(1)}
+SELECT r.data_id, coalesce(f.symptoms, '') = r.symptoms AS passed FROM rec r LEFT JOIN ti ON ti.query_id = r.data_id LEFT JOIN rec f ON f.data_id = ti.data_id""",
         "prompt_stats": f"{prompts(0.0)} SELECT session_id, past AS history_turns, n_hits, total_chars FROM pr",
         "batch_prompts": f"""{prompts(0.19)} SELECT session_id, (unnest(range(len(ms))))::INT AS index, unnest(list_transform(ms, lambda m: m.role)) AS role,
   unnest(list_transform(ms, lambda m: length(m.content)))::INT AS chars, unnest(list_transform(ms, lambda m: m.content)) AS content FROM pr""",

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.scratch import materialise, scratch_root, ship_package
-from trawl.functions.text import l2_normalize, split_phrases
+from trawl.functions.text import blank_to_space, l2_normalize, split_phrases
 from trawl.operators import cache, chat, chunking, dense, encoders, evaluate, health, index, ingest, search, stored, testset
 from trawl.plans.oracles import oracle_sql
+from trawl.sources import io
 
 # Rewordings and owners' words over what the given texts hold.
 SYNONYMS = [("tion", ["sion", "ment"]), ("the", ["this"]), ("eau", ["o"]), ("sch", ["sh", "sk"]), ("ing", [])]
@@ -384,6 +385,137 @@ def noise_floor(spark, sf_dir):
     return evaluate.noise_floor(off, records(spark, sf_dir))
 
 
+def _folder(spark, name: str) -> str:
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def index_search_updated(spark, sf_dir):
+    """An index of two thirds of the documents, some of them as they were before, brought to all of them and searched."""
+    path, rows = _folder(spark, "index"), records(spark, sf_dir)
+    older = F.when(F.col("data_id") % 5 == 0, F.concat(F.lit("before "), "cause")).otherwise(F.col("cause"))
+    stored.build_index(rows.where("data_id % 3 <> 0").withColumn("cause", older), path)
+    stored.update_index(rows, path)
+    return _ranked(search.index_search(asked(spark, sf_dir), path))
+
+
+def index_search_dense(spark, sf_dir):
+    path = _folder(spark, "index")
+    stored.build_index(records(spark, sf_dir), path, "dense", encoders.projection)
+    return _ranked(search.index_search(asked(spark, sf_dir), path, encoder=encoders.projection))
+
+
+def index_staleness(spark, sf_dir):
+    """Whether an index of all documents is stale for them, for those of one language, and for another backend."""
+    path, rows = _folder(spark, "index"), records(spark, sf_dir)
+    none = stored.is_index_stale(spark, path, "bm25", rows)
+    n = stored.build_index(rows, path, "bm25")
+    seen = [("missing", none), ("same", stored.is_index_stale(spark, path, "bm25", rows)), ("fewer", stored.is_index_stale(spark, path, "bm25", rows.where("treatment = 'en'"))), ("backend", stored.is_index_stale(spark, path, "tfidf", rows))]
+    return spark.createDataFrame([(name, stale, n) for name, stale in seen], "check string, stale boolean, records long")
+
+
+def names_kept(spark, sf_dir):
+    rows = search.to_raw_names(search.to_honest_names(records(spark, sf_dir)))
+    return rows.select("data_id", "symptoms", F.md5("cause").alias("cause_md5"), "diagnosis", "treatment")
+
+
+def encodable_texts(spark, sf_dir):
+    """How long the turns of conversations are as they go to an encoder; every third is blanked."""
+    said = F.when(F.col("turn") % 3 == 0, F.lit(" \n\t")).otherwise(F.col("content"))
+    return turns(spark, sf_dir).select("session_id", "turn", F.char_length(blank_to_space(said)).alias("chars"))
+
+
+def testset_read(spark, sf_dir):
+    """Test cases as a file gives them back."""
+    path = _folder(spark, "testset")
+    io.write_testset(testset.cases_exact(records(spark, sf_dir)), path)
+    return io.read_testset_csv(spark, path).select("query", "expected_data_id", "category")
+
+
+def regression_read(spark, sf_dir):
+    path = _folder(spark, "regression")
+    cases = asked(spark, sf_dir).select(F.concat(F.lit(" "), "query", F.lit(" ")).alias("query"), F.concat(F.lit("#"), "query_id").alias("expected_disease_contains"), F.lit("from benchmark").alias("note"))
+    io.write_testset(cases, path)
+    return io.read_regression_csv(spark, path)
+
+
+def records_csv_read(spark, sf_dir):
+    path = _folder(spark, "records")
+    io.write_testset(_incoming(spark, sf_dir)[0].select("disease", "symptoms", "cause"), path)
+    return io.read_records_csv(spark, path).select("disease", "symptoms", "cause")
+
+
+def records_json_read(spark, sf_dir):
+    """Incoming records as arrays of JSON, a file for each manufacturer."""
+    path, rows = _folder(spark, "records"), _incoming(spark, sf_dir)[0]
+    record = F.to_json(F.struct("disease", "symptoms", "cause"))
+    files = rows.groupBy("cause").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(record)), ",\n"), F.lit("]")).alias("value"))
+    files.withColumn("file", F.md5("cause")).select("file", "value").write.partitionBy("file").text(path)
+    return io.read_records_json(spark, f"{path}/*").select("disease", "symptoms", "cause")
+
+
+def records_stored(spark, sf_dir):
+    """Two loads of incoming records with the newest one deleted in between: its id is not given again."""
+    root, (rows, _) = _folder(spark, "store"), _incoming(spark, sf_dir)
+    valid, _ = ingest.split_invalid(ingest.normalize_records(rows))
+    valid = valid.withColumn("half", F.col("pos") % 2)
+    newest = ingest.load_records(root, valid.where("half = 0").drop("half")).agg(F.max("data_id").alias("data_id"))
+    ingest.delete_records(root, newest)
+    ingest.load_records(root, valid.where("half = 1").drop("half"))
+    return ingest.stored_records(spark, root).select("data_id", F.col("symptoms").alias("disease"))
+
+
+def seeded(spark, sf_dir):
+    """Documents mirrored to a seed table, from which an empty table is filled."""
+    path = _folder(spark, "seed")
+    io.append_seed(records(spark, sf_dir), path)
+    seed = spark.read.parquet(path).withColumn("pos", F.col("symptoms"))
+    return io.seed_if_empty(records(spark, sf_dir).limit(0), seed).select("data_id", "symptoms", "diagnosis", "treatment")
+
+
+def run_results(spark, sf_dir):
+    """Rows a run in the stored results, the first run written twice."""
+    path, thin = _folder(spark, "results"), few_phrases(spark, sf_dir)
+    for run in ("r1", "r2", "r1"):
+        io.write_results(thin, thin.where("phrases = 0"), path, run)
+    read = spark.read.schema("data_id long, phrases long, run_id string")
+    count = lambda name: read.parquet(f"{path}/{name}").groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "run_id", "n")
+    return count("results").unionByName(count("failures"))
+
+
+def cache_stored(spark, sf_dir):
+    """A cache in its store after an upsert with repeated keys, and after a model is cleared."""
+    root, (cached, texts) = _folder(spark, "cache"), _cache(spark, sf_dir)
+    at = lambda c: c.cast("timestamp")
+    cached = cached.withColumn("dim", F.lit(1)).withColumn("created_at", at(F.lit("2020-01-01")))
+    cache.upsert_stored(root, cached.unionByName(cached.withColumn("model", F.lit("m2"))))
+    new = cache.hashed(texts.where("doc_id % 3 = 0")).select(F.lit("m1").alias("model"), "text_hash", F.explode(F.array(F.lit(2), F.lit(3))).alias("dim"))
+    new = new.withColumn("vector", F.array(F.col("dim").cast("float"))).withColumn("created_at", F.date_add(F.lit("2021-01-01").cast("date"), -F.col("dim")).cast("timestamp"))
+    cache.upsert_stored(root, new)
+    before = materialise(cache.stored_cache(spark, root).groupBy("model", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("cleared", F.lit(False)))
+    cache.clear_stored(spark, root, "m2")
+    after = cache.stored_cache(spark, root).groupBy("model", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("cleared", F.lit(True))
+    return before.unionByName(after)
+
+
+def magnets_padded(spark, sf_dir):
+    """Magnets where every other record is blank and so lists the first records."""
+    rows = records(spark, sf_dir)
+    blank = F.col("data_id") % 2 == 0
+    rows = rows.withColumn("cause", F.when(~blank, F.col("cause"))).withColumn("symptoms", F.when(~blank, F.col("symptoms")))
+    return health.magnets(health.self_lists(rows), rows)
+
+
+def issue_total(spark, sf_dir):
+    return health.issue_total(health.health_report(records(spark, sf_dir), SYNONYMS))
+
+
+def threshold_tuned(spark, sf_dir):
+    """Between the lowest right hit and the noise, or above it."""
+    low, noise = accuracy_summary(spark, sf_dir).first()["lowest"], noise_floor(spark, sf_dir).first()["noise"]
+    least, apart = evaluate.tune_threshold(low, noise)
+    return spark.createDataFrame([(float(least), apart)], "least double, apart boolean")
+
+
 QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_phrases_topk": bm25_phrases_topk,
@@ -392,6 +524,8 @@ QUERIES = {
     "dense_topk": dense_topk,
     "index_search": index_search("tfidf"),
     "index_search_bm25": index_search("bm25"),
+    **{f.__name__: f for f in (index_search_updated, index_search_dense, index_staleness, names_kept, encodable_texts, testset_read, regression_read, records_csv_read, records_json_read)},
+    **{f.__name__: f for f in (records_stored, seeded, run_results, cache_stored, magnets_padded, issue_total, threshold_tuned)},
     "search_hits": search_hits,
     "search_hit_counts": search_hit_counts,
     **{f"chunks_{s}": chunks(s) for s in chunking.strategies(SYNONYMS)},

@@ -12,8 +12,8 @@ TESTSET = "query string, expected_data_id string, category string, note string"
 REGRESSION = "query string, expected_disease_contains string, note string"
 
 
-def read_records_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records or a single one, under honest or stored names."""
+def read_records_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files with a JSON array of records or a single one each, under honest or stored names."""
     return spark.read.schema(RECORD_FIELDS).option("multiLine", True).json(path)
 
 
