@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives what goes on; all but the last keep the columns of documents, whatever others
 there are and whatever they are called. A null text is an empty one, which the first stage drops; very long texts are read whole; rows may
-repeat and doc_ids may be null; an empty table gives an empty one at every stage.
+repeat and doc_ids may be null: of rows that repeat doc_id and text, the one with the smallest hash of all its columns stays or is taken first. An
+empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the one with the smallest doc_id goes on, null last."""
+    """Of near copies the one with the smallest doc_id goes on, null last; of texts that share it, the one with the first sha256."""
     ship_package(spark)
     return drop_near_copies(docs)
 
