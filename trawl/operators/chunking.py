@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import split_phrases, strip
 
+BROADCAST_TERMS = 100_000
+
 
 def _whole(records: DataFrame, text, kind: str) -> DataFrame:
     return records.select("data_id", F.lit(0).cast("long").alias("chunk_id"), text.alias("text"), F.lit(kind).alias("kind")).where("text <> ''")
@@ -50,10 +52,11 @@ def per_symptom(records: DataFrame) -> DataFrame:
 
 def expand_phrases(phrases: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Adds to phrases (…, phrase) their rewordings: rows (…, ord, variant_ord, variant). The phrase itself comes first;
-    each other row replaces all occurrences of one term by one variant, always in the phrase as it was."""
-    reworded = phrases.join(F.broadcast(synonyms), F.contains("phrase", "term")).withColumn(  # a hand-kept list
-        "text", F.replace("phrase", "term", "variant")
-    )
+    each other row replaces all occurrences of one term by one variant, always in the phrase as it was. Up to BROADCAST_TERMS rewordings are
+    broadcast; of more, the planner chooses how they meet the phrases."""
+    few = synonyms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    terms = F.broadcast(synonyms) if few else synonyms
+    reworded = phrases.join(terms, F.contains("phrase", "term")).withColumn("text", F.replace("phrase", "term", "variant"))
     keep = phrases.columns
     own = phrases.select(*keep, F.lit(-1).alias("ord"), F.lit(0).alias("variant_ord"), F.col("phrase").alias("variant"))
     return own.unionByName(reworded.select(*keep, "ord", "variant_ord", F.col("text").alias("variant")))
