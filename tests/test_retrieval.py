@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -612,6 +613,31 @@ def test_sparse_grams_are_those_of_the_columns(spark):
         assert len(set(code.tolist())) == len({g for r in df.select(column(F.col("text")).alias("g")).collect() for g in r.g})
 
 
+@pytest.mark.parametrize("grams", [sparse.WORD_GRAMS, sparse.text_grams(3), sparse.text_grams(5)])
+def test_long_texts_in_parts(monkeypatch, grams):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("ab\u3000 é🙂\n") for _ in range(n)) for n in (300, 1, 0, 5, 64, 65, 1_000)]
+    texts += ["x" * 400, "a " + "yz" * 200 + " b", "\n" * 200, " " + "q" * 64 + " ", "w" * 65, "ab " * 100 + "c" * 130]
+    want = sparse.counted_grams(texts, grams)
+    for size in (7, 64):
+        monkeypatch.setattr(sparse, "SLICE_CHARS", size)
+        assert [x.tolist() for x in sparse.counted_grams(texts, grams)] == [x.tolist() for x in want]
+
+
+def test_long_sessions_in_parts(spark):
+    rows = [("hot", i // 2, ("user", "assistant")[i % 2], None if i % 97 == 0 else f"said {i}") for i in range(20_000)]
+    rows += [("hot", 7, "user", "said 14"), ("one", 1, "user", "q"), ("none", 1, "system", "s"), (None, 1, "user", "a"), (None, 2, "assistant", "b"), (None, 0, "system", "z")]
+    turns = spark.createDataFrame(rows, "session_id string, turn int, role string, content string").repartition(7)
+    want = {r.session_id: r for r in chat.last_question(chat.split_roles(turns)).collect()}
+    got = {r.session_id: r for r in chat.last_questions(turns, 64).collect()}
+    assert got.keys() == want.keys() == {"hot", "one", "none", None}
+    for k, r in want.items():
+        assert (got[k].system, got[k].question, got[k].earlier, got[k].profiles) == (r.system, r.question, r.earlier, r.profiles)
+    parts = chat.earlier_parts(turns, 64).where("session_id = 'hot'").orderBy("part").collect()
+    assert "\n".join(p.text for p in parts) == want["hot"].earlier and [p.part for p in parts] == list(range(313)) and {p.turns for p in parts[:-1]} == {64}
+    assert parts[-1].turns == 20_000 - 64 * 312 and chat.earlier_parts(turns.limit(0)).count() == 0
+
+
 def test_chat(spark, records):
     rows = [("s", 1, "system", "be kind"), ("s", 2, "user", "hi"), ("s", 3, "assistant", "hello"), ("s", 4, "tool", "x"), ("s", 5, "user", " watery eyes "), ("t", 1, "user", "q"), ("t", 2, "assistant", "a"), ("u", 1, "system", "x"), ("u", 2, "system", "y")]
     turns = spark.createDataFrame([(*r, {"k": "v"} if r[2] == "system" else None) for r in rows] + [("s", 0, "userprofile", None, {"name": "Mia"})], "session_id string, turn int, role string, content string, detail map<string,string>")

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.functions.scratch import materialise
 from trawl.functions.text import strip
 from trawl.operators.ingest import assign_ids
 from trawl.operators.search import search_records
 
-HISTORY = 20
+HISTORY, PART_TURNS = 20, 4_096
 DEFAULT_SYSTEM, HEADER, NO_MATCH = "You answer from the records given.", "\n\nRecords:\n", "No record matches."
 
 
@@ -74,13 +75,46 @@ def questions(turns: DataFrame) -> DataFrame:
     the last turn is kept, by a partial aggregate."""
     said = F.when(F.col("role").isin("user", "assistant"), F.struct("turn", "role", "content"))
     last = turns.groupBy("session_id").agg(F.max(said).alias("last"))
-    kept = split_roles(turns.where(~F.col("role").isin("user", "assistant"))).drop("spoken")
+    kept = split_roles(turns.where(~F.col("role").isin("user", "assistant"))).drop("spoken").withColumnRenamed("session_id", "__session")
     question = F.when(F.col("last.role") == "user", F.coalesce("last.content", F.lit(""))).otherwise(F.lit(""))
-    return last.select("session_id", question.alias("question")).join(kept, "session_id", "left").select(
+    return last.select("session_id", question.alias("question")).join(kept, F.col("session_id").eqNullSafe(F.col("__session")), "left").select(
         "session_id", F.coalesce("system", F.lit("")).alias("system"), "question", F.coalesce("profiles", F.array().cast("array<string>")).alias("profiles")
     )
 
 
+def earlier_parts(turns: DataFrame, size: int = PART_TURNS) -> DataFrame:
+    """(session_id, part, turns, text): what was said before the last turn of a session, a line each, in parts of ``size`` turns numbered
+    from 0; joined by newlines they are ``earlier`` of ``last_question``.
+
+    Turns are dealt in ranges of (session, turn) and written with their range's number, so a long session is in many tasks; its counts a range
+    give the turns' places, and no row holds more than a part. Turns of one number go by role and content; null contents are empty lines. A
+    session of fewer than two spoken turns has no part."""
+    said = turns.where(F.col("role").isin("user", "assistant")).select("session_id", "turn", "role", "content")
+    placed = materialise(said.repartitionByRange("session_id", "turn").withColumn("__range", F.spark_partition_id()))
+    session = Window.partitionBy("session_id")
+    counts = placed.groupBy("session_id", "__range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(session.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(
+        F.col("session_id").alias("__session"), F.col("__range").alias("__at"), F.coalesce(before, F.lit(0)).alias("__before"), F.sum("n").over(session).alias("__total")
+    )
+    turn = F.row_number().over(Window.partitionBy("session_id", "__range").orderBy("turn", "role", "content"))
+    numbered = placed.withColumn("__turn", turn).join(offsets, F.col("session_id").eqNullSafe(F.col("__session")) & (F.col("__range") == F.col("__at")))
+    place = F.col("__before") + F.col("__turn") - 1
+    kept = numbered.withColumn("place", place).where("place < __total - 1").withColumn("part", F.floor(F.col("place") / size).cast("long"))
+    lines = F.sort_array(F.collect_list(F.struct("place", F.coalesce("content", F.lit("")).alias("line"))))
+    text = F.array_join(F.transform(lines, lambda t: t["line"]), "\n")
+    return kept.groupBy("session_id", "part").agg(F.count(F.lit(1)).alias("turns"), text.alias("text"))
+
+
+def last_questions(turns: DataFrame, size: int = PART_TURNS) -> DataFrame:
+    """(session_id, system, question, profiles, earlier) as ``last_question`` has them, from the parts of what was said earlier: the only row
+    that a session's turns meet in is the result's. Sessions too long for that take ``questions`` and ``earlier_parts`` as they are."""
+    listed = F.sort_array(F.collect_list(F.struct("part", "text")))
+    whole = earlier_parts(turns, size).groupBy(F.col("session_id").alias("__session")).agg(F.array_join(F.transform(listed, lambda p: p["text"]), "\n").alias("earlier"))
+    joined = questions(turns).join(whole, F.col("session_id").eqNullSafe(F.col("__session")), "left").drop("__session")
+    return joined.withColumn("earlier", F.coalesce("earlier", F.lit("")))
+
+
 def build_context(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Adds context: the profiles' JSON, then all hits as one JSON array, a line each; and how many hits there are."""
     fields = F.struct("rank", "data_id", "disease", "symptoms", "cause", "treatment", "score")

@@ -7,6 +7,7 @@ what is shuffled is one number a distinct gram and a task, and k hits a query an
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +41,7 @@ class Grams:
 WORD_GRAMS = Grams((2, 3, 4), True)
 _SPACE = np.zeros(0x110000, bool)
 _SPACE[[ord(c) for c in WHITE_SPACE]] = True
+_BREAK = re.compile(f"[{WHITE_SPACE}]")
 
 
 def text_grams(n: int) -> Grams:
@@ -73,8 +75,55 @@ def _codes(points: np.ndarray, n: int) -> np.ndarray:
     return code
 
 
+def _pieces(text: str, grams: Grams):
+    """Parts of a text and the grams to cut from each, so that each gram of the text is in one of them: whole words, and windows
+    that overlap of a word that is longer than a slice, or of the whole text."""
+    if not grams.words:
+        for n in grams.sizes:
+            for start in range(0, len(text) - n + 1, SLICE_CHARS):
+                yield text[start : start + SLICE_CHARS + n - 1], Grams((n,), False)
+        return
+    start = 0
+    while start < len(text):
+        end = start + SLICE_CHARS
+        cut = len(text) if end >= len(text) else max(text.rfind(c, start, end) for c in WHITE_SPACE) + 1
+        if cut:
+            yield text[start:cut], grams
+        else:
+            found = _BREAK.search(text, end)
+            cut = found.start() if found else len(text)
+            yield from _pieces(f" {text[start:cut]} ", Grams(grams.sizes, False))
+        start = cut
+
+
+def _counted_long(text: str, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """(code, count) of a text that is longer than a slice; beside the text, what is held grows with its distinct grams."""
+
+    def merged(parts):
+        names, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return names, np.bincount(at, np.concatenate([p[1] for p in parts]), len(names)).astype(np.int64)
+
+    parts, waiting = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for piece, own in _pieces(text, grams):
+        _, code, count = _counted([piece], own)
+        parts.append((code.view(np.uint64), count))
+        waiting += len(code)
+        if waiting > max(len(parts[0][0]), 4 * SLICE_CHARS):
+            parts, waiting = [merged(parts)], 0
+    names, count = merged(parts)
+    return names.view(np.int64), count
+
+
 def counted_grams(texts: list[str], grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, code, count) of the distinct grams of each text, by text and code."""
+    """(text number, code, count) of the distinct grams of each text, by text and code. Texts longer than a slice are counted in parts."""
+    if all(len(t) <= SLICE_CHARS for t in texts):
+        return _counted(texts, grams)
+    found = [_counted_long(t, grams) if len(t) > SLICE_CHARS else _counted([t], grams)[1:] for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(code) for code, _ in found])
+    return owner, np.concatenate([code for code, _ in found]), np.concatenate([count for _, count in found])
+
+
+def _counted(texts: list[str], grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array([len(t) for t in texts])
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends, owner = np.cumsum(lengths), np.repeat(np.arange(len(texts)), lengths)

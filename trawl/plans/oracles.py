@@ -354,6 +354,8 @@ SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(lis
         "recent_history": f"{paired} SELECT session_id, count(*) AS turns, string_agg(u || ' => ' || a, chr(10) ORDER BY id) AS history FROM x WHERE back <= 2 GROUP BY 1",
         "last_question": f"""{split} SELECT session_id, system, coalesce({question}, '') AS question,
   coalesce(array_to_string(list_transform(spoken[1:len(spoken) - 1], lambda x: coalesce(x.c, '')), chr(10)), '') AS earlier FROM s""",
+        "earlier_parts": f"""{split} SELECT session_id, part, len(said)::BIGINT AS turns, array_to_string(list_transform(said, lambda x: coalesce(x.c, '')), chr(10)) AS text
+FROM (SELECT session_id, part, spoken[2 * part + 1:least(2 * part + 2, len(spoken) - 1)] AS said FROM (SELECT session_id, spoken, unnest(range(len(spoken) // 2)) AS part FROM s))""",
         "testset_exact": f"WITH {RECORDS} SELECT {strip('cause')} AS query, data_id AS expected_data_id, 'exact' AS category, symptoms AS note FROM rec",
         "testset_single": f"""{PH}, d AS (SELECT *, row_number() OVER (PARTITION BY data_id ORDER BY {draw('single', 'data_id', 'pos')}, pos) AS turn FROM ph)
 SELECT {decorate('phrase', 'data_id', 'pos')} AS query, data_id AS expected_data_id, 'single' AS category, phrase AS note FROM d WHERE turn <= 3""",

@@ -294,8 +294,11 @@ def recent_history(spark, sf_dir):
 
 
 def last_question(spark, sf_dir):
-    found = chat.last_question(chat.split_roles(turns(spark, sf_dir)))
-    return found.select("session_id", "system", "question", "earlier")
+    return chat.last_questions(turns(spark, sf_dir)).select("session_id", "system", "question", "earlier")
+
+
+def earlier_parts(spark, sf_dir):
+    return chat.earlier_parts(turns(spark, sf_dir), 2)
 
 
 def prompt_stats(spark, sf_dir):
@@ -556,6 +559,7 @@ QUERIES = {
     "ingest_skipped": ingest_skipped,
     "recent_history": recent_history,
     "last_question": last_question,
+    "earlier_parts": earlier_parts,
     "prompt_stats": prompt_stats,
     "batch_prompts": batch_prompts,
     "testset_exact": testset_cases(testset.cases_exact),
