@@ -5,6 +5,9 @@ Every draw is a function of md5(seed|record|position|tag), so cases do not depen
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,19 +76,28 @@ def cases_exact(records: DataFrame) -> DataFrame:
     return records.select(*_case(strip(F.col("cause")), F.col("data_id"), "exact", F.col("symptoms")))
 
 
-def _drawn(records: DataFrame, tag: str, seed: int) -> DataFrame:
-    order = Window.partitionBy("data_id").orderBy(draw(tag, F.col("data_id"), F.col("pos"), seed=seed), "pos")
-    return phrases(records).withColumn("turn", F.row_number().over(order))
+def first_drawn(records: DataFrame, tag: str, seed: int, most: int) -> DataFrame:
+    """(data_id, draw, pos, phrase, n): the ``most`` phrases of each row that are drawn first, chosen inside the row; nothing is shuffled."""
+    key = lambda p, i: F.struct(draw(tag, F.col("data_id"), i, seed=seed).alias("draw"), i.alias("pos"), p.alias("phrase"))
+    split = records.withColumn("phrases", split_phrases(F.col("cause")))
+    first = F.slice(F.sort_array(F.transform("phrases", key)), 1, most)
+    return split.select("data_id", F.explode(first).alias("p"), F.size("phrases").alias("n")).select("data_id", "p.*", "n")
+
+
+def _drawn(records: DataFrame, tag: str, seed: int, most: int) -> DataFrame:
+    """The ``most`` phrases of each record that are drawn first, with their turn; a record may have several rows."""
+    order = Window.partitionBy("data_id").orderBy("draw", "pos")
+    return first_drawn(records, tag, seed, most).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
 
 
 def cases_single(records: DataFrame, per_record: int = 3, seed: int = SEED) -> DataFrame:
-    drawn = _drawn(records, "single", seed).where(F.col("turn") <= per_record)
+    drawn = _drawn(records, "single", seed, per_record)
     text = decorate(F.col("phrase"), F.col("data_id"), F.col("pos"), seed=seed)
     return drawn.select(*_case(text, F.col("data_id"), "single", F.col("phrase")))
 
 
 def cases_partial(records: DataFrame, seed: int = SEED) -> DataFrame:
-    drawn = _drawn(records, "partial", seed).where("n >= 3 and turn <= 3")
+    drawn = _drawn(records, "partial", seed, 3).where("n >= 3")
     joined = drawn.groupBy("data_id").agg(F.sort_array(F.collect_list(F.struct("turn", "phrase"))).alias("three"))
     text = F.array_join(F.transform("three", lambda t: t["phrase"]), " ")
     return joined.select(*_case(decorate(text, F.col("data_id"), F.lit("partial"), seed=seed), F.col("data_id"), "partial", F.lit("")))
@@ -100,7 +112,8 @@ def colloquialise(text: Column, *keys: Column, terms: list[tuple[str, list[str]]
 
 def cases_colloquial(records: DataFrame, terms: list[tuple[str, list[str]]] = COLLOQUIAL, seed: int = SEED) -> DataFrame:
     keys = F.col("data_id"), F.col("pos")
-    changed = phrases(records).withColumn("casual", colloquialise(F.col("phrase"), *keys, terms=terms, seed=seed)).where("casual <> phrase")
+    some = reduce(or_, [F.contains(F.col("phrase"), F.lit(term)) for term, _ in terms], F.lit(False))  # nothing changes the others, so nothing is drawn for them
+    changed = phrases(records).where(some).withColumn("casual", colloquialise(F.col("phrase"), *keys, terms=terms, seed=seed)).where("casual <> phrase")
     text = decorate(F.col("casual"), *keys, F.lit("c"), seed=seed)
     return changed.select(*_case(text, F.col("data_id"), "colloquial", F.concat(F.lit("from: "), "phrase")))
 
@@ -125,7 +138,7 @@ def add_typos(text: Column, seed: Column, rate: float = 0.08) -> Column:
 
 def cases_typo(records: DataFrame, rate: float = 0.08, seed: int = SEED) -> DataFrame:
     keys = F.col("data_id"), F.col("pos")
-    one = _drawn(records, "typo", seed).where("turn = 1").withColumn("noisy", add_typos(F.col("phrase"), draw("noise", *keys, seed=seed), rate))
+    one = _drawn(records, "typo", seed, 1).withColumn("noisy", add_typos(F.col("phrase"), draw("noise", *keys, seed=seed), rate))
     return one.select(*_case(decorate(F.col("noisy"), *keys, F.lit("t"), seed=seed), F.col("data_id"), "typo", F.col("phrase")))
 
 
