@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trawl.operators import dense, testset
+from trawl.operators import dense, index, sparse, testset
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,43 @@ def test_dense_in_slices(spark, monkeypatch):
     found = dense._scores(5)(key, queries, chunks)
     assert max(seen) <= 300 and len(seen) == 20
     assert {i: own["data_id"].tolist() for i, own in found.groupby("query_id")} == best
+
+
+def test_queries_reach_the_driver_as_columns(spark, monkeypatch):
+    """Neither queries nor vocabularies become row objects on the driver."""
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "toPandas", lambda self: pytest.fail("rows on the driver"))
+    monkeypatch.setattr(frame, "collect", lambda self: pytest.fail("rows on the driver"))
+    weighed = spark.range(1000).selectExpr("id % 100 AS query_id", "id * 7919 % 311 AS code", "id / 3 AS w").distinct()
+    monkeypatch.setattr(sparse, "HELD_ENTRIES", 300)
+    parts = list(sparse.query_passes(weighed))
+    assert len(parts) > 2 and sum(len(p.codes) for p in parts) == 1000 and np.unique(np.concatenate([p.ids for p in parts])).tolist() == list(range(100))
+    weights = index.tfidf_weights(spark.createDataFrame([(5, 0.5), (-3, 1.5)], "code long, idf double"))
+    assert weights.codes.tolist() == [-3, 5] and weights.idf.tolist() == [1.5, 0.5]
+    monkeypatch.setattr(sparse, "HELD_GRAMS", 1)
+    assert index.tfidf_weights(spark.createDataFrame([(5, 0.5), (-3, 1.5)], "code long, idf double")) is None
+
+
+def test_blocks_are_the_longest_that_fit(monkeypatch):
+    rng = np.random.default_rng(4)
+    own = [np.unique(rng.integers(0, 80, n)) for n in rng.integers(1, 30, 200)]
+    asked = sparse.Asked(np.arange(200), np.append(0, np.cumsum([len(c) for c in own])), np.concatenate(own), np.ones(sum(map(len, own))))
+    monkeypatch.setattr(sparse, "HELD_CELLS", 700)
+    blocks, at = asked.blocks(), 0
+    for start, end, names in blocks:
+        cells = lambda e, start=start: len(np.unique(np.concatenate(own[start:e]))) * (e - start)
+        assert start == at and (end == start + 1 or cells(end) <= 700) and (end == 200 or cells(end + 1) > 700)
+        assert names.tolist() == np.unique(np.concatenate(own[start:end])).tolist()
+        at = end
+    assert at == 200 and len(blocks) > 5
+
+
+def test_grams_counted_in_a_table_or_sorted(monkeypatch):
+    """Both ways of counting give the same, and codes are sorted only once each."""
+    texts = ["the cat the cat", "", "dog  et Élan 🎉🎉", "x" * 40]
+    monkeypatch.setattr(sparse, "CELLS_A_GRAM", 1000)
+    many = [[x.tolist() for x in sparse.counted_grams(texts, g)] for g in (sparse.WORD_GRAMS, sparse.text_grams(3))]
+    monkeypatch.setattr(sparse, "CELLS_A_GRAM", 0)
+    assert many == [[x.tolist() for x in sparse.counted_grams(texts, g)] for g in (sparse.WORD_GRAMS, sparse.text_grams(3))]
+    names, place = sparse._ranked(np.array([9, 2**63 + 1, 9, 4], np.uint64))
+    assert names.tolist() == [4, 9, 2**63 + 1] and place.tolist() == [1, 2, 1, 0]
