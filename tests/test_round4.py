@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trawl.functions import text as T
 from trawl.operators import dense, index, sparse, testset
+from trawl.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +97,25 @@ def test_grams_counted_in_a_table_or_sorted(monkeypatch):
     assert many == [[x.tolist() for x in sparse.counted_grams(texts, g)] for g in (sparse.WORD_GRAMS, sparse.text_grams(3))]
     names, place = sparse._ranked(np.array([9, 2**63 + 1, 9, 4], np.uint64))
     assert names.tolist() == [4, 9, 2**63 + 1] and place.tolist() == [1, 2, 1, 0]
+
+
+def test_vocabulary_counted_in_tasks(spark, monkeypatch):
+    """Grams are counted and spelled in tasks: no row for each gram of each text is shuffled. Tasks that hold no more hand on what they have."""
+    texts = ["the cat sat", "THE cat", "a 🎉 dog\tcat", "", None, "x " * 400 + "longerword" * 30]
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "data_id long, chunk_id long, text string").repartition(2)
+    rows = chunks.select("data_id", F.explode(F.array_distinct(T.char_wb_ngrams(F.coalesce("text", F.lit(""))))).alias("gram"))
+    want = {r.gram: r["count"] for r in rows.groupBy("gram").count().collect()}
+    for slice_chars in (50_000, 100):
+        monkeypatch.setattr(sparse, "SLICE_CHARS", slice_chars)
+        found = index.fit_tfidf(chunks)
+        assert {r.gram: r.df for r in found.collect()} == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Generate explode" not in plan
+
+
+def test_vectors_are_summed_where_they_are(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(index, "encode_tfidf", lambda *a: pytest.fail("a row for each gram of each text"))
+    rows = [(i, t, "xx", "web", 3) for i, t in enumerate(["one two two", "three one", "", "four"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.tfidf_vectors(spark, str(tmp_path)).collect()
+    assert {r.data_id for r in found} == {1, 2, 3, 4} and all(r.norm == 1.0 and r.grams > 3 for r in found)
