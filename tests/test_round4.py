@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trawl.functions import text as T
 from trawl.operators import dense, index, sparse, testset
 from trawl.plans import registry
+from trawl.sources import io
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +120,13 @@ def test_vectors_are_summed_where_they_are(spark, monkeypatch, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     found = registry.tfidf_vectors(spark, str(tmp_path)).collect()
     assert {r.data_id for r in found} == {1, 2, 3, 4} and all(r.norm == 1.0 and r.grams > 3 for r in found)
+
+
+def test_results_are_made_once(spark, monkeypatch, tmp_path):
+    rows = [(1, "short", "xx", "web", 5), (2, "phrases enough phrases enough", "xx", "web", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    write, plans = io.write_results, []
+    monkeypatch.setattr(io, "write_results", lambda thin, *a: plans.append(thin._jdf.queryExecution().optimizedPlan().toString()) or write(thin, *a))
+    found = {(r.kind, r.run_id): r.n for r in registry.run_results(spark, str(tmp_path)).collect()}
+    assert found[("results", "r1")] == found[("results", "r2")] and len(plans) == 3
+    assert not any("split(" in p for p in plans)
