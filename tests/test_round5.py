@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.operators import pairs, sparse
+from trawl.operators import evaluate, pairs, search, sparse
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,55 @@ def test_each_pair_of_blocks_once(spark):
     met = [(r.block, r.other_block) for r in pairs.meetings(ids, ids, True).collect()]
     assert len(met) == 20 * 21 // 2 == len({frozenset(m) for m in met})
     assert pairs.meetings(ids, ids.where(F.col("block") < 3), False).count() == 60
+
+
+@pytest.mark.parametrize(("chars", "held"), [(64, 1_000_000), (64, 5), (3, 1_000_000)])
+def test_equal_phrases_are_scored_once(spark, monkeypatch, chars, held):
+    """Phrases that many records share are one row with the lowest ids, and lists are as if each were scored for each record."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcd"), n)) for n in (2, 3, 6, 6, 7, 7, 8, 8)]
+    rows = [(int(d), i, str(rng.choice(words))) for i, d in enumerate(rng.integers(0, 40, 400))] + [(d, 500 + d, " ".join(rng.choice(words, 20))) for d in range(40)] + [(50, 600, None)]
+    chunks = spark.createDataFrame(rows, "data_id long, chunk_id long, text string").repartition(3).cache()
+    queries = spark.createDataFrame([(i, " ".join(rng.choice(words, 2))) for i in range(12)] + [(99, "zzz")], "query_id long, query string")
+    order = lambda df: sorted((r.query_id, r["rank"], r.data_id, round(r.score, 9)) for r in df.collect())
+    with monkeypatch.context() as m:
+        m.setattr(search, "shared", lambda chunks, k: chunks)
+        want = [order(run(queries, chunks, 4)) for run in (search.bm25_search, search.tfidf_search)]
+    monkeypatch.setattr(sparse, "SHARED_CHARS", chars)
+    monkeypatch.setattr(sparse, "SHARED_TEXTS", held)
+    found = sparse.shared_texts(chunks, 4)
+    whole = {}
+    for d, _, t in rows:
+        whole.setdefault(t or "", []).append(d)
+    short = {r.text: (r.times, list(r.ids)) for r in found.collect() if len(r.text) <= chars}
+    assert short == {t: (len(d), sorted(set(d))[:4]) for t, d in whole.items() if len(t) <= chars}
+    assert found.agg(F.sum("times")).first()[0] == len(rows)
+    assert [order(run(queries, found, 4)) for run in (search.bm25_search, search.tfidf_search)] == want
+    if chars == 64:
+        assert sparse.is_shared(search.shared(chunks, 4))
+
+
+def test_products_entry_by_entry_or_dense(monkeypatch):
+    """Short texts meet few entries of the queries and are multiplied by these alone."""
+    rng = np.random.default_rng(6)
+    own = [np.unique(rng.integers(0, 50, 6)) for _ in range(9)]
+    asked = sparse.Asked(np.arange(9), np.append(0, np.cumsum([len(c) for c in own])), np.concatenate(own), rng.random(sum(map(len, own))))
+    sheet = sparse.Sheet(asked, 2, 8, np.unique(np.concatenate(own[2:8])))
+    row = np.sort(rng.integers(0, 7, 20))
+    at, value = rng.integers(0, len(sheet.names), 20), rng.random(20)
+    pairs_ = np.unique(row * 100 + at, return_index=True)[1]
+    row, at, value = row[pairs_], at[pairs_], value[pairs_]
+    want = np.zeros((7, len(sheet.names)))
+    want[row, at] = value
+    for cells in (0, 10**9):
+        monkeypatch.setattr(sparse, "ENTRY_CELLS", cells)
+        assert np.allclose(sheet.products(row, at, value, 7, None), want @ sheet.matrix())
+
+
+def test_weights_are_fitted_once_for_all_rounds(spark, monkeypatch):
+    calls, fitted = [], evaluate.tfidf_search
+    monkeypatch.setattr(evaluate, "tfidf_search", lambda *a: calls.append(1) or fitted(*a))
+    cases = spark.createDataFrame([(1, "abc def", 1, "exact")], "case_id long, query string, expected_data_id long, category string")
+    chunks = spark.createDataFrame([(1, 0, "abc def ghi" * 9), (2, 0, "abc" * 30)], "data_id long, chunk_id long, text string")
+    _, timed = evaluate.timed_results(cases, {"c": chunks}, rounds=3)
+    assert len(calls) == 1 and timed.where("retriever = 'tfidf'").count() == 3
