@@ -103,3 +103,10 @@ def test_weights_are_fitted_once_for_all_rounds(spark, monkeypatch):
     chunks = spark.createDataFrame([(1, 0, "abc def ghi" * 9), (2, 0, "abc" * 30)], "data_id long, chunk_id long, text string")
     _, timed = evaluate.timed_results(cases, {"c": chunks}, rounds=3)
     assert len(calls) == 1 and timed.where("retriever = 'tfidf'").count() == 3
+
+
+def test_chunks_are_scored_once(texts):
+    """Lists were made a second time to see which records they hold already."""
+    queries = texts.select(F.col("data_id").alias("query_id"), F.col("text").alias("query")).where("query_id < 5")
+    plan = search.tfidf_search(queries, texts, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("MapInArrow") == 1
