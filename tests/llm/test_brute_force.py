@@ -56,3 +56,12 @@ def test_op10_links_against_all_pairs(spark):
         want += [s for s in of(rid, "part_endpoint") if near(s, ids) and near(s, found)]
     rows = Counter((r.rid, r.kind, r.start, r.end) for r in got.collect())
     assert rows == Counter(want) and len(want) > 150
+
+
+def test_op10_a_long_weak_span_is_covered_by_a_base_span_far_from_its_start(spark):
+    """A run of letters over five scopes, its only base span in the last one: no identifier beside its start reports it."""
+    kind = secrets.KINDS.index
+    base = [(0, kind("part_id"), 0, 20), (0, kind("part_secret"), 30, 530)]
+    late, apart = [(0, kind("access"), 495, 520)], [(1, k, s, e) for _, k, s, e in base] + [(1, kind("access"), 530, 550)]
+    got = secrets.link_parts(spark.createDataFrame(base + late + apart, "rid long, kind int, start long, end long"), 100).collect()
+    assert sorted((r.rid, r.kind, r.start, r.end) for r in got) == apart[:2]

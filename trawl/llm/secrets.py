@@ -67,7 +67,7 @@ def _pieces(kind: str, pattern: str, group: int, least: int):
 def _near(spans: DataFrame, scope: int) -> DataFrame:
     """The spans under other names, each put into its own bin and the two beside it."""
     bins = F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1))
-    return spans.select("rid", bins.alias("bin"), F.col("start").alias("near_start"), F.col("end").alias("near_end")).distinct()
+    return spans.select("rid", bins.alias("bin"), F.col("start").alias("near_start")).distinct()
 
 
 def link_parts(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -78,14 +78,19 @@ def link_parts(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     of = lambda *names: spans.where(F.col("kind").isin([KINDS.index(n) for n in names]))
     in_scope = F.abs(F.col("start") - F.col("near_start")) <= scope
 
-    def beside(left: DataFrame, right: DataFrame, condition=in_scope, how="left_semi") -> DataFrame:
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
         near = _near(right, scope)
-        return left.join(near, (left["rid"] == near["rid"]) & (left["bin"] == near["bin"]) & condition, how)
+        return left.join(near, (left["rid"] == near["rid"]) & (left["bin"] == near["bin"]) & in_scope, "left_semi")
 
-    # a base span reaches past its start's bins when it is long: it is laid into every bin that it covers
-    covering = of("assign", "access", "hex").withColumn("bin", F.explode(F.sequence(F.col("bin"), F.floor(F.col("end") / scope).cast("long"))))
+    def covering(spans: DataFrame) -> DataFrame:
+        """The spans in every bin that they reach into: two that overlap meet in one, however long they are."""
+        return spans.withColumn("bin", F.explode(F.sequence(F.col("bin"), F.floor(F.col("end") / scope).cast("long"))))
+
+    base = covering(of("assign", "access", "hex")).select("rid", "bin", F.col("start").alias("near_start"), F.col("end").alias("near_end"))
+    weak = covering(of("part_secret"))
     overlap = (F.col("start") < F.col("near_end")) & (F.col("near_start") < F.col("end"))
-    secrets = beside(of("part_secret"), covering, overlap, "left_anti")
+    covered = weak.join(base, (weak["rid"] == base["rid"]) & (weak["bin"] == base["bin"]) & overlap, "left_semi").select("rid", "start", "end").distinct()
+    secrets = of("part_secret").join(covered, ["rid", "start", "end"], "left_anti")
     ids = of("part_id", "access")
     any_secret = of("assign", "hex").unionByName(secrets)
     linked = [
