@@ -259,15 +259,17 @@ sl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 rec AS (SELECT doc_id + 1 AS data_id, CASE WHEN doc_id % 2 = 0 THEN concat(lang, ' ', source, ' #', doc_id) END AS symptoms, CASE WHEN doc_id % 2 = 0 THEN text END AS cause FROM documents)"""
     magnets = "SELECT data_id, count(*) AS n FROM sl GROUP BY 1 HAVING count(*) > greatest(3, 0.25 * (SELECT count(*) FROM rec))"
     prompts = prompted(split, question)
-    dense_topk = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, d.vec_id AS data_id, list_dot_product(q.e, d.e) AS score FROM v q, v d WHERE q.vec_id % 50 = 0)
+    def dense_lists(asked: str) -> str:
+        return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS data_id, list_dot_product(q.e, d.e) AS score FROM v q, v d{asked})
 SELECT query_id, data_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, data_id) AS rank FROM s) WHERE rank <= 5"""
+
     found = {
         "bm25_topk": f"WITH {RECORDS}, {SYMPTOM_ONLY}, {bm25(5)} {ranked} bm",
         "bm25_phrases_topk": f"WITH {RECORDS}, {expanded_rows(synonyms)}, {bm25(5)} {ranked} bm",
         "tfidf_topk": f"WITH {RECORDS}, {COMBINED_CHUNK}, {tfidf(5)} {ranked} ti",
         "rrf_topk": f"WITH {RECORDS}, {SYMPTOM_ONLY}, {bm25(20)}, {tfidf(20)}, {RRF} SELECT query_id, data_id, rank, round(score, 6) AS score FROM rr",
-        "dense_topk": dense_topk,
+        "dense_topk": dense_lists(""),
         "index_search": f"{SEARCH} {ranked} ti",
         "index_search_bm25": f"WITH {RECORDS}, {SEARCHED}, {bm25(5)} {ranked} bm",
         "search_hits": f"{SEARCH} SELECT query_id, rank, data_id, symptoms AS disease, cause AS symptoms, diagnosis AS cause, treatment, round(score, 4) AS score FROM ti JOIN rec USING (data_id) WHERE score >= 0",
@@ -346,7 +348,7 @@ SELECT 'm1' AS model, 1 AS dim, count(*) AS n FROM c WHERE text_hash NOT IN (SEL
         "ingest_skipped": f"{incoming} SELECT pos, disease FROM g WHERE turn > 1 OR known",
         "ingest_rejected": f"""SELECT * FROM (SELECT p_partkey AS pos, CASE WHEN p_partkey % 7 <> 0 THEN {strip('p_name')} WHEN p_partkey % 11 = 0 THEN '' ELSE {strip('p_type')} END AS disease,
   CASE WHEN p_partkey % 7 = 0 THEN {strip('p_brand')} WHEN p_partkey % 11 = 0 THEN '' ELSE {strip('p_type')} END AS symptoms FROM part WHERE p_partkey >= 20) WHERE disease = '' OR symptoms = ''""",
-        "dangling_hits": f"SELECT query_id, data_id, rank FROM ({dense_topk}) WHERE data_id NOT IN (SELECT doc_id + 1 FROM documents WHERE source <> 'web')",
+        "dangling_hits": f"SELECT query_id, data_id, rank FROM ({dense_lists(" WHERE q.vec_id % 50 = 0")}) WHERE data_id NOT IN (SELECT doc_id + 1 FROM documents WHERE source <> 'web')",
         "unit_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
 SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(list_dot_product(e, e) / list_dot_product(e, e), 6) AS norm FROM v""",
         "cache_stats": f"WITH {cached} SELECT 'm1' AS model, count(*) AS n FROM c",
