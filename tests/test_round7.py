@@ -8,7 +8,7 @@ import sys
 import numpy as np
 import pytest
 
-from trawl.operators import dense
+from trawl.operators import dense, sparse
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -46,3 +46,37 @@ def test_dense_blocks(spark, monkeypatch, k):
         assert got[i] == sorted(own, key=lambda r: (-own[r], r))[:k]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroups" not in plan and plan.split("Initial Plan")[0].count("Exchange hash") == 2
+
+
+def test_a_sheet_is_made_once_for_many_chunks(spark, monkeypatch):
+    """The matrix of each sheet of queries used to be made anew for each slice of chunks."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(40)]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(90)]
+    grams = sparse.WORD_GRAMS
+    owner, code, count = sparse.counted_grams(texts[:30], grams)
+    asked = sparse.Asked(np.arange(30), np.searchsorted(owner, np.arange(31)), code, count.astype(float))
+    made, rough = [], sparse.Sheet.rough
+    monkeypatch.setattr(sparse.Sheet, "rough", lambda self, *a: made.append(self.start) or rough(self, *a))
+    monkeypatch.setattr(sparse, "ENTRY_CELLS", 10**9)
+
+    def found(cells, waiting):
+        monkeypatch.setattr(sparse, "HELD_CELLS", cells)
+        monkeypatch.setattr(sparse, "WAITING_ROWS", waiting)
+        lists = sparse.Lists(asked, 4)
+        made.clear()
+        for start in range(0, 90, 3):
+            row, own, n = sparse.counted_grams(texts[start : start + 3], grams)
+            lists.add(np.arange(start, start + 3) // 2, row, own, n.astype(float))
+        rows = lists.found().to_pylist()
+        return len(lists.sheets), len(made), sorted((r["query_id"], r["data_id"], round(r["score"], 9)) for r in rows)
+
+    one, _, want = found(10**7, 512)
+    sheets, times, got = found(2_000, 512)
+    assert one == 1 and sheets > 2 and got == want and times == sheets
+    assert found(2_000, 20)[2] == want
+    monkeypatch.setattr(sparse, "SLICE_CELLS", 700)
+    assert found(2_000, 20)[2] == want
+    monkeypatch.setattr(sparse, "SLICE_CELLS", 4_000_000)
+    monkeypatch.setattr(sparse, "ENTRY_CELLS", 0)
+    assert found(2_000, 20)[1:] == (0, want)
