@@ -7,8 +7,10 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from trawl.operators import dense, sparse
+from trawl.operators import dense, health, pairs, search, sparse
+from trawl.operators.chunking import row_combined
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -80,3 +82,43 @@ def test_a_sheet_is_made_once_for_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(sparse, "SLICE_CELLS", 4_000_000)
     monkeypatch.setattr(sparse, "ENTRY_CELLS", 0)
     assert found(2_000, 20)[1:] == (0, want)
+
+
+def _records(spark):
+    rng = np.random.default_rng(12)
+    topics = [["".join(rng.choice(list("abcdefghijkl"), 4)) for _ in range(12)] for _ in range(5)]
+    texts = [" ".join(rng.choice(topics[i % 5], 9)) for i in range(60)] + ["", None, "same same text", "same same text", "  x y"]
+    return spark.createDataFrame([(i * 2, f"name{i % 7} {topics[i % 5][0]}", t) for i, t in enumerate(texts)], "data_id long, symptoms string, cause string").repartition(4).cache()
+
+
+@pytest.mark.parametrize(("k", "block"), [(1, 7), (3, 16), (3, 500)])
+def test_one_comparison_gives_lists_and_pairs(spark, k, block):
+    """Lists and pairs each used to multiply all blocks, lists in both orders."""
+    records = _records(spark)
+    lists, found = health._compared(records, k, 0.45, block)
+    want = pairs.similar_pairs(health.plain_chunks(records), 0.45).toPandas()
+    assert found.first()["n"] == len(want) > 100 and abs(found.first()["total"] - want["similarity"].sum()) < 1e-9
+    own = F.when(F.coalesce("cause", F.lit("")) == "", F.col("symptoms")).otherwise(F.col("cause"))
+    asked = records.select("data_id", F.lit(0).cast("long").alias("chunk_id"), own.alias("text"))
+    near = search.top_k(search.max_pool(search.pad_zeros(pairs.nearest(asked, row_combined(records), k), asked.select(F.col("data_id").alias("query_id")), row_combined(records), k)), k)
+    flat = lambda df: sorted((r.query_id, r["rank"], r.data_id, round(r.score, 9)) for r in df.collect())
+    assert flat(lists) == flat(near)
+
+
+def test_counts_of_the_report(spark, monkeypatch):
+    """Without the rows of the report, also where a blank record counts as a text for pairs, and where no task holds the vocabulary."""
+    records = _records(spark).withColumn("diagnosis", F.lit("")).withColumn("treatment", F.lit(""))
+    for rows, held in ((records, 2_000_000), (records.unionByName(records.where("data_id = 0").selectExpr("999L AS data_id", "'' AS symptoms", "' ' AS cause", "diagnosis", "treatment")), 2_000_000), (records, 5)):
+        monkeypatch.setattr(sparse, "HELD_GRAMS", held)
+        report = health.health_report(rows).cache()
+        want = {r["check"]: (r.n, round(r.total, 6)) for r in report.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).collect()}
+        assert {r["check"]: (r.n, round(r.total, 6)) for r in health.health_counts(rows).collect()} == want and len(want) > 5
+        assert health.issue_count(rows).first() == health.issue_total(report).first()
+
+
+def test_files_of_few_blocks(spark):
+    """A task's reader used to hold all blocks of a file, each of which takes megabytes."""
+    texts = health.plain_chunks(_records(spark)).coalesce(1)
+    table = pairs.packed(texts, *pairs.tfidf_model(texts), 1)
+    files = table.groupBy(F.input_file_name()).count().toPandas()
+    assert files["count"].max() <= pairs.FILE_BLOCKS and files["count"].sum() == 65
