@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import sys
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.operators import dense, health, pairs, search, sparse
+from trawl.operators import dense, encoders, health, pairs, search, sparse
 from trawl.operators.chunking import row_combined
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -122,3 +123,25 @@ def test_files_of_few_blocks(spark):
     table = pairs.packed(texts, *pairs.tfidf_model(texts), 1)
     files = table.groupBy(F.input_file_name()).count().toPandas()
     assert files["count"].max() <= pairs.FILE_BLOCKS and files["count"].sum() == 65
+
+
+def test_projection_counts_in_arrays(monkeypatch):
+    """Each gram's md5 used to be made anew for every 128 texts, and grams were counted one by one."""
+    rng = np.random.default_rng(13)
+    texts = ["", "  ", "a", " ab ", "　x　", "a  \0b", "\0", "\U0001f600é", "x" * 120_000 + " y", "abc" * 30_000, *("".join(rng.choice(list("abc dé"), 40)) for _ in range(200))]
+
+    def plain(text):
+        padded, out = f" {text.strip()} ", np.zeros(32)
+        for at in range(max(1, len(padded) - 2)):
+            out += [2 * int(d, 16) - 15 for d in hashlib.md5(padded[at : at + 3].encode()).hexdigest()]
+        return out
+
+    want = np.array([plain(t) for t in texts])
+    hashed = []
+    monkeypatch.setattr(encoders, "hashlib", type("counted", (), {"md5": staticmethod(lambda x: hashed.append(x) or hashlib.md5(x))}))
+    monkeypatch.setattr(encoders, "_DIGITS", encoders._Digits())
+    for _ in range(3):
+        assert (encoders.projection(texts) == want).all()
+    assert len(hashed) == len(set(hashed)) + 2  # the blank text's alone is made each time
+    monkeypatch.setattr(encoders, "DIGITS_HELD", 20)
+    assert (encoders.projection(texts) == want).all()
